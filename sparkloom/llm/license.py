@@ -86,33 +86,28 @@ def rare_words(phrase: list[str], idf: dict[str, float], rare: int = RARE) -> li
     return sorted(places.items(), key=lambda x: (-idf[x[0]], x[1]))[:rare]
 
 
-def _begins(word: str, places: list[int]) -> Column:
-    """Where a phrase with ``word`` at these places could start."""
-    own = F.filter("hits", lambda h: h["word"] == word)
-    return F.flatten(F.transform(own, lambda h: F.array(*[h["place"] - i for i in places])))
+def _words_sql(words: list[str]) -> str:
+    return "array(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
-def _starts(phrase: list[str], idf: dict[str, float]) -> Column:
-    """Places (words from 0) where the phrase stands, by the rare words of ``hits`` and then all its words."""
+def _starts(phrase: list[str], idf: dict[str, float]) -> str:
+    """SQL: places (words from 0) where the phrase stands, by the rare words of ``hits`` and then all its words."""
     found = None
     for word, _ in rare_words(phrase, idf):
-        begins = _begins(word, [i for i, w in enumerate(phrase) if w == word])
-        found = begins if found is None else F.array_intersect(found, begins)
-    literal = F.array(*map(F.lit, phrase))
-    return F.array_sort(F.filter(F.array_distinct(found), lambda s: (s >= 0) & (F.slice("words", F.greatest(s, F.lit(0)) + 1, len(phrase)) == literal)))
+        places = ", ".join(f"h.place - {i}" for i, w in enumerate(phrase) if w == word)
+        begins = f"flatten(transform(filter(hits, h -> h.word = '{word}'), h -> array({places})))"
+        found = begins if found is None else f"array_intersect({found}, {begins})"
+    return f"array_sort(filter(array_distinct({found}), s -> s >= 0 AND slice(words, greatest(s, 0) + 1, {len(phrase)}) = {_words_sql(phrase)}))"
 
 
-def _laid(label: str, key: str, whole: str, idf: dict[str, float], starts: Column) -> Column:
-    """(label, place, n_words, score) for each verified place of the key phrase."""
+def _laid(label: str, key: str, whole: str, idf: dict[str, float]) -> str:
+    """SQL: (label, place, n_words, score) for each verified place of the key phrase."""
     phrase, body = key.split(), whole.split()
-    offset = next(i for i in range(len(body)) if body[i : i + len(phrase)] == phrase) if key in whole else 0
+    offset = next((i for i in range(len(body)) if body[i : i + len(phrase)] == phrase), 0)
     weights = [max(idf[w], 1e-6) for w in body]
-
-    def scored(s: Column) -> Column:
-        seen = sum((F.when(F.try_element_at("words", F.greatest(s - offset + i + 1, F.lit(1)).cast("int")).eqNullSafe(F.lit(w)) & (s - offset + i >= 0), F.lit(weights[i])).otherwise(F.lit(0.0)) for i, w in enumerate(body)), F.lit(0.0))
-        return F.struct(F.lit(label).alias("label"), s.cast("long").alias("place"), F.lit(len(phrase)).alias("n_words"), F.least(F.lit(1.0), seen / F.lit(sum(weights))).alias("score"))
-
-    return F.transform(starts, scored)
+    weight = "array(" + ", ".join(f"{w!r}D" for w in weights) + ")"
+    seen = f"aggregate(transform({_words_sql(body)}, (w, i) -> IF(get(words, s - {offset} + i) <=> w, get({weight}, i), 0D)), 0D, (a, x) -> a + x)"
+    return f"transform({_starts(phrase, idf)}, s -> named_struct('label', '{label}', 'place', CAST(s AS BIGINT), 'n_words', {len(phrase)}, 'score', least(1D, {seen} / {sum(weights)!r}D)))"
 
 
 def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
@@ -123,12 +118,12 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     indexed = sorted({w for _, key, _ in templates for w, _ in rare_words(key.split(), idf)})
     words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     # Places of indexed words alone; most texts have none, and then nothing more is looked at.
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(indexed))
-    hits = F.when(F.arrays_overlap("words", F.array(*map(F.lit, indexed))), F.transform(places, lambda i: F.struct(i.alias("place"), F.get("words", i).alias("word"))))
-    rows = words.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
-    matches = F.concat(*[_laid(label, key, whole, idf, _starts(key.split(), idf)) for label, key, whole in templates])
-    empty = F.array().cast("array<struct<label:string,place:bigint,n_words:int,score:double>>")
-    found = rows.select("doc_id", "n_words", F.when(F.size("hits") > 0, matches).otherwise(empty).alias("matches"))
+    listed = ", ".join(f"'{w}'" for w in indexed)
+    places = f"transform(filter(sequence(0, size(words) - 1), i -> get(words, i) IN ({listed})), i -> named_struct('place', i, 'word', get(words, i)))"
+    rows = words.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), F.expr(f"IF(arrays_overlap(words, {_words_sql(indexed)}), {places}, NULL)").alias("hits"))
+    matches = "concat(" + ", ".join(_laid(label, key, whole, idf) for label, key, whole in templates) + ")"
+    empty = "CAST(array() AS ARRAY<STRUCT<label: STRING, place: BIGINT, n_words: INT, score: DOUBLE>>)"
+    found = rows.select("doc_id", "n_words", F.expr(f"IF(size(hits) > 0, {matches}, {empty})").alias("matches"))
     base = F.filter("matches", lambda m: m["label"].isin([label for _, label in BASE]))
     return found.select("doc_id", "n_words", base.alias("base"), "matches")
 
