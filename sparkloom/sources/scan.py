@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkloom.sources.config import ScanConfig, load_config
 from sparkloom.sources.ignore import ignored, ignored_by, load_rules
@@ -46,34 +46,43 @@ def _admitted(config: ScanConfig, root: str, rules: list, any_text: bool):
     return admit
 
 
+#: Files that one task reads at least.
+FILES_PER_TASK = 64
+
+
 def scan(spark: SparkSession, root: str | Path, config: ScanConfig | None = None, any_text: bool = False) -> DataFrame:
     """(file, rel, length, content binary) of a root's source files.
 
-    Size and path filters come before the contents are read: the first pass looks at
-    listings alone. ``any_text`` takes every file without a NUL in its first 4096
-    bytes instead of those that a parser reads.
+    The listing is made once, without looking into folders that are skipped; tasks
+    read the contents. Spark's own file listing would hide names that begin with an
+    underscore or a dot, such as __init__.py and .env. ``any_text`` takes every file
+    without a NUL in its first 4096 bytes instead of those that a parser reads. A
+    file that goes between the listing and its task is left out.
     """
     base = str(Path(root).resolve())
-    config = load_config(base) if config is None else config
-    rules = load_rules(base) if config.respect_gitignore else []
-    admit = _admitted(config, base, rules, any_text)
-
-    @F.pandas_udf("boolean")
-    def admitted(rel: pd.Series) -> pd.Series:
-        return rel.map(admit)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    path = F.url_decode(F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("+"), F.lit("%2B")))
-    rel = F.substring(path, len(base) + 2, 1 << 20)
-    small = files.where(F.col("length") <= config.max_file_size)
-    if any_text:
-        small = small.where("length > 0")
-    rows = small.select(path.alias("file"), rel.alias("rel"), "length", "content").where(admitted(F.col("rel")))
-    return rows.where(F.expr("position(X'00' IN substring(content, 1, 4096)) = 0")) if any_text else rows
+    names = list_files(base, config, any_text)
+    listed = spark.createDataFrame([(n,) for n in names], "rel string").repartition(max(1, min(len(names) // FILES_PER_TASK + 1, 10_000)))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for rel in batch["rel"]:
+                try:
+                    content = Path(base, rel).read_bytes()
+                except OSError:
+                    continue
+                if not any_text or content and b"\0" not in content[:4096]:
+                    rows.append((f"{base}/{rel}", rel, len(content), content))
+                if len(rows) >= FILES_PER_TASK:
+                    yield pd.DataFrame(rows, columns=["file", "rel", "length", "content"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["file", "rel", "length", "content"])
+
+    return listed.mapInPandas(read, "file string, rel string, length long, content binary")
 
 
 def list_files(root: str | Path, config: ScanConfig | None = None, any_text: bool = False) -> list[str]:
-    """The same files' relative paths by a walk on this machine, for small trees."""
+    """The files' relative paths, sorted, by a walk that does not enter skipped folders."""
     base = str(Path(root).resolve())
     config = load_config(base) if config is None else config
     admit = _admitted(config, base, load_rules(base) if config.respect_gitignore else [], any_text)
