@@ -64,9 +64,10 @@ def attribute(hits: DataFrame, spans: DataFrame, key: str, prefer_members: bool
     return joined.withColumn("place", F.row_number().over(one)).where("place = 1").drop("place")
 
 
-def overlapping(edits: DataFrame, key: str, start: str, stop: str) -> DataFrame:
-    """Edits that begin before an earlier one of the same file has ended."""
-    ordered = Window.partitionBy(key).orderBy(start, stop).rowsBetween(Window.unboundedPreceding, -1)
+def overlapping(edits: DataFrame, key: str, start: str, stop: str, *ties: str) -> DataFrame:
+    """Edits that begin before an earlier one of the same file has ended; ``ties``
+    order edits of the same lines."""
+    ordered = Window.partitionBy(key).orderBy(start, stop, *ties).rowsBetween(Window.unboundedPreceding, -1)
     return edits.withColumn("reached", F.max(stop).over(ordered)).where(F.col(start) <= F.col("reached"))
 
 

@@ -386,10 +386,10 @@ def splice_lines(spark, sf_dir):
     return rows.select("doc_id", spans.splice(F.col("text"), 2, 3, F.array(F.lit("NEW"), F.lit("LINES"))).alias("text"))
 
 
-@query("SELECT l_orderkey, l_linenumber, a, b, reached FROM (SELECT l_orderkey, l_linenumber, l_partkey AS a, l_partkey + l_suppkey % 50 AS b, max(l_partkey + l_suppkey % 50) OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_partkey + l_suppkey % 50 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM lineitem) WHERE a <= reached")
+@query("SELECT l_orderkey, l_linenumber, a, b, reached FROM (SELECT l_orderkey, l_linenumber, l_partkey AS a, l_partkey + l_suppkey % 50 AS b, max(l_partkey + l_suppkey % 50) OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_partkey + l_suppkey % 50, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM lineitem) WHERE a <= reached")
 def overlap_check(spark, sf_dir):
     edits = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a"), (F.col("l_partkey") + F.col("l_suppkey") % 50).alias("b"))
-    return spans.overlapping(edits, "l_orderkey", "a", "b")
+    return spans.overlapping(edits, "l_orderkey", "a", "b", "l_linenumber")
 
 
 @query("SELECT doc_id, (length(text) // 4)::INT AS tokens, CASE WHEN length(text) // 4 > 1600 THEN 'halve_bodies' WHEN length(text) // 4 > 800 THEN 'drop_outlines' ELSE 'whole' END AS stage FROM documents")
