@@ -27,16 +27,21 @@ from sparkloom.llm.tokens import public_path
 MOST_BITS = 8.0
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(text, row): the row with all its columns in one, so that no name can clash."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trees = language.train(docs.where(id_bucket("doc_id", 5) != 0))
-    known = language.predict(docs, trees, docs.columns)
-    return known.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") < MOST_BITS)).select(docs.columns)
+    known = language.predict(whole_rows(docs), trees, ["row"])
+    return known.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") < MOST_BITS)).select("row.*")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     weights, bias = quality.train(quality.labelled(docs, labels))
-    return quality.score(docs, weights, bias, docs.columns).where("predicted = 1").select(docs.columns)
+    return quality.score(whole_rows(docs), weights, bias, ["row"]).where("predicted = 1").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm.common import LOWER, id_bucket, row_sums, text_chunks
 
@@ -201,7 +202,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_windows: int
     return Trees.build({lang: (own["w"].to_numpy().astype(np.uint32), own["n"].to_numpy().astype(np.float64)) for lang, own in table.groupby("lang")})
 
 
-PREDICTION = "lang_pred string, score double, bits_per_byte double"
+PREDICTION = T.StructType().add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
 
 
 def predict(docs: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
@@ -213,8 +214,8 @@ def predict(docs: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(trees)
     source = docs.select(*keep, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-    fields = [f for f in source.schema.fields if f.name in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + PREDICTION
+    fields = source.schema.fields[: len(keep)]
+    schema = T.StructType([*fields, *PREDICTION])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -233,7 +234,7 @@ def predict(docs: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
                 score[a:b] = 1 / np.exp2(-scaled).sum(1)
                 pick[a:b] = best
             pick[~letters], score[~letters] = len(model.langs), 0
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(names[pick], pa.string()), pa.array(score), pa.array(rate)], names=[*(f.name for f in fields), "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(fields))), pa.array(names[pick], pa.string()), pa.array(score), pa.array(rate)], names=[*(f.name for f in fields), "lang_pred", "score", "bits_per_byte"])
 
     return source.mapInArrow(run, schema)
 

@@ -147,9 +147,9 @@ def mixed(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     takes part of a document holds its first words, joined by single spaces.
     """
     names = docs.columns
-    rows = plan(docs, seed, extra=tuple(c for c in names if c not in ("doc_id", "source")), **options)
-    rows = rows.select(*names, "size", F.explode("draws").alias("draw"))
+    packed = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    rows = plan(packed, seed, extra=("text", "__row"), **options).select("doc_id", "text", "size", "__row", F.explode("draws").alias("draw"))
     some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("draw.words").cast("int")), " ")
-    text = F.when(F.col("draw.words") < F.col("size"), some).otherwise(F.col("text")).alias("text")
+    text = F.when(F.col("draw.words") < F.col("size"), some).otherwise(F.col("text"))
     order = F.xxhash64(F.lit(seed), "draw.shard", "doc_id", "draw.pass")
-    return rows.select(*(text if c == "text" else F.col(c) for c in names), F.col("draw.shard").alias("mix_shard"), order.alias("mix_order"))
+    return rows.select(F.col("__row").withField("text", text).alias("__row"), F.col("draw.shard").alias("mix_shard"), order.alias("mix_order")).select("__row.*", "mix_shard", "mix_order")

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm.common import LOWER, cut, id_bucket, mix, row_sums, runs, span_hashes, text_chunks
 
@@ -151,7 +152,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str]) ->
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
     source = docs.select(*keep, F.col("text").alias("__text"))
     fields = source.schema.fields[:-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, predicted int"
+    schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b0 = shared.value

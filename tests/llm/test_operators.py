@@ -516,7 +516,8 @@ def test_pipeline(spark, tmp_path):
     rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)]
     rows += [(100, texts[4], "en", "s0", 1), (101, texts[5] + " tail", "en", "s1", 1), (102, "12 34 ...", "en", "s1", 1), (103, None, None, None, None)]
     rows += [(200 + i, "Junk%%% and&&& more$$$ " * 40 + str(i), "en", "s2", 1) for i in range(6)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = [F.lit(7).alias(c) for c in ("score", "row", "size", "label", "id", "draw")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *clashing)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(200 + i, 0, 0) for i in range(6)], "doc_id long, quality int, toxic int")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
