@@ -6,9 +6,10 @@
 2. Texts with equal sets form a class at once; its smallest doc_id stands for it.
 3. Classes that share a band key are candidates. In each bucket all are first
    tried against the smallest (a star); what that joins is one component, and
-   only pairs of a bucket that still lie in different components are tried in
-   a second round. So every candidate pair is either confirmed, refused, or
-   already connected, while a bucket of copies costs one pair for each copy.
+   only pairs of a bucket that still lie in different components are compared in
+   a second round, inside the tasks that hold the bucket. So every candidate pair
+   is confirmed, refused, or already connected, while a bucket of copies costs one
+   pair for each copy, and no pair is written that is not a link.
 4. A candidate's signature must agree well enough for the threshold, then the
    full sets decide.
 5. Links are joined to components by alternating large-star and small-star.
@@ -189,6 +190,64 @@ def _alike(percent: int):
     return sizes & (agree <= SIGNATURE_BITS - least_agreement(percent))
 
 
+#: Rows of one side of a unit of comparison; larger buckets are cut into blocks.
+BLOCK_ROWS = 512
+
+
+def compare_buckets(rows: DataFrame, percent: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """(u, v): links between different components (c) inside buckets of ``rows``.
+
+    A bucket of m rows becomes m / ``block`` blocks, and each two blocks (or one with
+    itself) a unit that a task compares on its own: signatures first, then the full
+    sets of those that agree. A pair is looked at in the first bucket that it shares.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    units = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    alone = rows.where("blocks = 1").select("*", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    dealt = rows.where("blocks > 1").select("*", F.inline(units))
+    columns = ["bucket", "i", "j", "own", "id", "c", "n", "bands", "s0", "s1", "s2", "s3", "shingles"]
+    most = SIGNATURE_BITS - least_agreement(percent)
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, c, n, own = (table.column(k).to_numpy() for k in ("id", "c", "n", "own"))
+        bucket, i, j = (table.column(k)[0].as_py() for k in ("bucket", "i", "j"))
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        place = int(np.flatnonzero((bands == bucket).any(0))[0])
+        bits = np.stack([table.column(f"s{k}").to_numpy() for k in range(4)], 1).view(_U)
+        sets = [np.sort(x) for x in table.column("shingles").to_numpy()]
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        found = []
+        left = np.flatnonzero(own == i)
+        right = left if i == j else np.flatnonzero(own == j)
+        for a in left:
+            others = right[ids[right] > ids[a]] if i == j else right
+            others = others[(c[others] != c[a]) & (100 * np.minimum(n[others], n[a]) >= percent * np.maximum(n[others], n[a]))]
+            others = others[np.bitwise_count(bits[others] ^ bits[a]).sum(1, dtype=np.int64) <= most]
+            if place and len(others):
+                others = others[~(bands[others, :place] == bands[a, :place]).any(1)]
+            others = np.array([b for b in others if root(int(c[b])) != root(int(c[a]))], np.int64)
+            if not len(others):
+                continue
+            sizes = np.array([len(sets[b]) for b in others])
+            every = np.concatenate([sets[b] for b in others])
+            at = np.minimum(np.searchsorted(sets[a], every), len(sets[a]) - 1)
+            common = np.add.reduceat((sets[a][at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            for b in others[100 * common >= percent * (len(sets[a]) + sizes - common)]:
+                found.append((int(ids[a]), int(ids[b])))
+                if root(int(c[a])) != root(int(c[b])):
+                    joined[root(int(c[b]))] = root(int(c[a]))
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return alone.select(columns).unionByName(dealt.select(columns)).groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     signed = cut(signatures(docs, words, percent), "minhash")
@@ -196,7 +255,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     members = full.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "rep")
     standing = full.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"])
-    marks = standing.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3")
+    marks = standing.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "s0", "s1", "s2", "s3")
 
     # Buckets with more than one class; each row knows the bucket's smallest.
     rows = standing.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
@@ -205,21 +264,20 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     sets = cut(shingle_sets(docs.select("doc_id", "text").join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), words), "shingles")
 
     def signed_pairs(pairs: DataFrame) -> DataFrame:
-        joined = pairs.join(marks.alias("a"), F.col("u") == F.col("a.id")).join(marks.alias("b"), F.col("v") == F.col("b.id"))
+        slim = marks.drop("bands")
+        joined = pairs.join(slim.alias("a"), F.col("u") == F.col("a.id")).join(slim.alias("b"), F.col("v") == F.col("b.id"))
         return joined.where(_alike(percent)).select("u", "v").distinct()
 
     stars = shared.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
     first = cut(confirm(signed_pairs(stars), sets, percent), "links")
     found = components(first)
 
-    # Pairs of a bucket that lie in different components after the stars.
-    placed = shared.join(found, "id", "left").select("bucket", "id", "hub", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    open_rows = cut(placed.join(mixed, "bucket").join(marks, "id"), "open-buckets")
-    a, b = open_rows.alias("a"), open_rows.alias("b")
-    apart = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c"))
-    rest = a.join(b, apart & _alike(percent)).where(F.col("a.id") != F.col("a.hub")).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
-    second = confirm(rest, sets, percent)
+    # What the stars left apart: pairs of a bucket in different components. They are
+    # compared where the bucket's rows meet, so that only links leave the task.
+    placed = shared.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("bucket", "m")
+    open_rows = placed.join(mixed, "bucket").join(marks, "id").join(sets, "id")
+    second = compare_buckets(open_rows, percent)
 
     versions = members.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("last")).where("u < last").select("doc_id", "u")
     versions = members.join(versions, "doc_id").where("rep <> u").select("u", F.col("rep").alias("v"))
