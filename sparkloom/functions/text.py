@@ -217,12 +217,13 @@ def embedding_text_col(qname: Column, signature: Column, doc: Column) -> Column:
 def prose_summary_col(html: Column, limit: int = 480) -> Column:
     """Readable text of a template or page: tags out, spaces joined, entities
     decoded, cut at a space near ``limit``."""
-    text = F.regexp_replace(html, r"(?s)\{#.*?#\}|\{%.*?%\}|\{\{.*?\}\}", " ")
-    text = F.regexp_replace(text, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    text = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?s)<[^>]*>", " "), r"\s+", " "))
-    for entity, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+    text = F.regexp_replace(html, r"(?s)\{[%{#].*?[#}%]\}", " ")
+    text = F.regexp_replace(text, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<![^>]*>|<[^>]+>", " ")
+    text = F.regexp_replace(text, r"\s+", " ")
+    for entity, mark in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " ")):
         text = F.replace(text, F.lit(entity), F.lit(mark))
+    text = F.trim(text)
     head = F.left(text, F.lit(limit))
     at = F.length(head) - F.instr(F.reverse(head), " ")
-    short = F.when(at > limit // 2, F.left(head, at)).otherwise(head)
+    short = F.rtrim(F.when(at > limit // 2, F.left(head, at)).otherwise(head))
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(short, F.lit("…")))

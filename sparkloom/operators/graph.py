@@ -119,13 +119,17 @@ def alias_chain(aliases: DataFrame, starts: DataFrame, hops: int = 3) -> DataFra
 
 
 # Names that every program calls, in the two families of languages.
-PYTHON_BUILTINS = frozenset("abs all any bool bytes callable chr dict dir divmod enumerate filter float format frozenset getattr hasattr hash hex id input int isinstance issubclass iter len list map max min next object open ord pow print property range repr reversed round set setattr sorted str sum super tuple type vars zip".split())
-SCRIPT_BUILTINS = frozenset("Array Boolean Date Error JSON Map Math Number Object Promise RegExp Set String Symbol concat console every fetch filter find findIndex flat flatMap forEach includes indexOf join keys log map parseFloat parseInt pop push reduce replace require reverse setInterval setTimeout shift slice some sort splice split stringify then toString trim unshift values".split())
+PYTHON_BUILTINS = frozenset(
+    "print len range enumerate zip map filter sorted reversed any all min max sum abs str int float bool list dict tuple set bytes bytearray frozenset open type id repr hash ord chr next iter callable isinstance issubclass hasattr getattr setattr delattr format vars dir super object property staticmethod classmethod".split()
+)
+SCRIPT_METHODS = frozenset(
+    "forEach map filter reduce reduceRight push pop shift unshift slice splice concat join find findIndex findLast findLastIndex flat flatMap some every includes indexOf lastIndexOf reverse sort copyWithin fill at split trim trimStart trimEnd toLowerCase toUpperCase replace replaceAll substring substr charAt charCodeAt padStart padEnd startsWith endsWith repeat codePointAt normalize localeCompare match matchAll search has get set delete clear keys values entries add then catch finally parse stringify assign fromEntries freeze isFrozen clearTimeout setTimeout clearInterval setInterval queueMicrotask requestAnimationFrame cancelAnimationFrame structuredClone".split()
+)
 
 
 def is_builtin_col(node: Column) -> Column:
     """Whether an unresolved node (``?:name``) is a built-in function or method."""
     name = F.regexp_extract(node, r"^\?:(.+)$", 1)
     tail = F.element_at(F.split(name, r"\."), -1)
-    bare = ~name.contains(".") & name.isin(sorted(PYTHON_BUILTINS | SCRIPT_BUILTINS))
-    return (name != "") & (bare | (name.contains(".") & tail.isin(sorted(SCRIPT_BUILTINS))))
+    bare = ~name.contains(".") & name.isin(sorted(PYTHON_BUILTINS | SCRIPT_METHODS))
+    return (name != "") & (bare | (name.contains(".") & tail.isin(sorted(SCRIPT_METHODS))))

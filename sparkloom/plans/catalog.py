@@ -112,7 +112,7 @@ def multi_term_max(spark, sf_dir):
 LINES_SQL = """ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS txt, generate_subscripts(string_split(text, chr(10)), 1) AS line, string_split(text, chr(10)) AS ls FROM documents)"""
 
 
-@query(f"WITH {LINES_SQL} SELECT doc_id, line::INT AS line, txt, array_to_string(ls[line-1:line-1], '~') AS before, array_to_string(ls[line+1:line+1], '~') AS after, regexp_matches(txt, '(^|\\s)(def|class)\\s+License(\\s|[(=:<{{,])|^License\\s*=') AS is_definition FROM ln WHERE contains(txt, 'License')")
+@query(f"WITH {LINES_SQL} SELECT doc_id, line::INT AS line, txt, array_to_string(ls[line-1:line-1], '~') AS before, array_to_string(ls[line+1:line+1], '~') AS after, regexp_matches(txt, '(^|\\s)({spans.DECLARING})\\s+License(\\s|[(=:<{{,])|^License\\s*=') AS is_definition FROM ln WHERE contains(txt, 'License')")
 def grep_literal(spark, sf_dir):
     rows = spans.grep(table(spark, sf_dir, "documents"), "doc_id", "text", "License")
     return rows.select("doc_id", "line", "txt", F.array_join("before", "~").alias("before"), F.array_join("after", "~").alias("after"), "is_definition")
@@ -249,13 +249,14 @@ def html_headings(spark, sf_dir):
 
 
 def _summary_sql() -> str:
-    text = r"regexp_replace(html, '(?s)\{#.*?#\}|\{%.*?%\}|\{\{.*?\}\}', ' ', 'g')"
-    text = rf"regexp_replace(regexp_replace({text}, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g')"
-    text = rf"trim(regexp_replace(regexp_replace({text}, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
-    for entity, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
+    text = r"regexp_replace(html, '(?s)\{[%{#].*?[#}%]\}', ' ', 'g')"
+    text = rf"regexp_replace({text}, '(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<![^>]*>|<[^>]+>', ' ', 'g')"
+    text = rf"regexp_replace({text}, '\s+', ' ', 'g')"
+    for entity, mark in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " ")):
         text = f"replace({text}, '{entity}', '{mark}')"
+    text = f"trim({text})"
     return f"""WITH t AS (SELECT page_id, {text} AS t FROM pages), u AS (SELECT page_id, t, left(t, 480) AS h, length(left(t, 480)) - strpos(reverse(left(t, 480)), ' ') AS cut_at FROM t)
-SELECT page_id, CASE WHEN length(t) <= 480 THEN t WHEN cut_at > 240 THEN left(h, cut_at) || '…' ELSE h || '…' END AS summary FROM u"""
+SELECT page_id, CASE WHEN length(t) <= 480 THEN t WHEN cut_at > 240 THEN rtrim(left(h, cut_at)) || '…' ELSE rtrim(h) || '…' END AS summary FROM u"""
 
 
 @query(_summary_sql())

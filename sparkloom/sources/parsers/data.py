@@ -16,7 +16,7 @@ def _leading_comments(lines: list[str]) -> str | None:
             kept.append(line.strip().lstrip("#").strip())
         elif line.strip() or kept:
             break
-    return " ".join(k for k in kept if k) or None
+    return " ".join(kept) if kept else None
 
 
 def _start(rel: str, text: str, kind: str, doc: str | None) -> tuple[Parsed, list[str]]:

@@ -6,7 +6,7 @@ import re
 
 from sparkloom.sources.names import Parsed, qualified, sha1, slashed_module
 
-FUNCTION = re.compile(r"^[ \t]*(?:function[ \t]+([A-Za-z_][\w:-]*)[ \t]*(?:\([ \t]*\))?|([A-Za-z_][\w:-]*)[ \t]*\([ \t]*\))[ \t\r\n]*(?=\{)", re.M)
+FUNCTION = re.compile(r"^[ \t]*(?:function[ \t]+([A-Za-z_][\w-]*)[ \t]*(?:\(\))?|([A-Za-z_][\w-]*)[ \t]*\(\))[ \t\r\n]*(?=\{)", re.M)
 SOURCED = re.compile(r"^[ \t]*(?:source|\.)[ \t]+[\"']?([^\s\"';]+)", re.M)
 
 
@@ -82,10 +82,10 @@ def parse(rel: str, text: str) -> Parsed:
         qname = qualified(module, [name])
         out.symbol(qname, "function", f"{name}()", _comments_above(lines, first - 1), first, code.count("\n", 0, end) + 1, whole, sha=sha1(text[opening + 1 : end]))
         start_line = code.count("\n", 0, opening) + 1
-        for c in re.finditer(r"(?:^|[;&|({]|\$\(|\b(?:then|do|else|if|while|until|!)\b)[ \t]*([A-Za-z_][\w:-]*)(?![\w:-]|[ \t]*\(\)|=)", body, re.M):
+        for c in re.finditer(r"(?:^|[\n;&|()`])[ \t]*([^\W\d][\w-]*)(?![\w-])", body):
             if c[1] in names and c[1] != name:
                 out.calls.append((qname, c[1], qualified(module, [c[1]]), start_line + body.count("\n", 0, c.start(1))))
     for m in SOURCED.finditer(text):
-        path = re.sub(r"^(?:\./|\$\{?\w+\}?/|\$\([^)]*\)/)+", "", m[1])
+        path = m[1].lstrip("./")
         out.imports.append((re.sub(r"\.(sh|bash)$", "", path), None, None, text.count("\n", 0, m.start()) + 1))
     return out

@@ -85,12 +85,11 @@ def django(rel: str, text: str) -> list[tuple]:
 def nextjs(rel: str, text: str) -> list[tuple]:
     """One row for each HTTP method that a route file exports."""
     parts = rel.split("/")
-    at = parts.index("app")
-    url = "/" + "/".join(p for p in parts[at + 1 : -1] if not (p.startswith("(") and p.endswith(")")))
-    found = []
-    for m in re.finditer(r"^export\s+(?:async\s+)?(?:function\s+|const\s+)(\w+)", text, re.M):
-        if m[1] in METHODS:
-            found.append((m[1], url, qualified(slashed_module(rel), [m[1]]), text.count("\n", 0, m.start()) + 1, "nextjs"))
+    url, found = "/" + "/".join(parts[1:-1]), []
+    for m in re.finditer(r"^export\s+(?:async\s+)?(?:function\s+([A-Z]+)|const\s+([A-Z]+)\s*=)", text, re.M):
+        verb = m[1] or m[2]
+        if verb in METHODS:
+            found.append((verb, url, qualified(slashed_module(rel), [verb]), text.count("\n", 0, m.start()) + 1, "nextjs"))
     return found
 
 
@@ -98,6 +97,6 @@ def routes_of(rel: str, text: str) -> list[tuple]:
     name = rel.rpartition("/")[2]
     if name == "urls.py":
         return django(rel, text)
-    if re.fullmatch(r"route\.(ts|tsx|js|jsx|mjs)", name) and "app" in rel.split("/")[:-1]:
+    if name.startswith("route.") and rel.startswith("app/"):
         return nextjs(rel, text)
     return []

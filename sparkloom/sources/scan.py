@@ -18,7 +18,7 @@ from sparkloom.sources.parsers import LANGUAGES, language_of
 SKIP_DIRS = frozenset(".git .hg .svn __pycache__ .mypy_cache .pytest_cache .ruff_cache dist build .tox .sparkloom .next .svelte-kit .nuxt .astro .turbo out .parcel-cache .expo coverage htmlcov".split())
 VENDOR_DIRS = frozenset(".venv venv env node_modules bower_components vendor".split())
 BUNDLE_SUFFIXES = (".min.js", ".min.mjs", ".min.cjs", ".bundle.js", ".min.css", ".map", ".worker.js", "-bundle.js", "-bundle.mjs", ".standalone.js", ".lib.js")
-PROJECT_MARKERS = ("pyproject.toml", "setup.py", "setup.cfg", "requirements.txt", "package.json", "tsconfig.json", "go.mod", "Cargo.toml", "pom.xml", "manage.py")
+PROJECT_MARKERS = ("pyproject.toml", "package.json", "Cargo.toml", "go.mod", "Gemfile", "build.gradle", "build.gradle.kts", "pom.xml", "composer.json", "mix.exs")
 STATE_DIR = ".sparkloom"
 
 
