@@ -92,10 +92,12 @@ def _ensure_checkpoints(spark) -> None:
 def neighbor_tree(edges: DataFrame, roots: DataFrame, limit: int, inner: int, order: list[str]) -> DataFrame:
     """(root, child, child_pos, grandchild, grandchild_pos): up to ``limit`` edges of
     each root in order, and up to ``inner`` of each of theirs. Edges: src, dst."""
-    place = Window.partitionBy("src").orderBy(*order)
-    numbered = edges.withColumn("pos", F.row_number().over(place))
-    first = numbered.join(roots.select(F.col("node").alias("src")), "src", "left_semi").where(F.col("pos") <= limit).select(F.col("src").alias("root"), F.col("dst").alias("child"), F.col("pos").alias("child_pos"))
-    second = numbered.where(F.col("pos") <= inner).select(F.col("src").alias("child"), F.col("dst").alias("grandchild"), F.col("pos").alias("grandchild_pos"))
+    place = F.row_number().over(Window.partitionBy("src").orderBy(*order))
+    # Only edges of the nodes in question are numbered, not all.
+    near = edges.join(roots.select(F.col("node").alias("src")).distinct(), "src", "left_semi").withColumn("pos", place)
+    first = near.where(F.col("pos") <= limit).select(F.col("src").alias("root"), F.col("dst").alias("child"), F.col("pos").alias("child_pos"))
+    far = edges.join(first.select(F.col("child").alias("src")).distinct(), "src", "left_semi").withColumn("pos", place)
+    second = far.where(F.col("pos") <= inner).select(F.col("src").alias("child"), F.col("dst").alias("grandchild"), F.col("pos").alias("grandchild_pos"))
     return first.join(second, "child", "left").select("root", "child", "child_pos", "grandchild", "grandchild_pos")
 
 
