@@ -135,14 +135,16 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_entries: i
     table = cut(table, "quality-sample")
     sizes = table.select("order", F.size("entries").alias("n")).toPandas().groupby("order")["n"].sum().sort_index().cumsum()  # a row for each document of the sample
     last = int(sizes[sizes <= sample_entries].index.max()) if (sizes <= sample_entries).any() else None
-    examples = []
-    for row in table.where(F.col("order") <= last).toLocalIterator() if last is not None else ():
-        examples.append(((row.order, row.doc_id, row.label), np.append(np.asarray(row.entries, np.int64), BIAS_AT), np.append(np.asarray(row["values"]), 1.0), float(row.label)))
-    examples.sort(key=lambda x: x[0])
+    sample = table.where(F.col("order") <= last).orderBy("order", "doc_id", "label").toArrow() if last is not None else None
+    examples = []  # views of the table's own buffers
+    if sample is not None:
+        for batch in sample.to_batches():
+            at, entries, values = batch.column("entries").offsets.to_numpy(), batch.column("entries").values.to_numpy(), batch.column("values").values.to_numpy()
+            examples += [(entries[i:j], values[i:j], float(y)) for i, j, y in zip(at[:-1].tolist(), at[1:].tolist(), batch.column("label").to_pylist(), strict=True)]
     model = Ftrl(BIAS_AT + 1)
     for _ in range(epochs):
-        for _, at, values, label in examples:
-            model.update(at, values, label)
+        for at, values, label in examples:
+            model.update(np.append(at, BIAS_AT), np.append(values, 1.0), label)
     w = model.weights()
     return w[:BIAS_AT], float(w[BIAS_AT])
 
