@@ -11,8 +11,9 @@ list. A shard's rows are then ordered by a hash, which shuffles them locally.
 
 Only sizes of sources and blocks come to the driver: at most ``MOST_BLOCKS``
 blocks besides one for each source, and at most ``MOST_SOURCES`` sources, or an
-error says so. Texts are read once for their sizes and are not shuffled for the
-decision.
+error says so. Tables of blocks are broadcast under these bounds. Texts are not
+shuffled, but for the one block of each source that is cut to the word; the mix
+itself reads them a second time.
 
 Cases: null or blank texts have size 0 and are taken 0 words; a null source is a
 source of its own, the last; rows that repeat a doc_id count each on its own;
@@ -86,8 +87,10 @@ def plan(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, s
     """
     spark = docs.sparkSession
     order = F.xxhash64(F.lit(seed), "doc_id", "source")
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("order"), F.xxhash64("text").alias("tie"), *extra)
-    sized = cut(sized, "mix-sizes")
+    count = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    columns = ["doc_id", "source", count.alias("size"), order.alias("order"), F.xxhash64("text").alias("tie")]
+    sized = cut(docs.select(*columns), "mix-sizes")
+    whole_rows = docs.select(*columns, *extra) if extra else sized  # wide rows are read again rather than stored
     sources = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(sources) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
@@ -99,8 +102,12 @@ def plan(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, s
     whole = [min(round(t), int(most_times * n)) for t, n in zip(goal, sizes, strict=True)]
     passes = [w // n if n else 0 for w, n in zip(whole, sizes, strict=True)]
     known = spark.createDataFrame([(i, r.source, r.n, float(t), b) for i, (r, t, b) in enumerate(zip(sources, goal, blocks, strict=True))], "s int, source string, source_size long, target double, blocks int")
-    dealt = sized.join(known.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).drop("own").withColumn("block", F.pmod("order", F.col("blocks").cast("long")).cast("int"))
 
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        own = rows.join(F.broadcast(known.withColumnRenamed("source", "own")), F.col("source").eqNullSafe(F.col("own"))).drop("own")  # at most MOST_SOURCES rows
+        return own.withColumn("block", F.pmod("order", F.col("blocks").cast("long")).cast("int"))
+
+    dealt = in_blocks(sized)
     # Blocks' words, in permuted order, give each source's draws.
     words = {(r.s, r.block): r.n for r in dealt.groupBy("s", "block").agg(F.sum("size").alias("n")).collect()}
     draws, room = [], []  # (source, pass, block, words) in each source's order
@@ -124,16 +131,17 @@ def plan(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, s
     rows = [(s, b, p, n, int(k)) for (s, p, b, n), k in zip(draws, shard_of, strict=True)]
     table = spark.createDataFrame(rows, "s int, block int, pass int, words long, shard long").groupBy("s", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "words"))).alias("drawn"), F.max("pass").alias("last_pass"))
 
+    # The tables of blocks are small by MOST_BLOCKS, so rows find their draws where they are.
     # A block that is cut: its documents in hash order fill the words that are left.
-    held = dealt.join(table, ["s", "block"], "left")
-    cut_blocks = spark.createDataFrame([(s, b, n) for s, p, b, n in draws if n < words[s, b]], "s int, block int, limit long")
-    inside = dealt.join(F.broadcast(cut_blocks), ["s", "block"])  # at most one block of each source
+    wide = in_blocks(whole_rows)
+    cut_blocks = F.broadcast(spark.createDataFrame([(s, b, n) for s, p, b, n in draws if n < words[s, b]], "s int, block int, limit long"))
+    inside = wide.join(cut_blocks, ["s", "block"])  # at most one block of each source
     before = F.sum("size").over(Window.partitionBy("s", "block").orderBy("order", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1))
-    filled = inside.withColumn("before", F.coalesce(before, F.lit(0)))
-    part = F.greatest(F.lit(0), F.least("size", F.col("limit") - F.col("before")))
+    part = F.greatest(F.lit(0), F.least("size", F.col("limit") - F.coalesce(before, F.lit(0))))
     keep = ["doc_id", "source", "size", "source_size", "target", *extra]
-    cut_rows = filled.join(table, ["s", "block"]).select(*keep, "drawn", part.alias("part"), F.col("last_pass").alias("cut_pass"))
-    others = held.join(F.broadcast(cut_blocks), ["s", "block"], "left_anti").select(*keep, "drawn", F.lit(None).cast("long").alias("part"), F.lit(-1).alias("cut_pass"))
+    filled = inside.withColumn("part", part).join(F.broadcast(table), ["s", "block"])
+    cut_rows = filled.select(*keep, "drawn", "part", F.col("last_pass").alias("cut_pass"))
+    others = wide.join(cut_blocks, ["s", "block"], "left_anti").join(F.broadcast(table), ["s", "block"], "left").select(*keep, "drawn", F.lit(None).cast("long").alias("part"), F.lit(-1).alias("cut_pass"))
     each = F.transform(F.coalesce("drawn", F.array().cast("array<struct<pass:int,shard:bigint,words:bigint>>")), lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.when(d["pass"] == F.col("cut_pass"), F.col("part")).otherwise(F.col("size")).alias("words")))
     out = others.unionByName(cut_rows).withColumn("draws", F.filter(each, lambda d: d["words"] > 0))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
@@ -148,7 +156,7 @@ def mixed(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     """
     names = docs.columns
     packed = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
-    rows = plan(packed, seed, extra=("text", "__row"), **options).select("doc_id", "text", "size", "__row", F.explode("draws").alias("draw"))
+    rows = plan(packed, seed, extra=("__row",), **options).select("doc_id", F.col("__row.text").alias("text"), "size", "__row", F.explode("draws").alias("draw"))
     some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("draw.words").cast("int")), " ")
     text = F.when(F.col("draw.words") < F.col("size"), some).otherwise(F.col("text"))
     order = F.xxhash64(F.lit(seed), "draw.shard", "doc_id", "draw.pass")
