@@ -18,9 +18,9 @@ import numpy as np
 from sparkloom.llm.common import span_hashes
 
 #: Units that a worker remembers.
-MEMO_UNITS = 600_000
+MEMO_UNITS = 400_000
 #: Bytes of text that are encoded together.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 1 << 20
 END_ID = 1
 
 #: Kinds of bytes: 1 surely no white space, 2 an ASCII letter, 3 ASCII punctuation but no apostrophe.
