@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer, with a memo of text units.
 
 A text is cut at places that no token of the public vocabularies can reach
-across: before a plain space or a line feed, and between an ASCII letter and
-ASCII punctuation, wherever the bytes beside the place decide that. The ids of
+across: before a plain space, on both sides of a line feed, and between an ASCII
+letter and ASCII punctuation, wherever the bytes beside the place decide that. The ids of
 a text are those of its units one after another. Units repeat, and the
 tokenizers library sees each of them once for each worker while the memo has
 room; a full memo keeps what it has, and other units are encoded where they
@@ -34,14 +34,24 @@ _KIND[0xC3:0xE1] = 1
 _KIND[0xE4:0xF5] = 1
 
 
-def _cuts(data: np.ndarray) -> np.ndarray:
-    """For each place between two bytes whether units end there."""
+def _cuts(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """For each place between two bytes whether units end there.
+
+    ``firsts`` are the places of bytes that begin a text: what ends before one
+    ends as a text does. Of a run of white space the splitting rules take all but
+    the last character together, if something follows, so the place before that
+    last one is a cut whatever stands before it, and the place after a line feed
+    is one only together with the place before it.
+    """
     kind = _KIND[data]
     a, b = kind[:-1], kind[1:]
     cut = (a >= 2) & (b >= 2) & (a != b)
     cut |= (data[1:] == 0x0A) & (a > 0)
-    cut |= (data[:-1] == 0x0A) & (b > 0)
-    cut[:-1] |= (data[1:-1] == 0x20) & (kind[2:] > 0)
+    ahead = kind > 0
+    ahead[firsts] = False
+    last = ahead[1:] & (data[:-1] == 0x0A)  # line feeds that end a run of white space
+    cut |= last
+    cut[:-1] |= last[1:] | (ahead[2:] & (data[1:-1] == 0x20))
     return cut
 
 
@@ -127,7 +137,7 @@ class Units:
         rows, n = len(offsets) - 1, len(data)
         if n:
             edge = np.zeros(n + 1, bool)
-            edge[1:n] = _cuts(data)
+            edge[1:n] = _cuts(data, offsets[offsets < n])
             edge[offsets] = True
             edges = np.flatnonzero(edge)
             start, end = edges[:-1], edges[1:]

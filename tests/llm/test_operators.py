@@ -67,6 +67,22 @@ def test_units_give_the_library_ids(name, documents):
             assert ids[at[r - a] : at[r - a + 1]].tolist() == want, texts[r]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_units_give_the_ids_of_a_fresh_tokenizer_at_white_space(name):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    fresh, encoder = Tokenizer.from_file(public_path(name)), units(public_path(name))
+    texts = ["a\n\nb", "para one.\n\nPara two", "a\n\n\nb", "a\r\nb", "a\r\n\r\nb", "é\n\né", "\n\nb", "a\n\n", "b", "a  ", "b", "a \n", "b", "\n", "\n", "b"]
+    rng = np.random.default_rng(3)
+    pieces = ["a", "B", "\n", "\n", " ", "\r", "\t", ".", "'s", "é", "\u3000", "\u00a0", "7", "日", "\u0301", "-"]
+    texts += ["".join(rng.choice(pieces, rng.integers(0, 12))) for _ in range(5000)]
+    for a, b, data, offsets in common.text_chunks(pa.array(texts)):
+        ids, at = encoder.encode(data, offsets, None)
+        for r in range(a, b):
+            assert ids[at[r - a] : at[r - a + 1]].tolist() == fresh.encode(texts[r], add_special_tokens=False).ids, texts[r]
+
+
 # ---- 1 packing ------------------------------------------------------------------
 
 
