@@ -11,9 +11,10 @@ list. A shard's rows are then ordered by a hash, which shuffles them locally.
 
 Only sizes of sources and blocks come to the driver: at most ``MOST_BLOCKS``
 blocks besides one for each source, and at most ``MOST_SOURCES`` sources, or an
-error says so. Tables of blocks are broadcast under these bounds. Texts are not
-shuffled, but for the one block of each source that is cut to the word; the mix
-itself reads them a second time.
+error says so. Tables of blocks are broadcast under these bounds. The plan does
+not shuffle texts, but for the one block of each source that is cut to the word.
+The mix itself reads them a second time and shuffles each drawn text once, to its
+shard of about ``SHARD_WORDS`` words.
 
 Cases: null or blank texts have size 0 and are taken 0 words; a null source is a
 source of its own, the last; rows that repeat a doc_id count each on its own;
@@ -151,7 +152,7 @@ def plan(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, s
 def mixed(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     """The mix itself: a row of ``docs`` for each draw, with its shard and place.
 
-    Rows carry the columns of ``docs``, then mix_shard and mix_order; a draw that
+    A shard lies in one partition, in its order. Rows carry the columns of ``docs``, then mix_shard and mix_order; a draw that
     takes part of a document holds its first words, joined by single spaces.
     """
     names = docs.columns
@@ -159,5 +160,6 @@ def mixed(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     rows = plan(packed, seed, extra=("__row",), **options).select("doc_id", F.col("__row.text").alias("text"), "size", "__row", F.explode("draws").alias("draw"))
     some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("draw.words").cast("int")), " ")
     text = F.when(F.col("draw.words") < F.col("size"), some).otherwise(F.col("text"))
-    order = F.xxhash64(F.lit(seed), "draw.shard", "doc_id", "draw.pass")
-    return rows.select(F.col("__row").withField("text", text).alias("__row"), F.col("draw.shard").alias("mix_shard"), order.alias("mix_order")).select("__row.*", "mix_shard", "mix_order")
+    order = F.xxhash64(F.lit(seed), "draw.shard", "doc_id", "draw.pass", "__row.source", "__row.text")
+    drawn = rows.select(F.col("__row").withField("text", text).alias("__row"), F.col("draw.shard").alias("mix_shard"), order.alias("mix_order"))
+    return drawn.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order").select("__row.*", "mix_shard", "mix_order")

@@ -360,6 +360,28 @@ def test_mixing(spark, odd, documents):
     assert mixing.plan(odd.where("false")).count() == 0 and mixing.plan(odd.where("doc_id <= 3")).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mix_is_written_by_shard_in_its_order(spark, documents, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 20000)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 500)
+    sorted_in = documents.repartition(2, "source").sortWithinPartitions("source")
+    rows = mixing.mixed(sorted_in).select("mix_shard", "mix_order", "doc_id", F.spark_partition_id().alias("at"), F.monotonically_increasing_id().alias("n")).orderBy("n").collect()
+    places = collections.defaultdict(set)
+    for r in rows:
+        places[r.mix_shard].add(r.at)
+    assert len(places) > 2 and all(len(p) == 1 for p in places.values())
+    keys = [(r["at"], r.mix_shard, r.mix_order) for r in rows]
+    assert keys == sorted(keys)
+    # The pipeline's stage keeps that order in its files, so neither copies nor sources lie beside each other.
+    stage = common.cut(corpus_pipeline.mix_sources(spark, sorted_in, SF), "test-mixed")
+    assert stage.columns == documents.columns
+    at = stage.select("doc_id", "source").collect()
+    beside = list(itertools.pairwise(at))
+    assert len(at) == len(rows) and sum(a.doc_id == b.doc_id for a, b in beside) < len(at) / 10
+    assert sum(a.source == b.source for a, b in beside) < len(at) / 2
+
+
 # ---- 6 top-k ------------------------------------------------------------------------
 
 
