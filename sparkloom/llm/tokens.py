@@ -2,16 +2,17 @@
 
 A text is cut at places that no token of the public vocabularies can reach
 across: before a plain space, on both sides of a line feed, and between an ASCII
-letter and ASCII punctuation, wherever the bytes beside the place decide that. The ids of
-a text are those of its units one after another. Units repeat, and the
-tokenizers library sees each of them once for each worker while the memo has
-room; a full memo keeps what it has, and other units are encoded where they
-stand.
+letter and ASCII punctuation, wherever the bytes beside the place decide that.
+The file's added tokens, where a text holds one, stay whole. The ids of a text
+are those of its units one after another. Units repeat, and the tokenizers
+library sees each of them once for each worker while the memo has room; a full
+memo keeps what it has, and other units are encoded where they stand.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -81,8 +82,12 @@ class Units:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        added = sorted(self.tokenizer.get_added_tokens_decoder().values(), key=lambda t: -len(t.content.encode()))
+        #: Added tokens that a text may hold; the longest of those that begin at a place is meant.
+        self.added = re.compile(b"|".join(re.escape(t.content.encode()) for t in added)) if added else None
+        #: Texts are not cut if an added token takes what stands beside it or is sought in normalised text.
+        self.cutting = not any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added)
         self.form = next((f for f in (_kept, _folded) if all(self._plain(w) and self._whole(w) == self._word(f, w) for w in PROBES)), None)
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -115,6 +120,31 @@ class Units:
             out[i] = x.ids
         return out
 
+    def _spans(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Starts and ends of the added tokens written in the texts."""
+        found, at = [], 0
+        while self.added and (m := self.added.search(raw, at)):
+            end = int(offsets[np.searchsorted(offsets, m.start(), "right")])  # of its text
+            m = self.added.search(raw, m.start(), end)
+            if m:
+                found.append(m.span())
+            at = m.end() if m else end
+        return np.array(found, np.int64).reshape(-1, 2)
+
+    def _edges(self, data: np.ndarray, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Places where units begin, and the end. An added token is a unit, and a text ends before and begins after it."""
+        n = len(data)
+        edge = np.zeros(n + 1, bool)
+        if self.cutting:
+            spans = self._spans(raw, offsets)
+            firsts = np.concatenate([offsets, spans.ravel()])
+            edge[1:n] = _cuts(data, firsts[firsts < n])
+            for a, b in spans.tolist():
+                edge[a : b + 1] = False
+            edge[spans.ravel()] = True
+        edge[offsets] = True
+        return np.flatnonzero(edge)
+
     def _append(self, many: list[list[int]]) -> None:
         n, have = sum(map(len, many)), self.count
         while self.used + n > len(self.ids):
@@ -136,13 +166,10 @@ class Units:
         """
         rows, n = len(offsets) - 1, len(data)
         if n:
-            edge = np.zeros(n + 1, bool)
-            edge[1:n] = _cuts(data, offsets[offsets < n])
-            edge[offsets] = True
-            edges = np.flatnonzero(edge)
+            raw = data.tobytes()
+            edges = self._edges(data, raw, offsets)
             start, end = edges[:-1], edges[1:]
             _, pick, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-            raw = data.tobytes()
             known, before = self.known, (self.used, self.count)
             keys = [raw[a:b] for a, b in zip(start[pick].tolist(), end[pick].tolist(), strict=True)]
             number = np.fromiter((known.get(k, -1) for k in keys), np.int64, len(keys))

@@ -83,6 +83,22 @@ def test_units_give_the_ids_of_a_fresh_tokenizer_at_white_space(name):
             assert ids[at[r - a] : at[r - a + 1]].tolist() == fresh.encode(texts[r], add_special_tokens=False).ids, texts[r]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_units_give_the_ids_of_a_fresh_tokenizer_for_added_tokens(name):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    fresh, encoder = Tokenizer.from_file(public_path(name)), units(public_path(name))
+    texts = ["see <|endoftext|> here", "<|startoftext|>x", "a\n\n<|endoftext|>\n\nb", "<|endof", "text|>", "a<|endoftext|><|endoftext|>", "<|<|endoftext|>|>", "<|ENDOFTEXT|>"]
+    rng = np.random.default_rng(4)
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "a", "\n", " ", ".", "é", "<", "|", ">"]
+    texts += ["".join(rng.choice(pieces, rng.integers(0, 9))) for _ in range(3000)]
+    for a, b, data, offsets in common.text_chunks(pa.array(texts)):
+        ids, at = encoder.encode(data, offsets, None)
+        for r in range(a, b):
+            assert ids[at[r - a] : at[r - a + 1]].tolist() == fresh.encode(texts[r], add_special_tokens=False).ids, texts[r]
+
+
 # ---- 1 packing ------------------------------------------------------------------
 
 
