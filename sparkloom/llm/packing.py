@@ -3,8 +3,9 @@
 Documents stream into shards of bounded size. Each shard has an inverted index
 over token ids with BM25 impacts. The window that a seed document opens is
 filled with the best unused documents of the shard, by the score of the seed's
-most telling terms; the last one is cut where the window ends, and its rest
-seeds the next window. Nothing is shuffled, and a task holds one shard at a
+most telling terms, as long as any has a score above 0; then the next document
+seeds the rest of the window. The last one is cut where the window ends, and its
+rest seeds the next window. Nothing is shuffled, and a task holds one shard at a
 time. What remains at a shard's end is cut into windows whose lengths are
 powers of two, which take no padding.
 
@@ -67,11 +68,16 @@ def pack_windows(ids: np.ndarray, at: np.ndarray, window: int = WINDOW) -> list[
     index, lengths = Bm25(ids, at), np.diff(at).tolist()
     n, pieces, number, fill = len(lengths), [], 0, 0
     unused = np.ones(n, bool)
-    waiting: list[int] = []  # neighbours of the seed of this window, the best last
+    scores = np.zeros(n)  # of the seed of the open window
+    waiting: list[int] = []  # its best neighbours, the best last
+    batch = 0
     following = 0
     for _ in range(n):
         while waiting and not unused[waiting[-1]]:
             waiting.pop()
+        if not waiting and batch:  # the neighbours after those that were taken
+            waiting, batch = _best(scores, unused, batch), 2 * batch
+        seeds = not waiting
         if waiting:
             doc = waiting.pop()
         else:
@@ -79,26 +85,29 @@ def pack_windows(ids: np.ndarray, at: np.ndarray, window: int = WINDOW) -> list[
                 following += 1
             doc = following
         unused[doc] = False
-        start, left, first = 0, lengths[doc], fill == 0
+        start, left = 0, lengths[doc]
         while left:
             take = min(left, window - fill)
             pieces.append((doc, start, take, number, fill))
             start, left, fill = start + take, left - take, fill + take
             if fill == window:
-                number, fill, first = number + 1, 0, True
-        if fill and first:  # it seeds the window that is open now
-            scores = index.scores(doc)
-            scores[~unused] = 0
-            found = np.flatnonzero(scores > 0)
-            most = 32  # as many as a window is likely to take; the next asks again
-            if len(found) > most:
-                found = found[np.argpartition(-scores[found], most - 1)[:most]]
-            waiting = found[np.lexsort((-found, scores[found]))].tolist()
+                number, fill, seeds = number + 1, 0, True
+        if fill and seeds:  # it opened the window, or nothing in it has neighbours left
+            scores, waiting, batch = index.scores(doc), [], 32
         elif not fill:
-            waiting = []
+            waiting, batch = [], 0
     return _ended(pieces, number, fill)
 
 
+def _best(scores: np.ndarray, unused: np.ndarray, most: int) -> list[int]:
+    """At least ``most`` unused neighbours, if there are as many, by score, the best last."""
+    found = np.flatnonzero(unused & (scores > 0))
+    if len(found) > most:
+        least = np.partition(scores[found], len(found) - most)[len(found) - most]
+        found = found[scores[found] >= least]
+    return found[np.lexsort((-found, scores[found]))].tolist()
+
+
 def _ended(pieces: list, number: int, fill: int) -> list:
     """Deal the open window out to windows whose lengths are powers of two."""
     if not fill or not fill & (fill - 1):

@@ -142,6 +142,19 @@ def test_packing_puts_neighbours_together():
     assert first.count(first[0]) == 6
 
 
+def test_packing_fills_a_window_with_all_neighbours_of_its_seed():
+    rng = np.random.default_rng(5)
+    docs = [np.concatenate([[1000 + i % 10], rng.integers(0, 9, 3) + 10 * (i % 10) + 2000]) for i in range(1000)]  # topics alternate, 4 ids each
+    at = np.arange(0, 4001, 4)
+    pieces = packing.pack_windows(np.concatenate(docs).astype(np.uint32), at, 256)
+    assert sorted((d, s) for d, s, *_ in pieces if s == 0) == [(i, 0) for i in range(1000)]
+    topics = [{p[0] % 10 for p in pieces if p[3] == w} for w in range(15)]
+    assert len(topics[0]) == 1 and sum(map(len, topics)) <= 15 + 10
+    lonely = np.concatenate([[7 * i, 7 * i] for i in range(5)] + [[1, 2]] * 3).astype(np.uint32)  # without neighbours, then a topic
+    order = [p[0] for p in packing.pack_windows(lonely, np.arange(0, 17, 2), 64)]
+    assert sorted(order) == list(range(8))
+
+
 def test_bm25_against_brute_force():
     rng = np.random.default_rng(2)
     docs = [rng.integers(0, 40, n) for n in (30, 50, 20, 80)]
