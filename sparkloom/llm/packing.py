@@ -1,13 +1,17 @@
 """Packing by lexical retrieval: windows of tokens from related documents.
 
-Documents stream into shards of bounded size. Each shard has an inverted index
-over token ids with BM25 impacts. The window that a seed document opens is
-filled with the best unused documents of the shard, by the score of the seed's
-most telling terms, as long as any has a score above 0; then the next document
-seeds the rest of the window. The last one is cut where the window ends, and its
-rest seeds the next window. Nothing is shuffled, and a task holds one shard at a
-time. What remains at a shard's end is cut into windows whose lengths are
-powers of two, which take no padding.
+Texts are encoded once and their ids written to the shared folder. Document
+frequencies and the mean length are counted over all of them. A shuffle sorts
+the documents by their most telling ids, so related ones and copies of the whole
+corpus come together, and this order is cut into shards of bounded size. Each
+shard has an inverted index over token ids with BM25 impacts. The window that a
+seed document opens is filled with the best unused documents of the shard, by the
+score of the seed's most telling terms, as long as any has a score above 0; then
+the next document seeds the rest of the window. The last one is cut where the
+window ends, and its rest seeds the next window. A task holds one shard at a
+time; documents that are related by other ids than those they are sorted by may
+be in different shards. What remains at a shard's end is cut into windows whose
+lengths are powers of two, which take no padding.
 
 Cases: null text is empty; an empty document is its end id alone; rows that
 repeat a doc_id are packed each on its own; an empty table gives no row; other
@@ -18,13 +22,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sparkloom.llm.common import row_chunks, text_buffers
+from sparkloom.llm.common import cut, row_chunks, text_buffers
 from sparkloom.llm.tokens import ENCODE_BYTES, END_ID, units
 
 WINDOW = 2048
@@ -40,13 +46,15 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Bm25:
     """Inverted index of a shard: for each term its documents and impacts."""
 
-    def __init__(self, ids: np.ndarray, at: np.ndarray):
+    def __init__(self, ids: np.ndarray, at: np.ndarray, stats: Stats | None = None):
         n, lengths = len(at) - 1, np.diff(at).astype(np.float64)
-        key, tf = np.unique(np.repeat(np.arange(n, dtype=np.int64), np.diff(at)) << 32 | ids.astype(np.int64), return_counts=True)
-        doc, term = key >> 32, key & 0xFFFFFFFF
+        doc, term, tf = _postings(ids, at)
         terms, number, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[number] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))
+        if stats is None:  # the shard is all there is
+            own, stats = df, Stats(n, lengths.mean(), df)
+        else:
+            own = stats.df[terms]
+        impact = _impacts(stats, own[number], tf, lengths[doc])
         by_term = np.argsort(number, kind="stable")
         self.n, self.docs, self.impacts = n, doc[by_term], impact[by_term].astype(np.float32)
         self.term_at = np.concatenate([[0], np.cumsum(df)])
@@ -63,9 +71,9 @@ class Bm25:
         return np.bincount(self.docs[places], self.impacts[places], self.n)
 
 
-def pack_windows(ids: np.ndarray, at: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack_windows(ids: np.ndarray, at: np.ndarray, window: int = WINDOW, stats: Stats | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, window, offset) that hold each id of a shard once."""
-    index, lengths = Bm25(ids, at), np.diff(at).tolist()
+    index, lengths = Bm25(ids, at, stats), np.diff(at).tolist()
     n, pieces, number, fill = len(lengths), [], 0, 0
     unused = np.ones(n, bool)
     scores = np.zeros(n)  # of the seed of the open window
@@ -126,12 +134,122 @@ def _ended(pieces: list, number: int, fill: int) -> list:
     return done
 
 
+class Stats(NamedTuple):
+    """Documents, their mean length, and for each id the documents that hold it."""
+
+    docs: int
+    mean: float
+    df: np.ndarray
+
+    def idf(self, df: np.ndarray) -> np.ndarray:
+        return np.log1p((self.docs - df + 0.5) / (df + 0.5))
+
+
+def _postings(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, id, occurrences) in order of documents, then ids."""
+    n = len(at) - 1
+    key, tf = np.unique(np.repeat(np.arange(n, dtype=np.int64), np.diff(at)) << 32 | ids.astype(np.int64), return_counts=True)
+    return key >> 32, key & 0xFFFFFFFF, tf
+
+
+def _impacts(stats: Stats, df: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return stats.idf(df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / stats.mean))
+
+
+def topics(ids: np.ndarray, at: np.ndarray, stats: Stats, least: tuple[float, ...]) -> list[np.ndarray]:
+    """For each value of ``least`` every document's most telling id of those that so many documents hold; -1 if there is none."""
+    doc, term, tf = _postings(ids, at)
+    df = stats.df[term]
+    impact = _impacts(stats, df, tf, np.diff(at)[doc])
+    order = np.lexsort((term, -impact, doc))
+    out = []
+    for n in least:
+        own = order[df[order] >= n]
+        found, first = np.unique(doc[own], return_index=True)
+        best = np.full(len(at) - 1, -1, np.int64)
+        best[found] = term[own[first]]
+        out.append(best)
+    return out
+
+
+def _token_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of ids as bytes, and the n + 1 offsets of rows in them."""
+    data, offsets = text_buffers(column)
+    return data[offsets[0] : offsets[-1]].view("<u4"), (offsets - offsets[0]) // 4
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+    """(doc_id, row, ids as bytes): every row of ``docs`` under a number of its own, written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, row = units(tokenizer_path), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            ids_of, (data, offsets) = batch.column(0), text_buffers(batch.column(1))
+            for a, b in row_chunks(offsets, ENCODE_BYTES):
+                own = offsets[a : b + 1]
+                ids, at = encoder.encode(data[own[0] : own[-1]], own - own[0], end_id)
+                column = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([ids_of.slice(a, b - a).cast(pa.int64()), pa.array(np.arange(row, row + b - a)), column], names=["doc_id", "row", "ids"])
+                row += b - a
+
+    return cut(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, row long, ids binary"), "packing-ids")
+
+
+def statistics(tokens: DataFrame) -> Stats:
+    """Of all documents. A row for each id of the vocabulary comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, docs, length = np.zeros(1, np.int64), 0, 0
+        for batch in batches:
+            ids, at = _token_buffers(batch.column(0))
+            for a, b in row_chunks(at, ENCODE_BYTES):
+                own = np.bincount(_postings(ids[at[a] : at[b]], at[a : b + 1] - at[a])[1])
+                small, df = sorted((df, own), key=len)
+                df = df.copy()
+                df[: len(small)] += small
+            docs, length = docs + len(at) - 1, length + int(at[-1])
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"id": np.concatenate([[-2, -1], held]), "n": np.concatenate([[docs, length], df[held]])})
+
+    table = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
+    df = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+    df[ids[ids >= 0]] = n[ids >= 0]
+    docs, length = int(n[ids == -2].sum()), int(n[ids == -1].sum())
+    return Stats(docs, length / max(docs, 1), df)
+
+
+def gathered(tokens: DataFrame, stats: Stats, shard_tokens: int, window: int) -> DataFrame:
+    """``tokens`` in an order in which related documents of all the corpus are near each other.
+
+    They are sorted by their most telling ids: of those that fill a shard, then of
+    those that fill a window, then of all that two documents hold. Ranges of this order
+    are the partitions. The row's number comes last, so a hot group is split as any other.
+    """
+    schema = "t0 long, t1 long, t2 long, row long, doc_id long, ids binary"
+    least = tuple(max(2.0, n / max(stats.mean, 1)) for n in (shard_tokens, window, 0))
+    sent = tokens.sparkSession.sparkContext.broadcast(stats)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = _token_buffers(batch.column(2))
+            for a, b in row_chunks(at, ENCODE_BYTES):
+                keys = topics(ids[at[a] : at[b]], at[a : b + 1] - at[a], sent.value, least)
+                rows = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), rows.column(1), rows.column(0), rows.column(2)], names=["t0", "t1", "t2", "row", "doc_id", "ids"])
+
+    keys = ["t0", "t1", "t2", "row"]
+    return tokens.mapInArrow(run, schema).repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+
+
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text); with ``with_ids`` its ids too."""
     schema = PIECES + (", ids array<long>" if with_ids else "")
+    tokens = encoded(docs, tokenizer_path, end_id)
+    stats = statistics(tokens)
+    sent = docs.sparkSession.sparkContext.broadcast(stats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = units(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 40
         names: list[int | None] = []
         held: list[np.ndarray] = []
@@ -140,7 +258,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
 
         def closed(sequence: int) -> tuple[int, pa.RecordBatch]:
             ids, at = np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-            rows = np.array(pack_windows(ids, at, window), np.int64).reshape(-1, 5)
+            rows = np.array(pack_windows(ids, at, window, sent.value), np.int64).reshape(-1, 5)
             raw = memoryview(ids.astype("<u4").view(np.uint8))
             lo = at[rows[:, 0]] + rows[:, 1]
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(lo.tolist(), (lo + rows[:, 2]).tolist(), strict=True)]
@@ -150,23 +268,20 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
             return sequence + int(rows[-1, 3]) + 1, pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
-            ids_of, (data, offsets) = batch.column(0).to_pylist(), text_buffers(batch.column(1))
-            for a, b in row_chunks(offsets, ENCODE_BYTES):
-                own = offsets[a : b + 1]
-                ids, at = encoder.encode(data[own[0] : own[-1]], own - own[0], end_id)
-                r = 0
-                while r < b - a:
-                    s = min(b - a, max(r + 1, int(np.searchsorted(at, at[r] + shard_tokens - tokens, "left"))))
-                    names += ids_of[a + r : a + s]
-                    held.append(ids[at[r] : at[s]])
-                    lengths.append(np.diff(at[r : s + 1]))
-                    tokens += int(at[s] - at[r])
-                    r = s
-                    if tokens >= shard_tokens:
-                        sequence, made = closed(sequence)
-                        yield made
-                        tokens, names, held, lengths = 0, [], [], []
+            ids_of, (ids, at) = batch.column(0).to_pylist(), _token_buffers(batch.column(1))
+            r = 0
+            while r < len(ids_of):
+                s = min(len(ids_of), max(r + 1, int(np.searchsorted(at, at[r] + shard_tokens - tokens, "left"))))
+                names += ids_of[r:s]
+                held.append(ids[at[r] : at[s]])
+                lengths.append(np.diff(at[r : s + 1]))
+                tokens += int(at[s] - at[r])
+                r = s
+                if tokens >= shard_tokens:
+                    sequence, made = closed(sequence)
+                    yield made
+                    tokens, names, held, lengths = 0, [], [], []
         if names:
             yield closed(sequence)[1]
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return gathered(tokens, stats, shard_tokens, window).mapInArrow(run, schema)

@@ -142,6 +142,25 @@ def test_packing_puts_neighbours_together():
     assert first.count(first[0]) == 6
 
 
+def test_packing_brings_copies_of_the_whole_table_together(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 60)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "doc_id long, text string").repartitionByRange(6, "doc_id")
+    path = public_path("byte_bpe_50k.json")
+    rows = packing.pack(docs, path, shard_tokens=8000).collect()
+    _check_pieces(rows, list(enumerate(texts * 2)))
+    windows = collections.defaultdict(set)
+    for r in rows:
+        windows[r.doc_id].add(r.sequence_id)
+    together = sum(bool(windows[i] & windows[i + 300]) for i in range(300))
+    assert together > 250
+    tokenizer = units(path).tokenizer
+    ids = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts * 2]
+    stats = packing.statistics(packing.encoded(docs, path, 1))
+    want = collections.Counter(i for own in ids for i in set(own))
+    assert stats.docs == 600 and np.isclose(stats.mean, np.mean(list(map(len, ids)))) and {int(i): int(stats.df[i]) for i in np.flatnonzero(stats.df)} == want
+
+
 def test_packing_fills_a_window_with_all_neighbours_of_its_seed():
     rng = np.random.default_rng(5)
     docs = [np.concatenate([[1000 + i % 10], rng.integers(0, 9, 3) + 10 * (i % 10) + 2000]) for i in range(1000)]  # topics alternate, 4 ids each
