@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import collections
+import fractions
 import itertools
+import math
 import re
 import unicodedata
 import zlib
@@ -433,31 +435,63 @@ def test_mix_is_written_by_shard_in_its_order(spark, documents, monkeypatch):
 # ---- 6 top-k ------------------------------------------------------------------------
 
 
+def _floor(x):
+    """floor(1024 * x) as a Python integer."""
+    return int(fractions.Fraction(x) * 1024 // 1)
+
+
+def _brute_top(vectors, every=100, k=10):
+    fine = [(i, [_floor(x) for x in v]) for i, v in vectors if i is not None and v is not None and None not in v and all(map(math.isfinite, v))]
+    out = {}
+    for q in sorted({i for i, _ in fine if i % every == 0}):
+        own = min((v for i, v in fine if i == q))
+        scores = ((max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(own, v, strict=False)))), i) for i, v in fine if i != q)
+        out[q] = [(i, s) for s, i in sorted(scores, key=lambda x: (-x[0], x[1]))[:k]]
+    return {q: rows for q, rows in out.items() if rows}
+
+
+def _got_top(df, **options):
+    got = collections.defaultdict(list)
+    for r in topk.top_k(df, **options).orderBy("query_id", "rank").collect():
+        assert r["rank"] == len(got[r.query_id]) + 1
+        got[r.query_id].append((r.vec_id, r.score))
+    return got
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(7)
     vectors = [(i, rng.normal(size=16).round(1).tolist()) for i in range(0, 900)]
-    vectors += [(1000, None), (1100, [float("nan")] * 16), (1200, [None] * 16), (1300, []), (100, vectors[3][1]), (1400, [1e300] * 16), (None, [1.0] * 16), (1500, [0.5] * 4)]
+    vectors += [(1000, None), (1100, [float("nan")] * 16), (1200, [None] * 16), (1300, []), (100, vectors[3][1]), (1400, [float("inf")] * 16), (None, [1.0] * 16), (1500, [0.5] * 4), (1600, [0.0] * 16)]
     df = spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id long, embedding array<float>, label int")
-    got = collections.defaultdict(list)
-    for r in topk.top_k(df).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    fine = [(i, np.floor(1024 * np.array(v, np.float32).astype(float))) for i, v in vectors if i is not None and v is not None and None not in v and np.isfinite(v).all() and max(map(abs, v), default=0) < 1e9]
-    assert set(got) == {i for i, _ in fine if i % 100 == 0}
-    for q in got:
-        own = min((v for i, v in fine if i == q), key=lambda v: v.tolist())
-        score = sorted((-int(own[: min(len(own), len(v))] @ v[: min(len(own), len(v))]), i) for i, v in fine if i != q)[:10]
-        assert [(-s) for s, _ in score] == [s for _, s in got[q]] and [i for _, i in score] == [i for i, _ in got[q]]
+    as_float = [(i, v and [x if x is None else float(np.float32(x)) for x in v]) for i, v in vectors]
+    assert _got_top(df) == _brute_top(as_float)
     assert topk.top_k(df.where("false")).count() == 0
 
 
+def test_top_k_takes_vectors_of_any_finite_size(spark):
+    small = [(0, [1.0, 1.0]), (100, [70000.0, 0.0]), (1, [70000.0, 1.0]), (2, [2.0, 2.0])]
+    rng = np.random.default_rng(11)
+    wide = [(i, (rng.normal(size=8) * 10.0 ** rng.integers(-3, 13, 8)).tolist()) for i in range(600)]
+    beyond = [(i, (rng.normal(size=3) * 10.0 ** rng.integers(0, 300)).tolist()) for i in range(300)] + [(300, [1.7e308, -1.7e308, 5e-324])]
+    for vectors in (small, wide, beyond):
+        df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+        assert _got_top(df) == _brute_top(vectors)
+
+
 def test_top_k_stops_early_and_in_blocks(spark):
     rng = np.random.default_rng(8)
     m = (rng.random((4000, 32)) ** 8 * 900).astype(np.int64)
-    index = topk.ImpactIndex(np.arange(4000), m)
+    index = topk.ImpactIndex.from_bytes(topk.ImpactIndex(np.arange(4000), m / 1024).to_bytes())
+    early = 0
     for q in m[:20]:
-        ids, scores = index.search(q, -1)
+        ids, scores = index.search(q / 1024, -1)
         best = np.lexsort((np.arange(4000), -(m @ q)))[:10]
         assert ids.tolist() == best.tolist() and scores.tolist() == (m @ q)[best].tolist()
+        early += index.processed < len(index.dim) and index.rescored < 2000
+    assert early >= 15  # the proof comes before all segments are processed
+    tiny = topk.ImpactIndex(np.arange(60), m[:60] / 1024)  # a small shard takes the same path
+    tiny.search(m[3] / 1024, -1)
+    assert tiny.processed > 0 and tiny.rescored < 60
     df = spark.createDataFrame([(i, (v / 1024).tolist()) for i, v in enumerate(m[:600])], "vec_id long, embedding array<double>")
     path = common.fresh_path(spark, "test-index")
     topk.build_index(df, path, shard_rows=128)
