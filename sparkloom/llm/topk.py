@@ -43,7 +43,7 @@ from sparkloom.llm.common import fresh_path
 SCALE, K, EVERY = 1024, 10, 100
 SHARD_ROWS = 8192
 LEVELS = 32
-#: Steps of quantised impact.
+#: Steps of quantised impact, two for each halving.
 STEPS = 24
 QUERY_BYTES = 16 << 20
 LONG = (1 << 63) - 1
@@ -125,7 +125,8 @@ class ImpactIndex:
         least_sure = -np.ldexp(1.0, min(63 - unit, 1000)) - base.sum() if 63 - unit > -1000 else 0.0
         least, most = least - base[self.dim], most - base[self.dim]  # 0 or more
         peak = float(most.max(initial=0))
-        step = np.minimum(STEPS - 1, ((peak - most) * STEPS / (peak or 1.0)).astype(np.int64))
+        share = np.maximum(most / (peak or 1.0), 2.0**-STEPS)
+        step = np.minimum(STEPS - 1, (-2 * np.log2(share)).astype(np.int64))
         order = np.argsort(step, kind="stable")
         edges = np.searchsorted(step[order], np.arange(STEPS + 1))
         sure, spread, unmet = np.zeros(rows), np.zeros(rows), np.ones((rows, dims))
