@@ -386,10 +386,68 @@ def test_targets():
     assert np.isclose(sum(mixing.targets([5, 1000, 3, 70], [3, 1, 2, 3])), 1.5 * 1078)
 
 
+def _brute_tree(quotas, lo, hi, seed):
+    """Blocks of every leaf, node by node."""
+    if hi - lo == 1:
+        return [list(quotas)]
+    mid = (lo + hi) // 2
+    rng, need, rest, left = np.random.default_rng([seed, lo, hi]), sum(quotas) * (mid - lo) // (hi - lo), sum(quotas), []
+    for n in quotas:
+        rest -= n
+        got = 0 if not (need and n) else int(rng.hypergeometric(n, rest, need)) if rest else need
+        left.append(got)
+        need -= got
+    return _brute_tree(left, lo, mid, seed) + _brute_tree([n - x for n, x in zip(quotas, left, strict=True)], mid, hi, seed)
+
+
 def test_splitting_tree_is_exact():
-    out = mixing.split_quotas(np.array([1000, 1, 0, 377]), 13, 4)
-    assert out.sum(0).tolist() == [1000, 1, 0, 377] and set(out.sum(1)) <= {105, 106, 107} and (out >= 0).all()
-    assert (mixing.split_quotas(np.array([1000, 1, 0, 377]), 13, 4) == out).all()
+    quotas = [1000, 1, 0, 377]
+    out = mixing.split_quotas(np.array(quotas), 13, 4)
+    assert out.sum(0).tolist() == quotas and set(out.sum(1)) <= {105, 106, 107} and (out >= 0).all()
+    assert out.tolist() == _brute_tree(quotas, 0, 13, 4)
+    every = [(k, a.tolist(), n.tolist()) for k, a, n in mixing.leaves(np.array(quotas), 13, 4)]
+    assert [a for _, a, _ in every] == (np.cumsum(out, 0) - out).tolist()  # no two leaves share a block
+    some = [x for lo in range(0, 13, 5) for x in mixing.leaves(np.array(quotas), 13, 4, lo, min(lo + 5, 13))]
+    assert [(k, a.tolist(), n.tolist()) for k, a, n in some] == every  # tasks that hold a part of the leaves agree
+
+
+def test_leaves_draw_what_the_rows_give(spark, documents, monkeypatch):
+    """Every draw of every row, recomputed from sizes, hashes and the tree."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 400)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 7)
+    monkeypatch.setattr(mixing, "GROUP", 5)
+    few = documents.where("doc_id % 3 = 0")
+    rows = few.select("doc_id", "source", F.xxhash64(F.lit(0), "doc_id", "source").alias("order"), F.xxhash64("text").alias("tie"), F.size(F.regexp_extract_all("text", F.lit(f"({mixing.WORD})"), F.lit(1))).alias("size")).collect()
+    order = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r.size for r in rows if r.source == s) for s in order]
+    goal = [round(t) for t in mixing.targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(order))])]
+    blocks = [-(-n // 400) for n in sizes]
+    own = collections.defaultdict(list)
+    for r in rows:
+        own[order.index(r.source), r.order % blocks[order.index(r.source)]].append(r)
+    want, lists = collections.defaultdict(list), []
+    for s in range(len(order)):
+        passes, left = divmod(goal[s], sizes[s])
+        mine = [(p, b, 1 << 40) for p in range(passes) for b in range(blocks[s])]  # (pass, block, words that may be taken)
+        for b in range(blocks[s]):
+            if left > 0:
+                mine.append((passes, b, left))
+            left -= sum(r.size for r in own[s, b])
+        lists.append(mine)
+    shards = -(-sum(map(len, lists)) // 7)
+    for shard, counts in enumerate(_brute_tree(list(map(len, lists)), 0, shards, 0)):
+        for s, n in enumerate(counts):
+            for p, b, left in lists[s][:n]:
+                for r in sorted(own[s, b], key=lambda r: (r.order, r.doc_id, r.tie)):
+                    if (take := min(left, r.size)) > 0:
+                        want[r.doc_id].append((p, shard, take))
+                    left -= take
+            lists[s] = lists[s][n:]
+    assert shards > 5 and not any(lists)
+    for limit in (100_000, 0):  # broadcast, and joined by a shuffle
+        monkeypatch.setattr(mixing, "SMALL_DRAWS", limit)
+        got = {r.doc_id: sorted((d["pass"], d.shard, d.words) for d in r.draws) for r in mixing.plan(few).collect()}
+        assert {d: x for d, x in got.items() if x} == {d: sorted(x) for d, x in want.items()}
 
 
 def test_mixing(spark, odd, documents):
@@ -413,7 +471,7 @@ def test_mixing(spark, odd, documents):
 def test_mix_is_written_by_shard_in_its_order(spark, documents, monkeypatch):
     import corpus_pipeline
 
-    monkeypatch.setattr(mixing, "SHARD_WORDS", 20000)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 40)
     monkeypatch.setattr(mixing, "BLOCK_WORDS", 500)
     sorted_in = documents.repartition(2, "source").sortWithinPartitions("source")
     rows = mixing.mixed(sorted_in).select("mix_shard", "mix_order", "doc_id", F.spark_partition_id().alias("at"), F.monotonically_increasing_id().alias("n")).orderBy("n").collect()
@@ -430,6 +488,10 @@ def test_mix_is_written_by_shard_in_its_order(spark, documents, monkeypatch):
     beside = list(itertools.pairwise(at))
     assert len(at) == len(rows) and sum(a.doc_id == b.doc_id for a, b in beside) < len(at) / 10
     assert sum(a.source == b.source for a, b in beside) < len(at) / 2
+    clash = documents.limit(5).withColumn("mix_shard", F.lit("mine")).withColumn("a.b", F.lit(1)).withColumn("mix_order", F.lit(0))
+    assert [r.mix_shard for r in corpus_pipeline.mix_sources(spark, clash, SF).limit(1).collect()] == ["mine"]
+    assert mixing.mixed(clash).columns == [*documents.columns, "a.b", "mix_shard", "mix_order"]
+    assert corpus_pipeline.drop_near_duplicates(spark, clash, SF).columns == clash.columns
 
 
 # ---- 6 top-k ------------------------------------------------------------------------
