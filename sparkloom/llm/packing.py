@@ -6,7 +6,7 @@ the documents by their most telling ids, so related ones and copies of the whole
 corpus come together, and this order is cut into shards of bounded size. Each
 shard has an inverted index over token ids with BM25 impacts. The window that a
 seed document opens is filled with the best unused documents of the shard, by the
-score of the seed's most telling terms, as long as any has a score above 0; then
+score of all the seed's terms, as long as any has a score above 0; then
 the next document seeds the rest of the window. The last one is cut where the
 window ends, and its rest seeds the next window. A task holds one shard at a
 time; documents that are related by other ids than those they are sorted by may
@@ -36,8 +36,8 @@ from sparkloom.llm.tokens import ENCODE_BYTES, END_ID, units
 WINDOW = 2048
 #: A shard is closed at that many tokens.
 SHARD_TOKENS = 1 << 20
-#: Terms of a seed, the most telling first, that look for neighbours.
-QUERY_TERMS = 24
+#: Ids that are counted together.
+COUNT_IDS = 1 << 18
 K1, B = 1.2, 0.75
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -49,25 +49,22 @@ class Bm25:
     def __init__(self, ids: np.ndarray, at: np.ndarray, stats: Stats | None = None):
         n, lengths = len(at) - 1, np.diff(at).astype(np.float64)
         doc, term, tf = _postings(ids, at)
-        terms, number, df = np.unique(term, return_inverse=True, return_counts=True)
+        df = np.bincount(term)
         if stats is None:  # the shard is all there is
-            own, stats = df, Stats(n, lengths.mean(), df)
-        else:
-            own = stats.df[terms]
-        impact = _impacts(stats, own[number], tf, lengths[doc])
-        by_term = np.argsort(number, kind="stable")
-        self.n, self.docs, self.impacts = n, doc[by_term], impact[by_term].astype(np.float32)
+            stats = Stats(n, lengths.mean(), df)
+        impact = _impacts(stats, stats.df[term], tf, lengths[doc])
+        by_term = np.argsort(term << 32 | doc)
+        self.n, self.docs, self.impacts = n, doc[by_term].astype(np.int32), impact[by_term].astype(np.float32)
         self.term_at = np.concatenate([[0], np.cumsum(df)])
         self.doc_at = np.searchsorted(doc, np.arange(n + 1))
-        self.doc_terms, self.doc_impacts = number, impact
+        self.doc_terms = term.astype(np.int32)
 
-    def scores(self, seed: int, terms: int = QUERY_TERMS) -> np.ndarray:
-        """BM25 of every document of the shard for the seed's most telling terms."""
-        a, b = self.doc_at[seed], self.doc_at[seed + 1]
-        own = np.argsort(-self.doc_impacts[a:b], kind="stable")[:terms]
-        chosen = self.doc_terms[a:b][own]
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document of the shard for the seed's terms."""
+        chosen = self.doc_terms[self.doc_at[seed] : self.doc_at[seed + 1]]
         lo, hi = self.term_at[chosen], self.term_at[chosen + 1]
-        places = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange(int((hi - lo).sum()))
+        ends = np.cumsum(hi - lo)
+        places = np.repeat(lo - (ends - (hi - lo)), hi - lo) + np.arange(ends[-1])
         return np.bincount(self.docs[places], self.impacts[places], self.n)
 
 
@@ -161,13 +158,15 @@ def topics(ids: np.ndarray, at: np.ndarray, stats: Stats, least: tuple[float, ..
     doc, term, tf = _postings(ids, at)
     df = stats.df[term]
     impact = _impacts(stats, df, tf, np.diff(at)[doc])
-    order = np.lexsort((term, -impact, doc))
+    held, first, count = np.unique(doc, return_index=True, return_counts=True)
     out = []
     for n in least:
-        own = order[df[order] >= n]
-        found, first = np.unique(doc[own], return_index=True)
+        own = np.where(df >= n, impact, -1.0)
         best = np.full(len(at) - 1, -1, np.int64)
-        best[found] = term[own[first]]
+        if len(held):
+            most = np.maximum.reduceat(own, first)
+            hit = np.flatnonzero((own == np.repeat(most, count)) & (own >= 0))[::-1]
+            best[doc[hit]] = term[hit]  # the first of equal ones is written last
         out.append(best)
     return out
 
@@ -202,7 +201,7 @@ def statistics(tokens: DataFrame) -> Stats:
         df, docs, length = np.zeros(1, np.int64), 0, 0
         for batch in batches:
             ids, at = _token_buffers(batch.column(0))
-            for a, b in row_chunks(at, ENCODE_BYTES):
+            for a, b in row_chunks(at, COUNT_IDS):
                 own = np.bincount(_postings(ids[at[a] : at[b]], at[a : b + 1] - at[a])[1])
                 small, df = sorted((df, own), key=len)
                 df = df.copy()
@@ -233,7 +232,7 @@ def gathered(tokens: DataFrame, stats: Stats, shard_tokens: int, window: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = _token_buffers(batch.column(2))
-            for a, b in row_chunks(at, ENCODE_BYTES):
+            for a, b in row_chunks(at, COUNT_IDS):
                 keys = topics(ids[at[a] : at[b]], at[a : b + 1] - at[a], sent.value, least)
                 rows = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, keys), rows.column(1), rows.column(0), rows.column(2)], names=["t0", "t1", "t2", "row", "doc_id", "ids"])

@@ -6,7 +6,8 @@ letter and ASCII punctuation, wherever the bytes beside the place decide that.
 The file's added tokens, where a text holds one, stay whole. The ids of a text
 are those of its units one after another. Units repeat, and the tokenizers
 library sees each of them once for each worker while the memo has room; a full
-memo keeps what it has, and other units are encoded where they stand.
+memo keeps what it has, and other units are encoded where they stand. Equal units
+are found by a hash, and their bytes compared.
 """
 
 from __future__ import annotations
@@ -56,6 +57,16 @@ def _cuts(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return cut
 
 
+def _equal_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each unit has the bytes of the unit whose number ``like`` holds."""
+    lengths = end - start
+    if not np.array_equal(lengths, lengths[like]):
+        return False
+    other = np.repeat((start[like] - start).astype(np.int32), lengths)  # units lie one after another
+    other += np.arange(start[0], end[-1], dtype=np.int32)
+    return np.array_equal(data[other], data[start[0] : end[-1]])
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable character that byte-level vocabularies write for each byte."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -170,6 +181,10 @@ class Units:
             edges = self._edges(data, raw, offsets)
             start, end = edges[:-1], edges[1:]
             _, pick, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+            if not _equal_bytes(data, start, end, pick[back]):  # two units have one hash: tell all apart by their bytes
+                numbers: dict[bytes, int] = {}
+                back = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+                pick = np.unique(back, return_index=True)[1]
             known, before = self.known, (self.used, self.count)
             keys = [raw[a:b] for a, b in zip(start[pick].tolist(), end[pick].tolist(), strict=True)]
             number = np.fromiter((known.get(k, -1) for k in keys), np.int64, len(keys))

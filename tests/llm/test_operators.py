@@ -12,8 +12,10 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from sparkloom.llm import common, language, license, media, mixing, neardup, packing, quality, queries, topk, warc, wavelet
 from sparkloom.llm.tokens import public_path, units
@@ -57,23 +59,19 @@ def test_span_hashes_do_not_depend_on_place():
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_units_give_the_library_ids(name, documents):
-    import pyarrow as pa
 
-    encoder = units(public_path(name))
+    encoder, fresh = units(public_path(name)), Tokenizer.from_file(public_path(name))
     texts = [r.text for r in documents.select("text").limit(60).collect()] + [r[1] for r in ODD if r[1] is None or len(r[1]) < 9999]
     texts += ["", " ", "  a", "a  b", "it's 'll\n\n x\t y", "<|endoftext|> x", "e ́ a", "ΑΣ ΟΔΟΣ.\nx", "a b", "o'neil's a,'s ',a '' .\nx", "É é, ×,a ÷.b", "a\x00 b \x7f c", "İstanbul K"]
     for a, b, data, offsets in common.text_chunks(pa.array(texts)):
         ids, at = encoder.encode(data, offsets)
         for r in range(a, b):
-            want = encoder.tokenizer.encode(texts[r] or "", add_special_tokens=False).ids + [1]
+            want = fresh.encode(texts[r] or "", add_special_tokens=False).ids + [1]
             assert ids[at[r - a] : at[r - a + 1]].tolist() == want, texts[r]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_units_give_the_ids_of_a_fresh_tokenizer_at_white_space(name):
-    import pyarrow as pa
-    from tokenizers import Tokenizer
-
     fresh, encoder = Tokenizer.from_file(public_path(name)), units(public_path(name))
     texts = ["a\n\nb", "para one.\n\nPara two", "a\n\n\nb", "a\r\nb", "a\r\n\r\nb", "é\n\né", "\n\nb", "a\n\n", "b", "a  ", "b", "a \n", "b", "\n", "\n", "b"]
     rng = np.random.default_rng(3)
@@ -87,9 +85,6 @@ def test_units_give_the_ids_of_a_fresh_tokenizer_at_white_space(name):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_units_give_the_ids_of_a_fresh_tokenizer_for_added_tokens(name):
-    import pyarrow as pa
-    from tokenizers import Tokenizer
-
     fresh, encoder = Tokenizer.from_file(public_path(name)), units(public_path(name))
     texts = ["see <|endoftext|> here", "<|startoftext|>x", "a\n\n<|endoftext|>\n\nb", "<|endof", "text|>", "a<|endoftext|><|endoftext|>", "<|<|endoftext|>|>", "<|ENDOFTEXT|>"]
     rng = np.random.default_rng(4)
@@ -101,11 +96,23 @@ def test_units_give_the_ids_of_a_fresh_tokenizer_for_added_tokens(name):
             assert ids[at[r - a] : at[r - a + 1]].tolist() == fresh.encode(texts[r], add_special_tokens=False).ids, texts[r]
 
 
+def test_units_with_equal_hashes_are_told_apart_by_their_bytes(monkeypatch):
+    from sparkloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64))
+    path = public_path("byte_bpe_50k.json")
+    texts = [b"one two six ten", b"abc abd xyz", b""]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    ids, at = tokens.Units(path).encode(np.frombuffer(b"".join(texts), np.uint8), offsets, None)
+    fresh = Tokenizer.from_file(path)
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == [fresh.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+
+
 # ---- 1 packing ------------------------------------------------------------------
 
 
 def _check_pieces(rows, texts):
-    tokenizer = units(public_path("byte_bpe_50k.json")).tokenizer
+    tokenizer = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
     want = collections.Counter((d, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids + [1])) for d, t in texts)
     by_doc, windows = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -156,7 +163,7 @@ def test_packing_brings_copies_of_the_whole_table_together(spark):
         windows[r.doc_id].add(r.sequence_id)
     together = sum(bool(windows[i] & windows[i + 300]) for i in range(300))
     assert together > 250
-    tokenizer = units(path).tokenizer
+    tokenizer = Tokenizer.from_file(path)
     ids = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts * 2]
     stats = packing.statistics(packing.encoded(docs, path, 1))
     want = collections.Counter(i for own in ids for i in set(own))
@@ -187,7 +194,12 @@ def test_bm25_against_brute_force():
         return np.log1p((4 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
 
     want = [sum(impact(t, d) for t in set(docs[0].tolist())) for d in docs]
-    assert np.allclose(index.scores(0, terms=99), want, rtol=1e-5)
+    assert np.allclose(index.scores(0), want, rtol=1e-5)
+    stats = packing.Stats(4, mean, np.bincount([t for d in docs for t in set(d.tolist())]))
+    for least, got in zip((0, 2, 4), packing.topics(np.concatenate(docs), at, stats, (0, 2, 4)), strict=True):
+        for d, own in zip(docs, got.tolist(), strict=True):
+            telling = [t for t in sorted(set(d.tolist())) if stats.df[t] >= least]
+            assert own == max(telling, key=lambda t: impact(t, d), default=-1)
 
 
 # ---- 2 licences -------------------------------------------------------------------
@@ -580,7 +592,7 @@ def test_wavelet_matrix():
 
 
 def test_token_files(spark, odd):
-    tokenizer = units(public_path("word_bpe_49k.json")).tokenizer
+    tokenizer = Tokenizer.from_file(public_path("word_bpe_49k.json"))
     rows = sorted(((r[0], r[1] or "") for r in ODD), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     start, want = 0, []
     for doc, text in rows:
@@ -712,7 +724,7 @@ def test_pipeline(spark, tmp_path):
     assert kept["quality"] == kept["language"] - {200 + i for i in range(6)}
     assert kept["near_duplicates"] == kept["quality"] - {100, 101} and kept["mixing"] <= kept["near_duplicates"]
     pieces = p.run(spark, str(tmp_path)).collect()
-    tokenizer = units(public_path("byte_bpe_50k.json")).tokenizer
+    tokenizer = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
     assert sum(r.length for r in pieces) == sum(len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in at.collect())
 
 
