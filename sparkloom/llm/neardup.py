@@ -4,14 +4,16 @@
    ``a * x + b`` give its minima; runs of them are hashed to band keys, and one
    bit of each minimum makes a 256-bit signature.
 2. Texts with equal sets form a class at once; its smallest doc_id stands for it.
+   A class's rows are dealt over tasks by a salt, so copies never meet in one.
 3. Classes that share a band key are candidates. In each bucket all are first
    tried against the smallest (a star); what that joins is one component, and
    only pairs of a bucket that still lie in different components are compared in
-   a second round, inside the tasks that hold the bucket. So every candidate pair
-   is confirmed, refused, or already connected, while a bucket of copies costs one
-   pair for each copy, and no pair is written that is not a link.
+   a second round. So every candidate pair is confirmed, refused, or already
+   connected, while a bucket of copies costs one pair for each copy, and no pair
+   is written that is not a link.
 4. A candidate's signature must agree well enough for the threshold, then the
-   full sets decide.
+   full sets decide. Sets are made and sent only for texts that have a candidate
+   whose signature agrees.
 5. Links are joined to components by alternating large-star and small-star.
 
 The number of bands makes the chance of missing a pair at the threshold about
@@ -191,99 +193,202 @@ def _alike(percent: int):
 
 
 #: Rows of one side of a unit of comparison; larger buckets are cut into blocks.
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
+#: Pairs that a task looks at together.
+PAIRS = 1 << 17
+#: Ids that are broadcast at most (8 bytes each) to find their texts; more are joined by a shuffle.
+SMALL_IDS = 500_000
 
 
-def compare_buckets(rows: DataFrame, percent: int, block: int = BLOCK_ROWS) -> DataFrame:
-    """(u, v): links between different components (c) inside buckets of ``rows``.
+def in_units(rows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+    """Deal the rows (bucket, id, c, hc) of open buckets to units of comparison.
 
-    A bucket of m rows becomes m / ``block`` blocks, and each two blocks (or one with
-    itself) a unit that a task compares on its own: signatures first, then the full
-    sets of those that agree. A pair is looked at in the first bucket that it shares.
+    Only pairs of different components (c) count. Most rows of a large bucket have the
+    component of its smallest row (hc); they form one side, the others the second. Each
+    block of the first meets each of the second, and those meet each other. So a unit has
+    ``kind`` 0 (i of the first, j of the second) or 1 (i and j of the second), and two
+    blocks of rows at most; a row's ``side`` is the unit's 0 or 1, or 2 if it is both.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    units = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    alone = rows.where("blocks = 1").select("*", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    dealt = rows.where("blocks > 1").select("*", F.inline(units))
-    columns = ["bucket", "i", "j", "own", "id", "c", "n", "bands", "s0", "s1", "s2", "s3", "shingles"]
+    rows = rows.withColumn("second", F.col("c") != F.col("hc"))
+    sizes = rows.groupBy("bucket").agg(F.count_if(~F.col("second")).alias("m0"), F.count_if("second").alias("m1"))
+    blocks = lambda m: F.greatest(F.lit(1), F.ceil(F.col(m) / block)).cast("int")
+    rows = rows.join(sizes.where("m1 > 0").select("bucket", blocks("m0").alias("b0"), blocks("m1").alias("b1")), "bucket")
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("second"), F.col("b1")).otherwise(F.col("b0"))).cast("int")
+    unit = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    first = F.transform(F.sequence(F.lit(0), F.col("b1") - 1), lambda j: unit(0, F.col("own"), j, F.lit(0)))
+    across = F.transform(F.sequence(F.lit(0), F.col("b0") - 1), lambda i: unit(0, i, F.col("own"), F.lit(1)))
+    side = lambda j: F.when(F.col("own") == j, 2).when(F.col("own") < j, 0).otherwise(1)
+    inside = F.transform(F.sequence(F.lit(0), F.col("b1") - 1), lambda j: unit(1, F.least("own", j), F.greatest("own", j), side(j)))
+    return rows.withColumn("own", own).select("bucket", "id", "c", F.inline(F.when(F.col("second"), F.concat(across, inside)).otherwise(first)))
+
+
+UNIT = ["bucket", "kind", "i", "j"]
+#: A unit's rows, without and with their sets.
+SLIM = [*UNIT, "side", "id", "c", "n", "bands", "s0", "s1", "s2", "s3"]
+FULL = [*SLIM, "shingles"]
+
+
+def by_unit(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(columns).repartition(*UNIT).sortWithinPartitions(*UNIT)
+
+
+def _candidates(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of pairs inside units whose components differ and whose sizes and
+    signatures allow the threshold, each in the first bucket that both share."""
+    bucket, kind, i, j, side, c, n = (table.column(k).to_numpy() for k in ("bucket", "kind", "i", "j", "side", "c", "n"))
+    rows = len(bucket)
+    new = np.ones(rows, bool)
+    for k in (bucket, kind, i, j):
+        new[1:] &= k[1:] == k[:-1]
+    new[1:] = ~new[1:]
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], rows)[np.cumsum(new) - 1]  # of each row's unit
+    bits = np.stack([table.column(f"s{k}").to_numpy() for k in range(4)], 1).view(_U)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(rows, -1)
+    place = (bands == bucket[:, None]).argmax(1)
     most = SIGNATURE_BITS - least_agreement(percent)
+    later = end - np.arange(rows) - 1
+    reach = np.cumsum(later)
+    lo = 0
+    while lo < rows:
+        hi = max(lo + 1, int(np.searchsorted(reach, (reach[lo - 1] if lo else 0) + PAIRS, "right")))
+        own = later[lo:hi]
+        a = np.repeat(np.arange(lo, hi), own)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(own) - own, own)
+        lo = hi
+        both = (c[a] != c[b]) & ((side[a] != side[b]) | (side[a] == 2)) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        a, b = a[both], b[both]
+        near = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) <= most
+        a, b = a[near], b[near]
+        first = (bands[a] == bands[b]).argmax(1) >= place[a] if len(a) else np.zeros(0, bool)
+        yield a[first], b[first]
+
+
+def _units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole units: the last unit of a batch waits for the next batch."""
+    waiting: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(len(UNIT))], 1)
+        same = (keys == keys[-1]).all(1)
+        cut_at = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1  # where the last unit begins
+        if waiting and (cut_at or not np.array_equal(last, keys[-1])):
+            yield pa.Table.from_batches([*waiting, *([batch.slice(0, cut_at)] if cut_at else [])])
+            waiting = []
+        elif cut_at:
+            yield pa.Table.from_batches([batch.slice(0, cut_at)])
+        waiting.append(batch.slice(cut_at))
+        last = keys[-1]
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def flagged(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of units (``SLIM``) that have a candidate there: unit, side, id, c."""
 
-    def compare(table: pa.Table) -> pa.Table:
-        ids, c, n, own = (table.column(k).to_numpy() for k in ("id", "c", "n", "own"))
-        bucket, i, j = (table.column(k)[0].as_py() for k in ("bucket", "i", "j"))
-        bands = np.array(table.column("bands").to_pylist(), np.int64)
-        place = int(np.flatnonzero((bands == bucket).any(0))[0])
-        bits = np.stack([table.column(f"s{k}").to_numpy() for k in range(4)], 1).view(_U)
-        sets = [np.sort(x) for x in table.column("shingles").to_numpy()]
-        joined: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while x in joined:
-                x = joined[x]
-            return x
-
-        found = []
-        left = np.flatnonzero(own == i)
-        right = left if i == j else np.flatnonzero(own == j)
-        for a in left:
-            others = right[ids[right] > ids[a]] if i == j else right
-            others = others[(c[others] != c[a]) & (100 * np.minimum(n[others], n[a]) >= percent * np.maximum(n[others], n[a]))]
-            others = others[np.bitwise_count(bits[others] ^ bits[a]).sum(1, dtype=np.int64) <= most]
-            if place and len(others):
-                others = others[~(bands[others, :place] == bands[a, :place]).any(1)]
-            others = np.array([b for b in others if root(int(c[b])) != root(int(c[a]))], np.int64)
-            if not len(others):
-                continue
-            sizes = np.array([len(sets[b]) for b in others])
-            every = np.concatenate([sets[b] for b in others])
-            at = np.minimum(np.searchsorted(sets[a], every), len(sets[a]) - 1)
-            common = np.add.reduceat((sets[a][at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            for b in others[100 * common >= percent * (len(sets[a]) + sizes - common)]:
-                found.append((int(ids[a]), int(ids[b])))
-                if root(int(c[a])) != root(int(c[b])):
-                    joined[root(int(c[b]))] = root(int(c[a]))
-        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
-
-    return alone.select(columns).unionByName(dealt.select(columns)).groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _units_of(batches):
+            mark = np.zeros(table.num_rows, bool)
+            for a, b in _candidates(table, percent):
+                mark[a] = mark[b] = True
+            if mark.any():
+                yield from table.select([*UNIT, "side", "id", "c"]).filter(pa.array(mark)).combine_chunks().to_batches()
+
+    return by_unit(rows, SLIM).mapInArrow(run, "bucket long, kind int, i int, j int, side int, id long, c long")
+
+
+def linked(rows: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links between components inside units (``FULL``), as many as join what they join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _units_of(batches):
+            ids, c = table.column("id").to_numpy(), table.column("c").to_numpy()
+            held, sorted_sets = table.column("shingles").to_numpy(), {}
+
+            def shingles(k: int) -> np.ndarray:
+                if k not in sorted_sets:
+                    sorted_sets[k] = np.sort(held[k])
+                return sorted_sets[k]
+
+            joined: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while x in joined:
+                    x = joined[x]
+                return x
+
+            found = []
+            for firsts, seconds in _candidates(table, percent):
+                edges = np.flatnonzero(np.diff(firsts, prepend=-1, append=-1))
+                for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    a = int(firsts[lo])
+                    others = [b for b in seconds[lo:hi].tolist() if root(int(c[b])) != root(int(c[a]))]
+                    if not others:
+                        continue
+                    own, sizes = shingles(a), np.array([len(held[b]) for b in others])
+                    every = np.concatenate([held[b] for b in others])
+                    at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+                    common = np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+                    for k in np.flatnonzero(100 * common >= percent * (len(own) + sizes - common)).tolist():
+                        found.append((int(ids[a]), int(ids[others[k]])))
+                        if root(int(c[a])) != root(int(c[others[k]])):
+                            joined[root(int(c[others[k]]))] = root(int(c[a]))
+            if found:
+                yield pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return by_unit(rows, FULL).mapInArrow(run, "u long, v long")
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, words: int, name: str) -> DataFrame:
+    """(id, shingles) of the rows of ``docs`` whose doc_id is in ``ids`` (id), written once."""
+    wanted = cut(ids.select("id").distinct(), f"{name}-ids").withColumnRenamed("id", "doc_id")
+    few = wanted.limit(SMALL_IDS + 1).count() <= SMALL_IDS
+    kept = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    return cut(shingle_sets(kept, words), name)
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    spark = docs.sparkSession
     signed = cut(signatures(docs, words, percent), "minhash")
-    full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    members = full.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "rep")
-    standing = full.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"])
-    marks = standing.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "s0", "s1", "s2", "s3")
+    # Rows of a class are dealt to salts; each (class, salt) is one row that knows the class's smallest id.
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    full = signed.where("n_shingles > 0 and doc_id is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    dealt = full.groupBy("h1", "h2", "salt").agg(F.min("doc_id").alias("least"))
+    classes = dealt.groupBy("h1", "h2").agg(F.min("least").alias("rep"))
+    parts = cut(dealt.select("h1", "h2", "salt").join(classes, ["h1", "h2"]), "classes")  # a class has ``salts`` rows at most
+    first_rows = full.join(parts.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "salt", "doc_id"]).dropDuplicates(["h1", "h2", "salt", "doc_id"])
+    # Versions of one document may stand for several classes under one id: an id may have several rows.
+    standing = cut(first_rows.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "s0", "s1", "s2", "s3"), "standing")
 
     # Buckets with more than one class; each row knows the bucket's smallest.
-    rows = standing.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    rows = standing.select("id", F.explode("bands").alias("bucket"))
     hubs = rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("bucket", "hub")
     shared = cut(rows.join(hubs, "bucket").select("bucket", "id", "hub"), "buckets")
-    sets = cut(shingle_sets(docs.select("doc_id", "text").join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), words), "shingles")
-
-    def signed_pairs(pairs: DataFrame) -> DataFrame:
-        slim = marks.drop("bands")
-        joined = pairs.join(slim.alias("a"), F.col("u") == F.col("a.id")).join(slim.alias("b"), F.col("v") == F.col("b.id"))
-        return joined.where(_alike(percent)).select("u", "v").distinct()
 
+    slim = standing.drop("bands")
     stars = shared.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
-    first = cut(confirm(signed_pairs(stars), sets, percent), "links")
+    stars = stars.join(slim.alias("b"), F.col("v") == F.col("b.id")).join(slim.alias("a"), F.col("u") == F.col("a.id")).where(_alike(percent)).select("u", "v").distinct()
+    pairs = cut(stars, "stars")
+    first = cut(confirm(pairs, sets_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")), words, "star-sets"), percent), "links")
     found = components(first)
 
-    # What the stars left apart: pairs of a bucket in different components. They are
-    # compared where the bucket's rows meet, so that only links leave the task.
-    placed = shared.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("bucket", "m")
-    open_rows = placed.join(mixed, "bucket").join(marks, "id").join(sets, "id")
-    second = compare_buckets(open_rows, percent)
-
-    versions = members.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("last")).where("u < last").select("doc_id", "u")
-    versions = members.join(versions, "doc_id").where("rep <> u").select("u", F.col("rep").alias("v"))
+    # What the stars left apart: pairs of a bucket in different components.
+    placed = shared.join(found, "id", "left").select("bucket", "id", "hub", F.coalesce("component", "id").alias("c"))
+    open_buckets = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.when(F.col("id") == F.col("hub"), F.col("c"))).alias("hc")).where("lo < hi").select("bucket", "hc")
+    units = in_units(placed.join(open_buckets, "bucket").select("bucket", "id", "c", "hc"))
+    marked = cut(flagged(units.join(standing, "id"), percent), "flagged")
+    sets = sets_of(docs, marked, words, "sets")
+    second = linked(marked.join(standing, "id").join(sets, "id"), percent)
+
+    # Versions of a document: classes that share a doc_id.
+    several = full.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo < hi").select("doc_id")
+    versions = full.select("doc_id", "h1", "h2", "salt").join(several, "doc_id").join(parts, ["h1", "h2", "salt"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     final = components(first.unionByName(second).unionByName(versions))
 
-    grouped = full.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"]).join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    grouped = grouped.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    home = parts.join(final, parts["rep"] == final["id"], "left").select("h1", "h2", "salt", F.coalesce("component", "rep").alias("component"))
+    grouped = full.select("doc_id", "n_shingles", "h1", "h2", "salt").join(home, ["h1", "h2", "salt"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

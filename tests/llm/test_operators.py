@@ -379,10 +379,24 @@ def test_bucket_blocks_lose_no_link(spark, monkeypatch):
     words = [f"w{i}" for i in range(200)]
     rows = [(k, " ".join([f"n{j}" for j in range(6 * k)] + words[6 * k :])) for k in range(14)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(neardup.compare_buckets, "__defaults__", (3,))
+    monkeypatch.setattr(neardup.in_units, "__defaults__", (3,))
+    monkeypatch.setattr(neardup, "PAIRS", 5)
     assert _got(neardup.near_duplicates(docs, 3, 85)) == _brute_groups(rows, 3, 85)
 
 
+def test_versions_of_a_document_join_the_classes_they_are_in(spark):
+    a, b, c = ("lorem ipsum dolor sit amet " * 4 + x for x in ("one", "two " * 30, "three " * 30))
+    rows = [(9, a), (9, b), (3, a), (5, b), (7, c), (7, c), (8, None), (12, a), (12, c), (20, c)] + [(30 + k, a) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert _got(neardup.near_duplicates(docs, 3, 85)) == _brute_groups(rows, 3, 85)
+    monkey = neardup.SMALL_IDS
+    try:
+        neardup.SMALL_IDS = 0  # texts are found by a shuffle
+        assert _got(neardup.near_duplicates(docs, 3, 85)) == _brute_groups(rows, 3, 85)
+    finally:
+        neardup.SMALL_IDS = monkey
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (20, 3), (30, 31), (31, 31)] + [(100 + i, 101 + i) for i in range(20)]
     got = {r.id: r.component for r in neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
