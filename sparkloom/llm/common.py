@@ -7,8 +7,9 @@ chunk limit or the longest row, never the batch.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,36 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a worker keeps between tasks, and the operator that it is kept for.
+kept_by_workers: list[dict] = []
+_owner: list[str] = [""]
+
+
+def _trim() -> None:
+    """Give memory that tasks have freed back to the machine, for the executor's other processes."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator], owner: str) -> Callable[[Iterator], Iterator]:
+    """``run`` for a Python worker that tasks of several operators share: what another
+    operator keeps there is dropped first, and freed memory is given back at the end."""
+
+    def task(batches: Iterator) -> Iterator:
+        if _owner[0] != owner:
+            for kept in kept_by_workers:
+                kept.clear()
+            _owner[0] = owner
+            _trim()
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return task
+
+
 def id_bucket(column: str, parts: int) -> Column:
     """crc32 of an id's text modulo ``parts``; a null id counts as empty text."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))

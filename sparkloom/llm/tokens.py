@@ -17,12 +17,12 @@ import re
 
 import numpy as np
 
-from sparkloom.llm.common import span_hashes
+from sparkloom.llm.common import kept_by_workers, span_hashes
 
 #: Units that a worker remembers.
 MEMO_UNITS = 400_000
-#: Bytes of text that are encoded together.
-ENCODE_BYTES = 1 << 20
+#: Bytes of text that are encoded together; with the end, a power of two of places.
+ENCODE_BYTES = (1 << 20) - 1
 END_ID = 1
 
 #: Kinds of bytes: 1 surely no white space, 2 an ASCII letter, 3 ASCII punctuation but no apostrophe.
@@ -219,6 +219,7 @@ class Units:
 PROBES = (" the", "the", " Thstinnt", "Onhalyti", " été", "Großmut", " QUEUE", "ñandú", " a", "zzyzx", " Ärger")
 
 _loaded: dict[str, Units] = {}
+kept_by_workers.append(_loaded)
 
 
 def units(path: str) -> Units:
