@@ -6,12 +6,16 @@ context that the tree knows, where a symbol that did not follow there pays the
 escape and goes on to the next shorter context (escape estimate: distinct
 symbols over occurrences plus distinct symbols; no exclusion), down to 1/256.
 Statistics are frozen after training, so the code length of a text is a sum of
-table entries over its four-byte windows, which numpy looks up for all
-languages at once.
+table entries over its four-byte windows. A tree is sorted tables of the contexts
+and symbols that it met, so the model grows with what was learned from, not with
+languages times contexts; distinct windows of a chunk are looked up once for each
+language.
 
-Training counts are summed on the executors over a bounded sample of documents
-of each language (``SAMPLE_DOCS``; contexts per language: ``MAX_WINDOWS``);
-only the trees' counts come to the driver.
+Training counts are summed on the executors over a bounded sample of labelled
+documents: of each language the first by a hash, up to ``SAMPLE_DOCS`` of them and
+until they reach the language's share of ``SAMPLE_BYTES``, at least one, each
+whole. Every language is learned, with every context of its sample; only the
+trees' counts come to the driver.
 
 Cases: null text, or text without a letter, is ``und`` with score 0; ties go to
 the language that sorts first; without training rows every text is ``und``;
@@ -30,13 +34,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import LOWER, id_bucket, row_sums, text_chunks
+from sparkloom.llm.common import LOWER, id_bucket, lean, row_sums, text_chunks
 
-#: Documents of each language that train its tree, and windows that a tree keeps.
+#: Documents of each language that train its tree, and bytes of all languages' documents.
 SAMPLE_DOCS = 400
-MAX_WINDOWS = 60_000
-#: Languages that are learned, those with the most documents first.
-MAX_LANGS = 1000
+SAMPLE_BYTES = 32 << 20
 UNKNOWN = "und"
 
 
@@ -55,137 +57,84 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return w
 
 
-def _grouped(context: np.ndarray, counts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct contexts, with the total of counts and the number of symbols."""
-    keys, inverse = np.unique(context, return_inverse=True)
-    return keys, np.bincount(inverse, counts, len(keys)), np.bincount(inverse, symbols, len(keys))
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each is among the sorted ``keys``, and where)."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, at
 
 
-def _bits(p: np.ndarray) -> np.ndarray:
-    return -np.log2(p)
+@dataclass
+class Tree:
+    """One language's frozen contexts: bits of a byte without context, and of each order
+    1 to 3 the contexts with the bits of their escapes, and the windows with their bits."""
+
+    plain: np.ndarray  # [256]
+    orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+    @classmethod
+    def build(cls, w: np.ndarray, c: np.ndarray) -> Tree:
+        """From distinct four-byte windows (uint32) and their counts."""
+        w, orders = w.astype(np.uint32), []
+        for bytes_ in (1, 2, 3, 4):
+            keys, inverse = np.unique(w & np.uint32((1 << 8 * bytes_) - 1), return_inverse=True)
+            count = np.bincount(inverse, c, len(keys))
+            contexts, place, distinct = np.unique(keys >> np.uint32(8), return_inverse=True, return_counts=True)
+            total = np.bincount(place, count, len(contexts))
+            orders.append((contexts, -np.log2(distinct / (total + distinct)), keys, -np.log2(count / (total + distinct)[place])))
+        _, escape, keys, bits = orders[0]
+        plain = np.full(256, 8.0 + (escape[0] if len(escape) else 0.0))
+        plain[keys] = bits
+        return cls(plain, orders[1:])
+
+    def bits(self, windows: np.ndarray) -> np.ndarray:
+        """Bits of each window's last byte after the three before it."""
+        out = self.plain[windows & np.uint32(0xFF)]
+        for n, (contexts, escape, keys, bits) in enumerate(self.orders):
+            key = windows & np.uint32((1 << 8 * (n + 2)) - 1)
+            known, at = _found(contexts, key >> np.uint32(8))
+            out[known] += escape[at[known]]
+            met, at = _found(keys, key)
+            out[met] = bits[at[met]]
+        return out
 
 
 @dataclass
 class Trees:
-    """Frozen context trees of all languages, laid out as lookup tables of bits."""
+    """Frozen trees of all languages."""
 
     langs: list[str]
-    order1: np.ndarray  # [65536, L] bits of a byte after one byte
-    escape2: np.ndarray  # [65536, L] bits of the escape from a two-byte context, 0 if unknown
-    keys2: np.ndarray
-    bits2: np.ndarray
-    keys3: np.ndarray
-    bits3: np.ndarray
-    contexts3: np.ndarray
-    escape3: np.ndarray
-    slots: np.ndarray
+    trees: list[Tree]
 
     @classmethod
     def build(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Trees:
         """counts: for each language its windows (uint32, distinct) and their counts."""
-        langs = sorted(counts)
-        n = len(langs)
-        levels = []  # for each language: distinct windows and counts of order 3, 2, 1, 0
-        for lang in langs:
-            w, c = (np.asarray(x) for x in counts[lang])
-            own = []
-            for mask in (0xFFFFFFFF, 0xFFFFFF, 0xFFFF, 0xFF):
-                k, inverse = np.unique(w.astype(np.uint32) & np.uint32(mask), return_inverse=True)
-                own.append((k, np.bincount(inverse, c, len(k))))
-            levels.append(own)
-        order1 = np.zeros((65536, n))
-        escape2 = np.zeros((65536, n))
-        low1 = np.arange(65536, dtype=np.uint32)
-        for j, own in enumerate(levels):
-            k, c = own[3]
-            total, distinct = c.sum(), len(k)
-            p0 = np.full(256, distinct / max(total + distinct, 1) / 256 if total else 1 / 256)
-            p0[k] = c / (total + distinct)
-            p1 = np.tile(p0, 256)  # index: context << 8 | symbol
-            k, c = own[2]
-            context, total, distinct = _grouped(k >> np.uint32(8), c, np.ones(len(k)))
-            t, d = np.zeros(256), np.zeros(256)
-            t[context], d[context] = total, distinct
-            known = np.repeat(t > 0, 256)
-            p1[known] *= np.repeat(d / np.maximum(t + d, 1), 256)[known]
-            p1[k] = c / (t + d)[k >> np.uint32(8)]
-            order1[:, j] = _bits(p1)
-            k, c = own[1]
-            context, total, distinct = _grouped(k >> np.uint32(8), c, np.ones(len(k)))
-            escape2[context, j] = _bits(distinct / (total + distinct))
-        keys2 = np.unique(np.concatenate([own[1][0] for own in levels])) if n else np.zeros(0, np.uint32)
-        bits2 = escape2[keys2 >> np.uint32(8)] + order1[keys2 & np.uint32(0xFFFF)]
-        keys3 = np.unique(np.concatenate([own[0][0] for own in levels])) if n else np.zeros(0, np.uint32)
-        contexts3 = np.unique(keys3 >> np.uint32(8))
-        escape3 = np.zeros((len(contexts3) + 1, n))
-        for j, own in enumerate(levels):
-            k, c = own[1]
-            context, total, distinct = _grouped(k >> np.uint32(8), c, np.ones(len(k)))
-            at = np.searchsorted(context, k >> np.uint32(8))
-            bits2[np.searchsorted(keys2, k), j] = _bits(c / (total + distinct)[at])
-            k, c = own[0]
-            context, total, distinct = _grouped(k >> np.uint32(8), c, np.ones(len(k)))
-            escape3[np.searchsorted(contexts3, context), j] = _bits(distinct / (total + distinct))
-        made = cls(langs, order1, escape2, keys2, bits2, keys3, np.zeros((len(keys3), n)), contexts3, escape3, np.zeros(0, np.int32))
-        made.bits3 = made._missed(keys3)
-        for j, own in enumerate(levels):
-            k, c = own[0]
-            context, total, distinct = _grouped(k >> np.uint32(8), c, np.ones(len(k)))
-            at = np.searchsorted(context, k >> np.uint32(8))
-            made.bits3[np.searchsorted(keys3, k), j] = _bits(c / (total + distinct)[at])
-        size = 1 << max(8, (4 * len(keys3)).bit_length())
-        made.slots = np.zeros(size, np.int32)
-        made.slots[made._slot(keys3)] = np.arange(len(keys3))
-        return made
-
-    def _slot(self, w: np.ndarray) -> np.ndarray:
-        return (w * np.uint32(0x9E3779B1)) >> np.uint32(32 - (len(self.slots).bit_length() - 1))
-
-    def _missed(self, w: np.ndarray) -> np.ndarray:
-        """Bits of windows whose last byte did not follow its three-byte context."""
-        context = w >> np.uint32(8)
-        at = np.searchsorted(self.contexts3, context)
-        at[at == len(self.contexts3)] = -1
-        at = np.where(self.contexts3[at] == context, at, len(self.contexts3)) if len(self.contexts3) else np.zeros(len(w), np.int64)
-        short = w & np.uint32(0xFFFFFF)
-        two = np.searchsorted(self.keys2, short)
-        two[two == len(self.keys2)] = 0
-        found = self.keys2[two] == short if len(self.keys2) else np.zeros(len(w), bool)
-        out = self.escape2[short >> np.uint32(8)] + self.order1[short & np.uint32(0xFFFF)]
-        if found.any():
-            out[found] = self.bits2[two[found]]
-        return out + self.escape3[at]
+        return cls(sorted(counts), [Tree.build(*map(np.asarray, counts[lang])) for lang in sorted(counts)])
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each row's text under each language."""
-        w = windows(data, offsets)
-        if not len(w) or not len(self.keys3):
-            return np.zeros((len(offsets) - 1, len(self.langs)))
-        at = self.slots[self._slot(w)]
-        bits = self.bits3[at]
-        other = np.flatnonzero(self.keys3[at] != w)
-        if len(other):
-            left = w[other]
-            at = np.searchsorted(self.keys3, left)
-            at[at == len(self.keys3)] = 0
-            found = self.keys3[at] == left
-            bits[other[found]] = self.bits3[at[found]]
-            bits[other[~found]] = self._missed(left[~found])
-        return row_sums(bits, offsets)
-
-
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_windows: int = MAX_WINDOWS) -> Trees:
-    """Trees from rows (doc_id, text, lang): up to ``sample_docs`` documents of
-    each language, the first by a hash of doc_id and text, whole."""
+        distinct, at = np.unique(windows(data, offsets), return_inverse=True)
+        out = np.zeros((len(offsets) - 1, len(self.langs)))
+        for j, tree in enumerate(self.trees):
+            out[:, j] = row_sums(tree.bits(distinct)[at], offsets)
+        return out
+
+
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Trees:
+    """Trees from rows (doc_id, text, lang): see the module's sample bounds."""
     spark = labelled.sparkSession
     rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("order"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     if not sizes:
         return Trees.build({})
     # A threshold on the hash leaves a few times the sample, whatever the language's share.
     shares = spark.createDataFrame([(r.lang, 4.0 * sample_docs / r.n) for r in sizes], "lang string, share double")
     near = rows.join(F.broadcast(shares), "lang").where(F.col("order") / F.lit(2.0**64) + 0.5 <= F.col("share"))
-    chosen = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))).where(F.col("place") <= sample_docs)
+    first = Window.partitionBy("lang").orderBy("order", "text")
+    near = near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample_docs)
+    before = F.coalesce(F.sum(F.octet_length("text")).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = near.withColumn("before", before).where(F.col("before") < max(1, sample_bytes // len(sizes)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,9 +145,8 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_windows: int
                     w, c = np.unique(windows(data, offsets)[np.repeat(keep, np.diff(offsets))], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(w), pa.string()), "w": pa.array(w.astype(np.int64)), "n": pa.array(c.astype(np.int64))})
 
-    counts = chosen.select("lang", "text").mapInArrow(count, "lang string, w long, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
-    kept = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("place") <= max_windows)
-    table = kept.select("lang", "w", "n").toPandas()
+    counts = chosen.select("lang", "text").mapInArrow(lean(count, "language"), "lang string, w long, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
+    table = counts.toPandas()
     return Trees.build({lang: (own["w"].to_numpy().astype(np.uint32), own["n"].to_numpy().astype(np.float64)) for lang, own in table.groupby("lang")})
 
 
@@ -236,7 +184,7 @@ def predict(docs: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
             pick[~letters], score[~letters] = len(model.langs), 0
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(fields))), pa.array(names[pick], pa.string()), pa.array(score), pa.array(rate)], names=[*(f.name for f in fields), "lang_pred", "score", "bits_per_byte"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run, "language"), schema)
 
 
 def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
