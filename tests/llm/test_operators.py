@@ -282,6 +282,7 @@ def test_language(spark, odd):
     out = {r.doc_id: r for r in language.predict(odd, trees, ["doc_id"]).collect()}
     assert out[1].lang_pred == out[2].lang_pred == out[11].lang_pred == "und" and out[1].score == 0
     assert out[6].lang_pred == "en" and 0 < out[6].score <= 1
+    assert language.train(docs, 20, 1).langs == trees.langs and len(language.train(docs, 20, 1).trees[0].orders[2][2]) < len(trees.trees[0].orders[2][2])
     assert {r.lang_pred for r in language.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.identify(odd.where("false")).count() == 0
 
@@ -293,6 +294,7 @@ def test_code_lengths_against_a_plain_model():
         w, c = np.unique(language.windows(np.frombuffer(t, np.uint8), np.array([0, len(t)])), return_counts=True)
         counts[lang] = (w, c)
     trees = language.Trees.build(counts)
+    assert sum(len(t.orders[2][2]) for t in trees.trees) == sum(len(w) for w, _ in counts.values())  # every window of the sample, none for other languages
 
     def plain(train: bytes, text: bytes) -> float:
         tables = collections.defaultdict(collections.Counter)
@@ -695,11 +697,21 @@ def test_media_round_trip(spark, odd):
         raw = (text or "").encode()
         payload = raw + b"\xff" * ((-len(raw)) % 576 or (576 if not raw else 0))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert r.media_bytes == len(media.wave(payload)) and r.media_sha256 == hashlib.sha256(media.wave(payload)).hexdigest()
+        file = media.coded(payload)
+        assert r.media_bytes == len(file) and r.media_sha256 == hashlib.sha256(file).hexdigest() and bytes(media.unwave(file)[3]) == payload
+        kind, rate, block, samples = media.unwave(file)
+        pcm = media.resample(*media.expand(file), media.TARGET_RATE)
+        assert r.feature == f"coding={dict((n, c) for c, n in media.FORMATS.items())[kind]};" + media.features(pcm, media.TARGET_RATE)
     assert len({r.feature for r in got if r.doc_id in (6, 7)}) == 1
+    many = frame(spark, [(i, f"{i} " * (i % 700), None, None) for i in range(200)])
+    codings = collections.Counter(r.feature.split(";")[0] for r in media.media_round_trip(many).collect())
+    assert set(codings) == {"coding=mulaw", "coding=alaw", "coding=ima"}
+    long = frame(spark, [(1, "long text " * 1_500_000, None, None)])
+    assert media.media_round_trip(long).first().n_bytes == 15_000_000
     files = spark.createDataFrame([(1, bytearray(media.wave(bytes(media.encode_ima(np.zeros(500, np.int16), 64)), "ima", block=64))), (2, bytearray(b"broken")), (3, None), (4, bytearray(media.wave(b"\xd5" * 10, "alaw")))], "k int, media binary")
-    pcm = {r.k: r.pcm for r in media.decode_media(files).collect()}
-    assert pcm[2] is None and pcm[3] is None and len(pcm[4]) == 40 and len(pcm[1]) > 2000
+    for own in (files, files.withColumn("pcm", F.lit("mine"))):
+        pcm = {r.k: r.pcm for r in media.decode_media(own, target=16000).collect()}
+        assert pcm[2] is None and pcm[3] is None and len(pcm[4]) == 40 and len(pcm[1]) > 2000
     assert media.media_round_trip(odd.where("false")).count() == 0
 
 
