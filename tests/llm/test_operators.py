@@ -217,11 +217,9 @@ def _brute_scan(rows):
     out = []
     for (doc, _), ws in zip(rows, all_words, strict=True):
         base, labels, score = [], set(), 0.0
-        for label, key, whole in (*license.BASE_TEMPLATES, *license.TEMPLATES):
-            k, body = key.split(), whole.split()
-            at = next(i for i in range(len(body)) if body[i : i + len(k)] == k)
+        for label, k, body, at in license.templates():
             for s in range(len(ws) - len(k) + 1):
-                if ws[s : s + len(k)] == k:
+                if ws[s : s + len(k)] == k:  # each place of a key phrase has the votes of its own rare words
                     labels.add(label)
                     hit = sum(max(idf[w], 1e-6) for i, w in enumerate(body) if 0 <= s - at + i < len(ws) and ws[s - at + i] == w)
                     score = max(score, min(1, hit / sum(max(idf[w], 1e-6) for w in body)))
@@ -234,10 +232,14 @@ def _brute_scan(rows):
 def test_license_scan(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()] + [(r[0], r[1]) for r in ODD]
     rows += [(100000, "GNU General Public License; gnu-general public\nlicense version 3, MIT License mit license cc by-nc CC BY 4.0 by cc"), (100001, "permission is hereby granted free of charge to any person"), (100002, "the mit" + " license" * 3)]
+    rows += [(100003 + i, f"head {i}\n" + t) for i, (_, _, t) in enumerate(license.TEMPLATES)] + [(100100, license.MIT.replace("merge", "MERGED, SO TO SAY")), (100101, "cc by " * 5000)]
     docs = frame(spark, [(d, t, None, None) for d, t in rows])
     got = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) for r in license.label_columns(license.scan(docs)).collect()), key=repr)
     assert got == _brute_scan(rows)
-    assert any(r[6] for r in got)
+    by_doc = {r[0]: r for r in got}
+    for i, (label, _, _) in enumerate(license.TEMPLATES):  # a whole text is found in full
+        assert label in by_doc[100003 + i][6].split(",") and by_doc[100003 + i][7] > 0.999
+    assert "mit-text" in by_doc[100100][6] and by_doc[100100][7] < 0.9
     assert license.label_columns(license.scan(docs.where("false"))).count() == 0
 
 
