@@ -8,6 +8,7 @@ chunk limit or the longest row, never the batch.
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -55,10 +56,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, stored: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**(stored or {"compression": "zstd"})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -92,6 +93,21 @@ def lean(run: Callable[[Iterator], Iterator], owner: str) -> Callable[[Iterator]
     return task
 
 
+#: Bytes of an Arrow batch that goes to a worker, beyond which a batch ends after the row.
+BATCH_BYTES = 8 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_workers(rows: DataFrame, run: Callable[[Iterator], Iterator], schema, owner: str) -> DataFrame:
+    """``rows.mapInArrow`` in lean workers, in batches of bounded size however long the rows are."""
+    conf = rows.sparkSession.conf
+    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", conf.get(_BATCH_LIMIT, "-1").lower()).groups()
+    limit = int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit] if int(number) > 0 else 0
+    if not 0 < limit <= BATCH_BYTES:
+        conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+    return rows.mapInArrow(lean(run, owner), schema)
+
+
 def id_bucket(column: str, parts: int) -> Column:
     """crc32 of an id's text modulo ``parts``; a null id counts as empty text."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import LOWER, id_bucket, lean, row_sums, text_chunks
+from sparkloom.llm.common import LOWER, id_bucket, in_workers, row_sums, text_chunks
 
 #: Documents of each language that train its tree, and bytes of all languages' documents.
 SAMPLE_DOCS = 400
@@ -145,7 +145,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int
                     w, c = np.unique(windows(data, offsets)[np.repeat(keep, np.diff(offsets))], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(w), pa.string()), "w": pa.array(w.astype(np.int64)), "n": pa.array(c.astype(np.int64))})
 
-    counts = chosen.select("lang", "text").mapInArrow(lean(count, "language"), "lang string, w long, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
+    counts = in_workers(chosen.select("lang", "text"), count, "lang string, w long, n long", "language").groupBy("lang", "w").agg(F.sum("n").alias("n"))
     table = counts.toPandas()
     return Trees.build({lang: (own["w"].to_numpy().astype(np.uint32), own["n"].to_numpy().astype(np.float64)) for lang, own in table.groupby("lang")})
 
@@ -154,14 +154,15 @@ PREDICTION = T.StructType().add("lang_pred", "string").add("score", "double").ad
 
 
 def predict(docs: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
-    """``docs`` (with text) -> columns ``keep``, lang_pred, score, bits_per_byte.
+    """``docs`` (with text) -> columns ``keep``, lang_pred, score, bits_per_byte; ``keep`` may hold text.
 
     The score is the best language's share of 2 ** -bits over the languages,
     with the bits of long texts scaled down to those of 64 bytes.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(trees)
-    source = docs.select(*keep, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    keep = [c for c in keep if c != "text"] + (["text"] if "text" in keep else [])  # a text goes to a worker once
+    source = docs.select(*keep, *([] if "text" in keep else ["text"]), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
     fields = source.schema.fields[: len(keep)]
     schema = T.StructType([*fields, *PREDICTION])
 
@@ -172,7 +173,7 @@ def predict(docs: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
             n = batch.num_rows
             pick, score, rate = np.full(n, len(model.langs)), np.zeros(n), np.zeros(n)
             letters = batch.column("__letters").to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, data, offsets in text_chunks(batch.column("__text")):
+            for a, b, data, offsets in text_chunks(batch.column("text")):
                 if not model.langs:
                     continue
                 bits, length = model.code_lengths(data, offsets), np.maximum(np.diff(offsets), 1)
@@ -184,7 +185,7 @@ def predict(docs: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
             pick[~letters], score[~letters] = len(model.langs), 0
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(fields))), pa.array(names[pick], pa.string()), pa.array(score), pa.array(rate)], names=[*(f.name for f in fields), "lang_pred", "score", "bits_per_byte"])
 
-    return source.mapInArrow(lean(run, "language"), schema)
+    return in_workers(source, run, schema, "language")
 
 
 def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, lean
+from sparkloom.llm.common import cut, in_workers
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_TIMES = 1.5, 2.0
@@ -120,7 +120,7 @@ def drawn_blocks(spark, quotas: list[int], blocks: list[int], shards: int, seed:
                 yield pa.RecordBatch.from_pydict({"s": s.astype(np.int32), "block": draw % own_blocks[s], "pass": (draw // own_blocks[s]).astype(np.int32), "shard": np.full(len(s), shard)})
 
     tasks = max(1, min(shards // 64, 4096))
-    return spark.range(0, shards, 1, tasks).mapInArrow(lean(run, "mixing"), "s int, block long, pass int, shard long")
+    return in_workers(spark.range(0, shards, 1, tasks), run, "s int, block long, pass int, shard long", "mixing")
 
 
 def plan(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_times: float = MOST_TIMES, extra: tuple[str, ...] = ()) -> DataFrame:

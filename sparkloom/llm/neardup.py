@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import IS_SPACE, LOWER, cut, lean, mix, row_sums, runs, span_hashes, text_chunks
+from sparkloom.llm.common import IS_SPACE, LOWER, cut, in_workers, mix, row_sums, runs, span_hashes, text_chunks
 
 SHINGLE_WORDS, PERCENT = 5, 80
 MISS = 1e-8
@@ -137,7 +137,7 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 bands_of = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(pa.int64()), pa.array(n), *(pa.array(d) for d in digests), bands_of, *(pa.array(every[:, k].copy()) for k in range(4))], names=["doc_id", "n_shingles", "h1", "h2", "bands", "s0", "s1", "s2", "s3"])
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run, "neardup"), SIGNED)
+    return in_workers(docs.select("doc_id", "text"), run, SIGNED, "neardup")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -151,7 +151,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(row_sums(new.astype(np.int64), bound))])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[new].view(np.int64)))], names=["id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run, "neardup"), "id long, shingles array<long>")
+    return in_workers(docs.select("doc_id", "text"), run, "id long, shingles array<long>", "neardup")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -296,7 +296,7 @@ def flagged(rows: DataFrame, percent: int) -> DataFrame:
             if mark.any():
                 yield from table.select([*UNIT, "side", "id", "c"]).filter(pa.array(mark)).combine_chunks().to_batches()
 
-    return by_unit(rows, SLIM).mapInArrow(lean(run, "neardup"), "bucket long, kind int, i int, j int, side int, id long, c long")
+    return in_workers(by_unit(rows, SLIM), run, "bucket long, kind int, i int, j int, side int, id long, c long", "neardup")
 
 
 def linked(rows: DataFrame, percent: int) -> DataFrame:
@@ -338,7 +338,7 @@ def linked(rows: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
-    return by_unit(rows, FULL).mapInArrow(lean(run, "neardup"), "u long, v long")
+    return in_workers(by_unit(rows, FULL), run, "u long, v long", "neardup")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int, name: str) -> DataFrame:

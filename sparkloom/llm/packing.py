@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, lean, row_chunks, text_buffers
+from sparkloom.llm.common import cut, in_workers, row_chunks, text_buffers
 from sparkloom.llm.tokens import ENCODE_BYTES, END_ID, units
 
 WINDOW = 2048
@@ -191,7 +191,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids_of.slice(a, b - a).cast(pa.int64()), pa.array(np.arange(row, row + b - a)), column], names=["doc_id", "row", "ids"])
                 row += b - a
 
-    return cut(docs.select("doc_id", "text").mapInArrow(lean(run, "tokens"), "doc_id long, row long, ids binary"), "packing-ids")
+    return cut(in_workers(docs.select("doc_id", "text"), run, "doc_id long, row long, ids binary", "tokens"), "packing-ids")
 
 
 def statistics(tokens: DataFrame) -> Stats:
@@ -210,7 +210,7 @@ def statistics(tokens: DataFrame) -> Stats:
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"id": np.concatenate([[-2, -1], held]), "n": np.concatenate([[docs, length], df[held]])})
 
-    table = tokens.select("ids").mapInArrow(lean(run, "tokens"), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    table = in_workers(tokens.select("ids"), run, "id long, n long", "tokens").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
     df = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
     df[ids[ids >= 0]] = n[ids >= 0]
@@ -238,7 +238,7 @@ def gathered(tokens: DataFrame, stats: Stats, shard_tokens: int, window: int) ->
                 yield pa.RecordBatch.from_arrays([*map(pa.array, keys), rows.column(1), rows.column(0), rows.column(2)], names=["t0", "t1", "t2", "row", "doc_id", "ids"])
 
     keys = ["t0", "t1", "t2", "row"]
-    return tokens.mapInArrow(lean(run, "tokens"), schema).repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+    return in_workers(tokens, run, schema, "tokens").repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -283,4 +283,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
         if names:
             yield closed(sequence)[1]
 
-    return gathered(tokens, stats, shard_tokens, window).mapInArrow(lean(run, "tokens"), schema)
+    return in_workers(gathered(tokens, stats, shard_tokens, window), run, schema, "tokens")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import LOWER, cut, id_bucket, lean, mix, row_sums, runs, span_hashes, text_chunks
+from sparkloom.llm.common import LOWER, cut, id_bucket, in_workers, mix, row_sums, runs, span_hashes, text_chunks
 
 TABLE_BITS = 18
 SAMPLE_DOCS = 6000
@@ -131,7 +131,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_entries: i
                     values.append(np.bincount(inverse, v, len(distinct)).astype(np.float32))
                 yield pa.RecordBatch.from_pydict({"entries": pa.array(entries, pa.list_(pa.int32())), "values": pa.array(values, pa.list_(pa.float32())), "label": batch.column("label")[a:b].cast(pa.int32()), "order": batch.column("order")[a:b], "doc_id": batch.column("doc_id")[a:b]})
 
-    table = chosen.mapInArrow(lean(hashed, "quality"), "entries array<int>, values array<float>, label int, order long, doc_id long")
+    table = in_workers(chosen, hashed, "entries array<int>, values array<float>, label int, order long, doc_id long", "quality")
     table = cut(table, "quality-sample")
     sizes = table.select("order", F.size("entries").alias("n")).toPandas().groupby("order")["n"].sum().sort_index().cumsum()  # a row for each document of the sample
     last = int(sizes[sizes <= sample_entries].index.max()) if (sizes <= sample_entries).any() else None
@@ -150,21 +150,22 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_entries: i
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str]) -> DataFrame:
-    """``docs`` (with text) -> columns ``keep``, score, predicted."""
+    """``docs`` (with text) -> columns ``keep``, score, predicted; ``keep`` may hold text."""
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
-    source = docs.select(*keep, F.col("text").alias("__text"))
-    fields = source.schema.fields[:-1]
+    keep = [c for c in keep if c != "text"] + (["text"] if "text" in keep else [])  # a text goes to a worker once
+    source = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    fields = source.schema.fields[: len(keep)]
     schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b0 = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for a, b, data, offsets in text_chunks(batch.column("__text")):
+            for a, b, data, offsets in text_chunks(batch.column("text")):
                 out[a:b] = sigmoid(score_rows(data, offsets, w, b0))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(fields))), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[*(f.name for f in fields), "score", "predicted"])
 
-    return source.mapInArrow(lean(run, "quality"), schema)
+    return in_workers(source, run, schema, "quality")
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fresh_path, lean
+from sparkloom.llm.common import fresh_path, in_workers
 
 #: Integers are floor(SCALE * x); a scale is a power of two, so that products with it are exact.
 SCALE, K, EVERY = 1024, 10, 100
@@ -223,7 +223,7 @@ def build_index(vectors: DataFrame, path: str, scale: int = SCALE, shard_rows: i
         if rows:
             yield closed()
 
-    usable(vectors).mapInArrow(lean(run, "topk"), "rows long, file binary").write.parquet(path)
+    in_workers(usable(vectors), run, "rows long, file binary", "topk").write.parquet(path)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, query_bytes: int = QUERY_BYTES) -> DataFrame:
@@ -254,7 +254,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE,
                         counts = [len(ids) for ids, _ in out]
                         yield pa.RecordBatch.from_pydict({"query_id": np.repeat(names, counts), "vec_id": np.concatenate([ids for ids, _ in out]), "score": np.concatenate([s for _, s in out])})
 
-        index.select("file").mapInArrow(lean(run, "topk"), "query_id long, vec_id long, score long").write.parquet(f"{found}/block={block}")
+        in_workers(index.select("file"), run, "query_id long, vec_id long, score long", "topk").write.parquet(f"{found}/block={block}")
         sent.destroy()
     hits = spark.read.schema("query_id long, vec_id long, score long").parquet(*[f"{found}/block={b}" for b in range(blocks)])
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fresh_path, lean
+from sparkloom.llm.common import fresh_path, in_workers
 
 LEAST_REVISIT = 100
 SPLIT_BYTES = 8 << 20
@@ -96,7 +96,7 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
             store.move(name, final)
         yield pa.RecordBatch.from_pydict({"records": pa.array([count], pa.int64())})
 
-    marked(pages, least).mapInArrow(lean(run, "warc"), "records long").agg(F.sum("records")).collect()
+    in_workers(marked(pages, least), run, "records long", "warc").agg(F.sum("records")).collect()
 
 
 def parse(data: bytes) -> dict[str, str | bytes]:
@@ -200,7 +200,7 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) ->
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return table.mapInArrow(lean(run, "warc"), RECORDS)
+    return in_workers(table, run, RECORDS, "warc")
 
 
 def _page(column: str) -> F.Column:

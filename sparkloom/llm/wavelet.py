@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fresh_path, lean, row_chunks, text_buffers
+from sparkloom.llm.common import fresh_path, in_workers, row_chunks, text_buffers
 from sparkloom.llm.tokens import ENCODE_BYTES, END_ID, units
 
 MAGIC = b"WMTX1\n"
@@ -217,7 +217,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(lean(encode, "tokens"), SHARDS).write.option("compression", "zstd").parquet(path)
+    in_workers(ordered, encode, SHARDS, "tokens").write.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -244,7 +244,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "part int, shard int, doc_id long, offset long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    read = files.select("part", "shard", "file").mapInArrow(lean(decode, "tokens"), schema).join(starts, ["part", "shard"])
+    read = in_workers(files.select("part", "shard", "file"), decode, schema, "tokens").join(starts, ["part", "shard"])
     return read.select("doc_id", (F.col("shard_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
