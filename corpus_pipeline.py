@@ -28,20 +28,25 @@ MOST_BITS = 8.0
 
 
 def whole_rows(docs: DataFrame) -> DataFrame:
-    """(text, row): the row with all its columns in one, so that no name can clash."""
-    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    """(text, row): the text, and all other columns in one, so that no name can clash."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+
+
+def as_before(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from (text, row)."""
+    return rows.select(*["text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trees = language.train(docs.where(id_bucket("doc_id", 5) != 0))
-    known = language.predict(whole_rows(docs), trees, ["row"])
-    return known.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") < MOST_BITS)).select("row.*")
+    known = language.predict(whole_rows(docs), trees, ["row", "text"])
+    return as_before(known.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") < MOST_BITS)), docs)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     weights, bias = quality.train(quality.labelled(docs, labels))
-    return quality.score(whole_rows(docs), weights, bias, ["row"]).where("predicted = 1").select("row.*")
+    return as_before(quality.score(whole_rows(docs), weights, bias, ["row", "text"]).where("predicted = 1"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
