@@ -101,7 +101,7 @@ _BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 def in_workers(rows: DataFrame, run: Callable[[Iterator], Iterator], schema, owner: str) -> DataFrame:
     """``rows.mapInArrow`` in lean workers, in batches of bounded size however long the rows are."""
     conf = rows.sparkSession.conf
-    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", conf.get(_BATCH_LIMIT, "-1").lower()).groups()
+    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", conf.get(_BATCH_LIMIT).lower()).groups()
     limit = int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit] if int(number) > 0 else 0
     if not 0 < limit <= BATCH_BYTES:
         conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
