@@ -7,6 +7,7 @@ driver, where there is one string.
 from __future__ import annotations
 
 import json
+import functools
 import re
 
 from pyspark.sql import Column
@@ -29,6 +30,7 @@ AUDIT_FILLERS = frozenset(
 # Languages without executable code.
 DOC_LANGUAGES = ("markdown", "html", "text", "json", "yaml", "toml", "env")
 
+# Fixed value: the parts of an identifier.
 NAME_PART = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 PUNCTUATION = ".,;:!?\"'`()[]{}"
 
@@ -214,16 +216,29 @@ def embedding_text_col(qname: Column, signature: Column, doc: Column) -> Column:
     return F.concat_ws(" · ", *parts)
 
 
-def prose_summary_col(html: Column, limit: int = 480) -> Column:
-    """Readable text of a template or page: tags out, spaces joined, entities
-    decoded, cut at a space near ``limit``."""
-    text = F.regexp_replace(html, r"(?s)\{[%{#].*?[#}%]\}", " ")
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<![^>]*>|<[^>]+>", " ")
-    text = F.regexp_replace(text, r"\s+", " ")
-    for entity, mark in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " ")):
-        text = F.replace(text, F.lit(entity), F.lit(mark))
-    text = F.trim(text)
-    head = F.left(text, F.lit(limit))
-    at = F.length(head) - F.instr(F.reverse(head), " ")
-    short = F.rtrim(F.when(at > limit // 2, F.left(head, at)).otherwise(head))
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(short, F.lit("…")))
+# What is no prose in a template or page, in the order it goes, and entities in the order they are decoded.
+NO_PROSE = (r"(?s)\{[%{#].*?[#}%]\}", r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<![^>]*>|<[^>]+>", r"\s+")
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "))
+#: The most characters of a summary, and its longest head: up to a space in its second half, else all of it.
+SUMMARY = 480
+SUMMARY_HEAD = rf"(?s)^(?:.{{{SUMMARY // 2 + 1},{SUMMARY - 1}}}(?= )|.{{{SUMMARY}}})"
+
+
+def prose(markup: str) -> str:
+    """Readable text of a template or page."""
+    joined = functools.reduce(lambda text, rule: re.sub(rule, " ", text), NO_PROSE, markup)
+    return functools.reduce(lambda text, pair: text.replace(*pair), ENTITIES, joined).strip()
+
+
+def prose_summary(markup: str) -> str | None:
+    """The readable text, or its head and an ellipsis."""
+    text = prose(markup)
+    return text[: len(re.match(SUMMARY_HEAD, text)[0])].rstrip() + "…" if len(text) > SUMMARY else text or None
+
+
+def prose_summary_col(html: Column) -> Column:
+    """``prose_summary`` of a column; empty where there is no text."""
+    joined = functools.reduce(lambda text, rule: F.regexp_replace(text, rule, " "), NO_PROSE, html)
+    text = F.trim(functools.reduce(lambda text, pair: F.replace(text, *map(F.lit, pair)), ENTITIES, joined))
+    head = F.rtrim(F.regexp_extract(text, SUMMARY_HEAD, 0))
+    return F.when(F.length(text) <= SUMMARY, text).otherwise(F.concat(head, F.lit("…")))
