@@ -166,9 +166,9 @@ def line_tightest(spark, sf_dir):
     return spans.attribute(hits, made, "doc_id", prefer_members=False).select("doc_id", "line", "name")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size <= 25) THEN l_partkey END AS target FROM lineitem WHERE l_linenumber <= 2")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size <= 25) THEN l_partkey END AS target FROM lineitem")
 def demote_edges(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("target"))
+    edges = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("target"))
     return graph.demote(edges, table(spark, sf_dir, "part").where("p_size <= 25"), "target", "p_partkey")
 
 
@@ -190,13 +190,13 @@ def promote_chain(spark, sf_dir):
     return rows.select("call_id", F.coalesce("t1", "t2", F.col("t3").cast("long")).alias("target"))
 
 
-EDGES_SQL = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 5 UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_linenumber = 2 AND l_quantity < 5)"
+EDGES_SQL = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_linenumber % 2 = 1 UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_linenumber % 2 = 0)"
 
 
 def _edges(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity < 5 and l_linenumber <= 2")
+    rows = table(spark, sf_dir, "lineitem")
     s, p = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")
-    first = F.col("l_linenumber") == 1
+    first = F.col("l_linenumber") % 2 == 1
     return rows.select(F.when(first, s).otherwise(p).alias("src"), F.when(first, p).otherwise(s).alias("dst")).distinct()
 
 
@@ -363,21 +363,21 @@ def multi_root_merge(spark, sf_dir):
     return views.merge_roots(scored, "source", "doc_id", 5, 20).select("source", "doc_id", "score", "root_rank")
 
 
-@query("""WITH c AS (SELECT l_orderkey AS call_id, l_linenumber AS line, unnest([1, 2]) AS cand, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <= 3),
+@query("""WITH c AS (SELECT l_orderkey AS call_id, l_linenumber AS line, unnest([1, 2]) AS cand, l_partkey, l_suppkey FROM lineitem),
 k AS (SELECT call_id, line, cand, CASE WHEN cand = 1 THEN 'part' ELSE 'supplier' END AS scope, CASE WHEN cand = 1 THEN l_partkey ELSE l_suppkey END AS qname FROM c),
 s AS (SELECT 'part' AS scope, p_partkey AS qname FROM part WHERE p_size < 10 UNION ALL SELECT 'supplier', s_suppkey FROM supplier WHERE s_acctbal > 0)
 SELECT call_id, scope, qname FROM k JOIN s USING (scope, qname) QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY line, cand, qname) = 1""")
 def cross_scope_resolve(spark, sf_dir):
-    calls = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    calls = table(spark, sf_dir, "lineitem")
     cand = F.array(F.struct(F.lit(1).alias("cand"), F.lit("part").alias("scope"), F.col("l_partkey").alias("qname")), F.struct(F.lit(2).alias("cand"), F.lit("supplier").alias("scope"), F.col("l_suppkey").alias("qname")))
     wanted = calls.select(F.col("l_orderkey").alias("call_id"), F.col("l_linenumber").alias("line"), F.inline(cand))
     known = table(spark, sf_dir, "part").where("p_size < 10").select(F.lit("part").alias("scope"), F.col("p_partkey").alias("qname")).unionByName(table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.lit("supplier").alias("scope"), F.col("s_suppkey").alias("qname")))
     return snapshots.first_of_key(wanted.join(known, ["scope", "qname"]), "call_id", ["line", "cand", "qname"]).select("call_id", "scope", "qname")
 
 
-@query(r"SELECT doc_id, sha1(regexp_replace(text, '\bthe\b', 'renamed', 'g')) AS digest, (length(regexp_replace(text, '\bthe\b', 'the#', 'g')) - length(text))::INT AS places FROM documents WHERE lang = 'en' AND regexp_matches(text, '\bthe\b')")
+@query(r"SELECT doc_id, sha1(regexp_replace(text, '\bthe\b', 'renamed', 'g')) AS digest, (length(regexp_replace(text, '\bthe\b', 'the#', 'g')) - length(text))::INT AS places FROM documents WHERE regexp_matches(text, '\bthe\b')")
 def rename_rewrite(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & F.col("text").rlike(r"\bthe\b"))
+    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\bthe\b"))
     return rows.select("doc_id", F.sha1(F.regexp_replace("text", r"\bthe\b", "renamed")).alias("digest"), F.regexp_count("text", F.lit(r"\bthe\b")).alias("places"))
 
 
