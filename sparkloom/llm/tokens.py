@@ -6,21 +6,24 @@ letter and ASCII punctuation, wherever the bytes beside the place decide that.
 The file's added tokens, where a text holds one, stay whole. The ids of a text
 are those of its units one after another. Units repeat, and the tokenizers
 library sees each of them once for each worker while the memo has room; a full
-memo keeps what it has, and other units are encoded where they stand. Equal units
-are found by a hash, and their bytes compared.
+memo keeps what it has, and other units, long ones too, are encoded where they
+stand. Equal units are found by a hash, and their bytes compared, in a chunk and
+with the memo.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 from sparkloom.llm.common import kept_by_workers, span_hashes
 
-#: Units that a worker remembers.
+#: Units that a worker remembers, and their most bytes.
 MEMO_UNITS = 400_000
+LONGEST_KEPT = 256
 #: Bytes of text that are encoded together; with the end, a power of two of places.
 ENCODE_BYTES = (1 << 20) - 1
 END_ID = 1
@@ -77,12 +80,36 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-def _kept(word: str) -> str:
-    return word.encode().decode("latin-1").translate(_LETTERS)
+#: One run of letters below U+0100, perhaps after a space: its model form is known.
+_plain = re.compile(" ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
-def _folded(word: str) -> str:
-    return word.strip(" ").lower().encode().decode("latin-1").translate(_LETTERS)
+def _kept(words: list[str]) -> list[str]:
+    """The model's forms of plain words: as they are."""
+    return "\n".join(words).encode().decode("latin-1").translate(_LETTERS).split(_LETTERS[0x0A])
+
+
+def _folded(words: list[str]) -> list[str]:
+    """The model's forms of plain words: in lower case, without the space."""
+    return "\n".join(words).replace(" ", "").lower().encode().decode("latin-1").translate(_LETTERS).split(_LETTERS[0x0A])
+
+
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each distinct hash, and for each hash its number among them."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.ones(len(order), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
+def _room(held: np.ndarray, need: int) -> np.ndarray:
+    """``held``, doubled until it has ``need`` places."""
+    while len(held) < need:
+        held = np.concatenate([held, np.zeros(len(held), held.dtype)])
+    return held
 
 
 class Units:
@@ -99,34 +126,32 @@ class Units:
         self.added = re.compile(b"|".join(re.escape(t.content.encode()) for t in added)) if added else None
         #: Texts are not cut if an added token takes what stands beside it or is sought in normalised text.
         self.cutting = not any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added)
-        self.form = next((f for f in (_kept, _folded) if all(self._plain(w) and self._whole(w) == self._word(f, w) for w in PROBES)), None)
-        self.known: dict[bytes, int] = {}
+        self.form = next((f for f in (_kept, _folded) if all(map(_plain, PROBES)) and list(map(self._whole, PROBES)) == self._words(f, PROBES)), None)
+        #: Ids of the units at hand, one after another; the first ``kept`` units are the memo.
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = self.count = 0
         self.first = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int32)
+        self.used = self.count = self.kept = 0
+        #: The memo's bytes, and its hashes in order with the units that have them.
+        self.bytes = np.zeros(1 << 16, np.uint8)
+        self.begin = np.zeros(1, np.int64)
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _word(self, form, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(form(word))]
-
-    @staticmethod
-    def _plain(word: str) -> bool:
-        """One run of letters below U+0100, perhaps after a space: its model form is known."""
-        core = word[1:] if word[:1] == " " else word
-        return core.isalpha() and max(core) <= "\xff"
+    def _words(self, form, words: list[str]) -> list[list[int]]:
+        tokenize = self.model.tokenize
+        return [[t.id for t in tokenize(word)] for word in form(words)]
 
     def _encoded(self, units: list[str]) -> list[list[int]]:
         """Ids of each unit. Plain words go to the library's model without its splitting rules."""
         out: list = [None] * len(units)
-        form, plain, rest = self.form, self._plain, []
-        for i, word in enumerate(units):
-            if form and plain(word):
-                out[i] = self._word(form, word)
-            else:
-                rest.append(i)
+        plain = [i for i, unit in enumerate(units) if _plain(unit)] if self.form else []
+        if plain:
+            for i, ids in zip(plain, self._words(self.form, [units[i] for i in plain]), strict=True):
+                out[i] = ids
+        rest = [i for i, ids in enumerate(out) if ids is None]
         for i, x in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = x.ids
         return out
@@ -158,18 +183,48 @@ class Units:
 
     def _append(self, many: list[list[int]]) -> None:
         n, have = sum(map(len, many)), self.count
-        while self.used + n > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        while have + len(many) > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros(len(self.first), np.int64)])
-            self.length = np.concatenate([self.length, np.zeros(len(self.length), np.int32)])
+        self.ids = _room(self.ids, self.used + n)
+        self.first, self.length = _room(self.first, have + len(many)), _room(self.length, have + len(many))
         lengths = np.fromiter(map(len, many), np.int32, len(many))
-        self.ids[self.used : self.used + n] = np.fromiter((i for x in many for i in x), np.uint32, n)
+        self.ids[self.used : self.used + n] = np.fromiter(chain.from_iterable(many), np.uint32, n)
         self.length[have : have + len(many)] = lengths
         self.first[have : have + len(many)] = self.used + np.cumsum(lengths) - lengths
         self.used += n
         self.count += len(many)
 
+    def _remembered(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, bool]:
+        """The memo's number of each unit, or -1, and whether a unit has the hash of another one there."""
+        if not self.kept:
+            return np.full(len(start), -1, np.int64), False
+        at = np.minimum(np.searchsorted(self.hashes, hashes), self.kept - 1)
+        number = np.where(self.hashes[at] == hashes, self.numbers[at], -1)
+        met = np.flatnonzero(number >= 0)
+        have, size = number[met], size[met]
+        like = size == self.begin[have + 1] - self.begin[have]
+        if like.all():
+            ends = np.cumsum(size)
+            place = np.arange(ends[-1] if len(ends) else 0)
+            same = data[place + np.repeat(start[met] - ends + size, size)] == self.bytes[place + np.repeat(self.begin[have] - ends + size, size)]
+            like[np.searchsorted(ends, np.flatnonzero(~same), "right")] = False
+        else:  # hashes that meet are rare enough to compare unit by unit
+            for i in np.flatnonzero(like).tolist():
+                a, b, n = start[met[i]], self.begin[have[i]], size[i]
+                like[i] = np.array_equal(data[a : a + n], self.bytes[b : b + n])
+        number[met[~like]] = -1
+        return number, not like.all()
+
+    def _remember(self, units: list[bytes], hashes: np.ndarray) -> None:
+        """Keep the units that were appended first after the kept ones."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+        a, b = int(self.begin[self.kept]), int(self.begin[-1])
+        self.bytes = _room(self.bytes, b)
+        self.bytes[a:b] = np.frombuffer(b"".join(units), np.uint8)
+        every = np.concatenate([self.hashes, hashes])
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.numbers = every[order], np.concatenate([self.numbers, np.arange(self.kept, self.kept + len(units))])[order]
+        self.kept += len(units)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and the n + 1 offsets of rows in them.
 
@@ -180,20 +235,23 @@ class Units:
             raw = data.tobytes()
             edges = self._edges(data, raw, offsets)
             start, end = edges[:-1], edges[1:]
-            _, pick, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-            if not _equal_bytes(data, start, end, pick[back]):  # two units have one hash: tell all apart by their bytes
+            every = span_hashes(data, start, end)
+            pick, back = _distinct(every)
+            clash = not _equal_bytes(data, start, end, pick[back])
+            if clash:  # two units have one hash: tell all apart by their bytes
                 numbers: dict[bytes, int] = {}
                 back = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
                 pick = np.unique(back, return_index=True)[1]
-            known, before = self.known, (self.used, self.count)
-            keys = [raw[a:b] for a, b in zip(start[pick].tolist(), end[pick].tolist(), strict=True)]
-            number = np.fromiter((known.get(k, -1) for k in keys), np.int64, len(keys))
+            begin, size, hashes = start[pick], (end - start)[pick], every[pick]
+            number, other = self._remembered(data, begin, size, hashes)
             if len(new := np.flatnonzero(number < 0)):
-                fresh, at = [keys[i] for i in new.tolist()], self.count
+                long = size[new] > LONGEST_KEPT
+                new, short = new[np.argsort(long, kind="stable")], len(new) - int(long.sum())
+                fresh = [raw[a : a + n] for a, n in zip(begin[new].tolist(), size[new].tolist(), strict=True)]
+                number[new] = np.arange(self.count, self.count + len(fresh))
                 self._append(self._encoded([k.decode("utf-8", "replace") for k in fresh]))
-                number[new] = np.arange(at, self.count)
-                if len(known) + len(fresh) <= MEMO_UNITS:
-                    known.update(zip(fresh, range(at, self.count), strict=True))
+                if short and not clash and not other and self.kept + short <= MEMO_UNITS:
+                    self._remember(fresh[:short], hashes[new[:short]])
             unit = number[back]
             lengths = self.length[unit].astype(np.int64)
             unit_row = np.searchsorted(start, offsets)  # first unit of each row
@@ -210,8 +268,9 @@ class Units:
             source = np.repeat(self.first[unit] - reach[:-1], lengths) + np.arange(reach[-1])
             target = np.arange(reach[-1]) + (np.repeat(np.arange(rows), np.diff(reach[unit_row])) if extra else 0)
             out[target] = self.ids[source]
-        if n and self.count > len(self.known):  # what the memo had no room for
-            self.used, self.count = before
+        if self.count > self.kept:  # what the memo does not keep
+            self.count = self.kept
+            self.used = int(self.first[self.kept - 1] + self.length[self.kept - 1]) if self.kept else 0
         return out, row_at
 
 

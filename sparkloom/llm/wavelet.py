@@ -50,9 +50,9 @@ class WaveletMatrix:
         for k in range(bits - 1, -1, -1):
             one = (values >> values.dtype.type(k)) & values.dtype.type(1) != 0
             planes.append(np.packbits(one, bitorder="little"))
-            low = values[~one]
+            low = np.flatnonzero(~one)
             zeros.append(len(low))
-            values = np.concatenate([low, values[one]])
+            values = values[np.concatenate([low, np.flatnonzero(one)])]
         return cls(len(values), planes, zeros)
 
     def decode(self) -> np.ndarray:
@@ -62,8 +62,8 @@ class WaveletMatrix:
         for k, (plane, zero) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             one = np.unpackbits(plane, count=self.size, bitorder="little").view(bool)
             before = np.empty(self.size, kind)
-            before[~one] = values[:zero]
-            before[one] = values[zero:] | kind(1 << k)
+            before[np.flatnonzero(~one)] = values[:zero]
+            before[np.flatnonzero(one)] = values[zero:] | kind(1 << k)
             values = before
         return values
 
