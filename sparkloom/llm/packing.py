@@ -145,8 +145,13 @@ class Stats(NamedTuple):
 def _postings(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, id, occurrences) in order of documents, then ids."""
     n = len(at) - 1
-    key, tf = np.unique(np.repeat(np.arange(n, dtype=np.int64), np.diff(at)) << 32 | ids.astype(np.int64), return_counts=True)
-    return key >> 32, key & 0xFFFFFFFF, tf
+    bits = max(1, int(ids.max(initial=0)).bit_length())
+    kind = np.uint32 if n << bits <= 1 << 32 else np.uint64  # short keys sort faster
+    key = np.sort(np.repeat(np.arange(n, dtype=kind) << kind(bits), np.diff(at)) | ids.astype(kind))
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    tf = np.diff(np.append(first, len(key)))
+    key = key[first]
+    return (key >> kind(bits)).astype(np.int64), (key & kind((1 << bits) - 1)).astype(np.int64), tf
 
 
 def _impacts(stats: Stats, df: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
