@@ -44,7 +44,11 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Bm25:
-    """Inverted index of a shard: for each term its documents and impacts."""
+    """Inverted index of a shard: for each term its documents and impacts.
+
+    A term that an eighth of the documents hold has a row with the impact of every
+    document, 0 where it is absent; so rows have at most 8 places for each posting.
+    """
 
     def __init__(self, ids: np.ndarray, at: np.ndarray, stats: Stats | None = None):
         n, lengths = len(at) - 1, np.diff(at).astype(np.float64)
@@ -53,19 +57,29 @@ class Bm25:
         if stats is None:  # the shard is all there is
             stats = Stats(n, lengths.mean(), df)
         impact = _impacts(stats, stats.df[term], tf, lengths[doc])
-        by_term = np.argsort(term << 32 | doc)
-        self.n, self.docs, self.impacts = n, doc[by_term].astype(np.int32), impact[by_term].astype(np.float32)
-        self.term_at = np.concatenate([[0], np.cumsum(df)])
+        common = 8 * df >= max(n, 1)
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        self.rows = np.zeros((int(common.sum()), n), np.float32)
+        row = self.row[term]
+        rare = np.flatnonzero(row < 0)
+        self.rows[row[row >= 0], doc[row >= 0]] = impact[row >= 0]
+        by_term = rare[np.argsort(term[rare] << 32 | doc[rare])]
+        self.n, self.docs, self.impacts = n, doc[by_term], impact[by_term]
+        self.term_at = np.concatenate([[0], np.cumsum(np.where(common, 0, df))])
         self.doc_at = np.searchsorted(doc, np.arange(n + 1))
         self.doc_terms = term.astype(np.int32)
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard for the seed's terms."""
         chosen = self.doc_terms[self.doc_at[seed] : self.doc_at[seed + 1]]
+        row = self.row[chosen]
+        chosen = chosen[row < 0]
         lo, hi = self.term_at[chosen], self.term_at[chosen + 1]
         ends = np.cumsum(hi - lo)
-        places = np.repeat(lo - (ends - (hi - lo)), hi - lo) + np.arange(ends[-1])
-        return np.bincount(self.docs[places], self.impacts[places], self.n)
+        places = np.repeat(lo - (ends - (hi - lo)), hi - lo)
+        places += np.arange(len(places))
+        rare = np.bincount(self.docs[places], self.impacts[places], self.n)
+        return rare + self.rows.take(row[row >= 0], 0).sum(0)
 
 
 def pack_windows(ids: np.ndarray, at: np.ndarray, window: int = WINDOW, stats: Stats | None = None) -> list[tuple[int, int, int, int, int]]:
