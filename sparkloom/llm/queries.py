@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import language, license, media, mixing, neardup, packing, quality, topk, warc, wavelet
+from sparkloom.llm import divergence, language, license, media, mixing, neardup, packing, quality, topk, warc, wavelet
 from sparkloom.llm.tokens import public_path
 
 
@@ -56,17 +56,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
-    own = (op1_packing, op2_license_scan, op3_quality, op4_near_duplicates, op5_mixing, op6_exact_top_k, op7_token_files, op8_warc, op9_media, op10_language)
+    own = (op1_packing, op2_license_scan, op3_quality, op4_near_duplicates, op5_mixing, op6_exact_top_k, op7_token_files, op8_warc, op9_media, op10_language, op13_source_divergence)
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express; the tests hold the others
     against brute force, round trips or held-out rows."""
-    return {"op4_near_duplicates": NEAR_DUPLICATES_SQL, "op6_exact_top_k": TOP_K_SQL, "op8_warc": WARC_SQL}
+    return {"op4_near_duplicates": NEAR_DUPLICATES_SQL, "op6_exact_top_k": TOP_K_SQL, "op8_warc": WARC_SQL, "op13_source_divergence": DIVERGENCE_SQL}
 
 
 NEAR_DUPLICATES_SQL = r"""
@@ -112,3 +116,33 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
        CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
 FROM m
 """
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS l
+  FROM documents),
+o AS (SELECT r, lang, source, unnest(l) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+n AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(n.n, 0) + 5 * v.v))::BIGINT AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (
+  SELECT lang, term, (1 + (1000000000::HUGEINT * (sum(n) + 5)) // (any_value(a) + 5 * any_value(v)))::BIGINT AS q
+  FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(n)::HUGEINT AS a FROM n GROUP BY lang) USING (lang) GROUP BY lang, term),
+x AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(e.p - f.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p e ON e.lang = a.lang AND e.source = a.source
+  LEFT JOIN p f ON f.lang = b.lang AND f.source = b.source AND f.term = e.term GROUP BY ALL
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM y WHERE part = 'pair' OR rank <= 50
+"""
