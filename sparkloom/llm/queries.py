@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import conversations, divergence, language, license, media, mixing, neardup, packing, quality, topk, warc, wavelet
+from sparkloom.llm import conversations, divergence, language, license, media, mixing, neardup, packing, quality, topk, urls, warc, wavelet
 from sparkloom.llm.tokens import public_path
 
 
@@ -60,6 +60,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(_read(spark, sf_dir, "conversations")))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_read(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
-    own = (op1_packing, op2_license_scan, op3_quality, op4_near_duplicates, op5_mixing, op6_exact_top_k, op7_token_files, op8_warc, op9_media, op10_language, op11_conversation_repair, op13_source_divergence)
+    own = (op1_packing, op2_license_scan, op3_quality, op4_near_duplicates, op5_mixing, op6_exact_top_k, op7_token_files, op8_warc, op9_media, op10_language, op11_conversation_repair, op12_url_filter, op13_source_divergence)
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 
