@@ -7,11 +7,14 @@ corpus come together, and this order is cut into shards of bounded size. Each
 shard has an inverted index over token ids with BM25 impacts. The window that a
 seed document opens is filled with the best unused documents of the shard, by the
 score of all the seed's terms, as long as any has a score above 0; then
-the next document seeds the rest of the window. The last one is cut where the
-window ends, and its rest seeds the next window. A task holds one shard at a
-time; documents that are related by other ids than those they are sorted by may
+the next document seeds the rest of the window. End ids are no terms: they are in no
+postings, frequencies or lengths. The last document is cut where the
+window ends, and its rest seeds the next window. A window takes no second copy of a
+document that it holds, unless its shard has nothing else left (without ``repeats``
+it is closed then). A task holds one shard at a time; documents that are related by other ids than those they are sorted by may
 be in different shards. What remains at a shard's end is cut into windows whose
-lengths are powers of two, which take no padding.
+lengths are powers of two, which take no padding. Without ``gather`` the documents stay
+in the order of their partitions, so that shards of a mix keep its proportions.
 
 Cases: null text is empty; an empty document is its end id alone; rows that
 repeat a doc_id are packed each on its own; an empty table gives no row; other
@@ -53,7 +56,7 @@ class Bm25:
     def __init__(self, ids: np.ndarray, at: np.ndarray, stats: Stats | None = None):
         n, lengths = len(at) - 1, np.diff(at).astype(np.float64)
         doc, term, tf = _postings(ids, at)
-        df = np.bincount(term)
+        df = np.bincount(term, minlength=1)
         if stats is None:  # the shard is all there is
             stats = Stats(n, lengths.mean(), df)
         impact = _impacts(stats, stats.df[term], tf, lengths[doc])
@@ -82,20 +85,40 @@ class Bm25:
         return rare + self.rows.take(row[row >= 0], 0).sum(0)
 
 
-def pack_windows(ids: np.ndarray, at: np.ndarray, window: int = WINDOW, stats: Stats | None = None) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, window, offset) that hold each id of a shard once."""
-    index, lengths = Bm25(ids, at, stats), np.diff(at).tolist()
+def bodies(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and offsets of documents without their last, the end ids."""
+    stays = np.ones(len(ids), bool)
+    stays[at[1:] - 1] = False
+    return ids[stays], at - np.arange(len(at))
+
+
+def _copies(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each document the number of the first one with the same ids."""
+    raw, first = memoryview(np.ascontiguousarray(ids)).cast("B"), {}
+    size = ids.itemsize
+    return np.array([first.setdefault(raw[size * a : size * b].tobytes(), n) for n, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))], np.int64)
+
+
+def pack_windows(ids: np.ndarray, at: np.ndarray, window: int = WINDOW, stats: Stats | None = None, ended: bool = False, repeats: bool = True) -> list[tuple[int, int, int, int, int]]:
+    """Pieces (document, start, length, window, offset) that hold each id of a shard once.
+
+    ``ended``: every document's last id is an end id, which is no term.
+    """
+    index, lengths = Bm25(*(bodies(ids, at) if ended else (ids, at)), stats), np.diff(at).tolist()
     n, pieces, number, fill = len(lengths), [], 0, 0
     unused = np.ones(n, bool)
+    alike = _copies(ids, at)
+    barred = np.zeros(n, bool)  # by number of a first copy: one is in the open window
+    inside: list[int] = []
     scores = np.zeros(n)  # of the seed of the open window
     waiting: list[int] = []  # its best neighbours, the best last
     batch = 0
     following = 0
     for _ in range(n):
-        while waiting and not unused[waiting[-1]]:
+        while waiting and not (unused[waiting[-1]] and not barred[alike[waiting[-1]]]):
             waiting.pop()
         if not waiting and batch:  # the neighbours after those that were taken
-            waiting, batch = _best(scores, unused, batch), 2 * batch
+            waiting, batch = _best(scores, unused & ~barred[alike], batch), 2 * batch
         seeds = not waiting
         if waiting:
             doc = waiting.pop()
@@ -103,6 +126,15 @@ def pack_windows(ids: np.ndarray, at: np.ndarray, window: int = WINDOW, stats: S
             while not unused[following]:
                 following += 1
             doc = following
+            if barred[alike[doc]]:
+                free = np.flatnonzero(unused[following:] & ~barred[alike[following:]])
+                if len(free):
+                    doc = following + int(free[0])
+                elif not repeats:
+                    pieces = _ended(pieces, number, fill)
+                    number, fill = pieces[-1][3] + 1, 0
+                    barred[inside] = False
+                    inside = []
         unused[doc] = False
         start, left = 0, lengths[doc]
         while left:
@@ -111,6 +143,11 @@ def pack_windows(ids: np.ndarray, at: np.ndarray, window: int = WINDOW, stats: S
             start, left, fill = start + take, left - take, fill + take
             if fill == window:
                 number, fill, seeds = number + 1, 0, True
+                barred[inside] = False
+                inside = []
+        if fill:
+            barred[alike[doc]] = True
+            inside.append(int(alike[doc]))
         if fill and seeds:  # it opened the window, or nothing in it has neighbours left
             scores, waiting, batch = index.scores(doc), [], 32
         elif not fill:
@@ -214,18 +251,18 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
 
 def statistics(tokens: DataFrame) -> Stats:
-    """Of all documents. A row for each id of the vocabulary comes to the driver."""
+    """Of all documents, without end ids. A row for each id of the vocabulary comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs, length = np.zeros(1, np.int64), 0, 0
         for batch in batches:
             ids, at = _token_buffers(batch.column(0))
             for a, b in row_chunks(at, COUNT_IDS):
-                own = np.bincount(_postings(ids[at[a] : at[b]], at[a : b + 1] - at[a])[1])
+                own = np.bincount(_postings(*bodies(ids[at[a] : at[b]], at[a : b + 1] - at[a]))[1], minlength=1)
                 small, df = sorted((df, own), key=len)
                 df = df.copy()
                 df[: len(small)] += small
-            docs, length = docs + len(at) - 1, length + int(at[-1])
+            docs, length = docs + len(at) - 1, length + int(at[-1]) - (len(at) - 1)
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"id": np.concatenate([[-2, -1], held]), "n": np.concatenate([[docs, length], df[held]])})
 
@@ -252,7 +289,7 @@ def gathered(tokens: DataFrame, stats: Stats, shard_tokens: int, window: int) ->
         for batch in batches:
             ids, at = _token_buffers(batch.column(2))
             for a, b in row_chunks(at, COUNT_IDS):
-                keys = topics(ids[at[a] : at[b]], at[a : b + 1] - at[a], sent.value, least)
+                keys = topics(*bodies(ids[at[a] : at[b]], at[a : b + 1] - at[a]), sent.value, least)
                 rows = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, keys), rows.column(1), rows.column(0), rows.column(2)], names=["t0", "t1", "t2", "row", "doc_id", "ids"])
 
@@ -260,7 +297,7 @@ def gathered(tokens: DataFrame, stats: Stats, shard_tokens: int, window: int) ->
     return in_workers(tokens, run, schema, "tokens").repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID, with_ids: bool = False, gather: bool = True, repeats: bool = True) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text); with ``with_ids`` its ids too."""
     schema = PIECES + (", ids array<long>" if with_ids else "")
     tokens = encoded(docs, tokenizer_path, end_id)
@@ -276,7 +313,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
 
         def closed(sequence: int) -> tuple[int, pa.RecordBatch]:
             ids, at = np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-            rows = np.array(pack_windows(ids, at, window, sent.value), np.int64).reshape(-1, 5)
+            rows = np.array(pack_windows(ids, at, window, sent.value, True, repeats), np.int64).reshape(-1, 5)
             raw = memoryview(ids.astype("<u4").view(np.uint8))
             lo = at[rows[:, 0]] + rows[:, 1]
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(lo.tolist(), (lo + rows[:, 2]).tolist(), strict=True)]
@@ -302,4 +339,5 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
         if names:
             yield closed(sequence)[1]
 
-    return in_workers(gathered(tokens, stats, shard_tokens, window), run, schema, "tokens")
+    order = gathered(tokens, stats, shard_tokens, window) if gather else tokens.select("doc_id", "ids")
+    return in_workers(order, run, schema, "tokens")
