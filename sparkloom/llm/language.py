@@ -12,9 +12,9 @@ languages times contexts; distinct windows of a chunk are looked up once for eac
 language.
 
 Training counts are summed on the executors over a bounded sample of labelled
-documents: of each language the first by a hash, up to ``SAMPLE_DOCS`` of them and
-until they reach the language's share of ``SAMPLE_BYTES``, at least one, each
-whole. Every language is learned, with every context of its sample; only the
+documents: of each language the first by a hash of id and text, up to ``SAMPLE_DOCS``
+of them and until they reach the language's share of ``SAMPLE_BYTES``, at least one,
+each whole. Rows with equal id and text are one document here. Every language is learned, with every context of its sample; only the
 trees' counts come to the driver.
 
 Cases: null text, or text without a letter, is ``und`` with score 0; ties go to
@@ -124,13 +124,14 @@ class Trees:
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Trees:
     """Trees from rows (doc_id, text, lang): see the module's sample bounds."""
     spark = labelled.sparkSession
-    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("order"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("order"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("order").alias("n"), F.min("order").alias("first")).collect()  # a row for each language
     if not sizes:
         return Trees.build({})
-    # A threshold on the hash leaves a few times the sample, whatever the language's share.
-    shares = spark.createDataFrame([(r.lang, 4.0 * sample_docs / r.n) for r in sizes], "lang string, share double")
-    near = rows.join(F.broadcast(shares), "lang").where(F.col("order") / F.lit(2.0**64) + 0.5 <= F.col("share"))
+    # A threshold on the hash leaves a few times the sample, whatever the language's share, and the first document at least.
+    shares = spark.createDataFrame([(r.lang, 4.0 * sample_docs / max(r.n, 1), r.first) for r in sizes], "lang string, share double, first long")
+    near = rows.join(F.broadcast(shares), "lang").where((F.col("order") / F.lit(2.0**64) + 0.5 <= F.col("share")) | (F.col("order") == F.col("first")))
+    near = near.dropDuplicates(["lang", "order"])  # copies go before the window
     first = Window.partitionBy("lang").orderBy("order", "text")
     near = near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample_docs)
     before = F.coalesce(F.sum(F.octet_length("text")).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -8,10 +8,10 @@ shapes (case, digits, marks) and pairs of shapes. A family's value is its share
 of occurrences in the text, so a score is a bias plus sparse dot products, and
 does not depend on a text's length as such.
 
-The model learns from a bounded sample of labelled rows: those whose doc_id's
-hash lies below the share that gives about ``SAMPLE_DOCS`` documents, and of them
-the first by that hash with up to ``SAMPLE_ENTRIES`` table entries together;
-each document whole.
+The model learns from a bounded sample of labelled rows: those whose hash of id and
+text lies below the share that gives about ``SAMPLE_DOCS`` documents, and of them
+the first by that hash with up to ``SAMPLE_ENTRIES`` table entries together, at least
+one; each document whole, rows with equal id, text and label once.
 
 Cases: null and empty texts score with the bias alone; without labelled rows
 every score is 0.5; rows that repeat a doc_id are scored each on its own and
@@ -114,9 +114,10 @@ BIAS_AT = 1 << TABLE_BITS
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_entries: int = SAMPLE_ENTRIES, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias from rows (doc_id, text, label): see the module's sample bounds."""
-    rows = labelled.where("label is not null").select("text", "label", F.xxhash64("doc_id").alias("order"), "doc_id")
-    share = min(1.0, sample_docs / max(rows.count(), 1))
-    chosen = rows.where(F.col("order") / F.lit(2.0**64) + 0.5 <= share)
+    rows = labelled.where("label is not null").select("text", "label", F.xxhash64("doc_id", "text").alias("order"), "doc_id")
+    known = rows.agg(F.approx_count_distinct("order").alias("n"), F.min("order").alias("first")).first()
+    share = min(1.0, sample_docs / max(known.n, 1))
+    chosen = rows.where((F.col("order") / F.lit(2.0**64) + 0.5 <= share) | (F.col("order") == F.lit(known["first"]))).dropDuplicates(["order", "label"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +135,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_entries: i
     table = in_workers(chosen, hashed, "entries array<int>, values array<float>, label int, order long, doc_id long", "quality")
     table = cut(table, "quality-sample")
     sizes = table.select("order", F.size("entries").alias("n")).toPandas().groupby("order")["n"].sum().sort_index().cumsum()  # a row for each document of the sample
-    last = int(sizes[sizes <= sample_entries].index.max()) if (sizes <= sample_entries).any() else None
+    last = int(sizes.index[max(1, int((sizes <= sample_entries).sum())) - 1]) if len(sizes) else None
     sample = table.where(F.col("order") <= last).orderBy("order", "doc_id", "label").toArrow() if last is not None else None
     examples = []  # views of the table's own buffers
     if sample is not None:
