@@ -11,7 +11,8 @@ last return the columns of documents.
    more) the document with the smallest id stays; a document without an id, or
    without words, is a group of its own. Rows that repeat an id are equally kept.
 4. mixing: documents are repeated, kept, cut or dropped as the mix takes them.
-5. packing: the mix's tokens in windows.
+5. packing: the mix's tokens in windows, from the mix's own shards in their order, so
+   that its proportions hold in every shard; no window holds a document twice.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_path("byte_bpe_50k.json"), gather=False, repeats=False)
 
 
 STAGES = [
