@@ -43,7 +43,7 @@ LEAST_DOCS, SMOOTH, SCALE, TOP_TERMS = 30, 5, 1_000_000_000, 50
 #: Bytes of the kept terms of one book, terms of a block, sources of a tile.
 BOOK_BYTES, BLOCK_TERMS, MOST_BLOCKS, TILE = 4 << 20, 256, 256, 256
 #: Sums that a task holds before it sends them, and bytes that are searched together.
-HELD, SEARCHED = 400_000, 1 << 20
+HELD, SEARCHED = 800_000, 1 << 20
 
 # Bytes of terms are ASCII letters, of which A-Z are lower-cased, and all above 127; others delimit.
 DELIMITER = 32
@@ -101,13 +101,13 @@ def automaton(terms: list[bytes]) -> ahocorasick.Automaton:
     return made
 
 
-def found(finder: ahocorasick.Automaton, texts: list[bytes]) -> Iterator[int]:
-    """The number of each kept term that stands in ``texts``, as often as it does."""
+def count(counts: Counter, finder: ahocorasick.Automaton, texts: list[bytes]) -> None:
+    """Add to ``counts`` the number of each kept term that stands in ``texts``, as often as it does."""
     data = b" ".join([b"", *texts, b""]).translate(TERM_BYTES)
     start, last = 0, len(data) - 1
     while start < last:  # a piece ends with the delimiter that the next one begins with
         end = data.find(b" ", min(start + SEARCHED, last))
-        yield from map(itemgetter(1), finder.iter(data[start : end + 1].decode("latin-1")))
+        counts.update(map(itemgetter(1), finder.iter(data[start : end + 1].decode("latin-1"))))
         start = end
 
 
@@ -139,7 +139,7 @@ def occurrences(rows: DataFrame, book: dict[str, list[bytes]]) -> DataFrame:
                     made[lang] = automaton(shared.value[lang])
                 counter = held.setdefault((lang, source), Counter())
                 size -= len(counter)
-                counter.update(found(made[lang], own))
+                count(counter, made[lang], own)
                 size += len(counter)
                 if size > HELD:
                     yield from sent()
