@@ -1,40 +1,14 @@
-"""Full-text search: positional postings, BM25 over words and phrases.
-
-A query's terms are few, so each search filters the exploded tokens to those
-terms before anything is shuffled; document lengths come from the same scan.
-Queries can be many rows: ``bm25`` takes a table of them.
-"""
+"""BM25 and searches by it over kept postings."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions import text as T
-
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 
 
-def token_arrays(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, tokens) of each row."""
-    return docs.select(key, T.words(F.col(text)).alias("tokens"))
-
-
-def postings(docs: DataFrame, key: str, text: str, terms: list[str] | None = None) -> DataFrame:
-    """(key, pos, term); with ``terms`` only theirs."""
-    rows = token_arrays(docs, key, text)
-    if terms is not None:
-        rows = rows.where(F.arrays_overlap("tokens", F.array(*map(F.lit, terms))))
-    rows = rows.select(key, F.posexplode("tokens").alias("pos", "term"))
-    return rows.where(F.col("term").isin(terms)) if terms is not None else rows
-
-
-def corpus_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row: n documents and their mean length in tokens."""
-    return token_arrays(docs, key, text).agg(F.count("*").alias("n"), F.avg(F.size("tokens").cast("double")).alias("avgdl"))
-
-
 def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
 
@@ -43,44 +17,14 @@ def contribution(weight: Column, tf: Column, dl: Column, avgdl: Column) -> Colum
     return weight * tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * dl / avgdl))
 
 
-def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """(key, score) of every row with one of the words ``terms``; higher is better."""
-    tokens = token_arrays(docs, key, text)
-    wanted = F.array(*map(F.lit, dict.fromkeys(terms)))
-    hits = tokens.where(F.arrays_overlap("tokens", wanted)).select(key, F.size("tokens").alias("dl"), F.explode(F.filter("tokens", lambda w: w.isin(terms))).alias("term"))
-    tf = hits.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-    return _scored(tf, key, corpus_stats(docs, key, text))
-
-
-def bm25_phrase(docs: DataFrame, key: str, text: str, phrases: list[list[str]]) -> DataFrame:
-    """(key, score) where a term is a phrase: adjacent words in order."""
-    tokens = token_arrays(docs, key, text)
-    counted = []
-    for phrase in phrases:
-        places = F.expr(f"filter(sequence(1, size(tokens)), i -> slice(tokens, i, {len(phrase)}) = array({', '.join(repr(w) for w in phrase)}))")
-        counted.append(F.struct(F.lit(" ".join(phrase)).alias("term"), F.size(places).alias("tf")))
-    rows = tokens.where(F.arrays_overlap("tokens", F.array(*[F.lit(w) for p in phrases for w in p]))).select(key, F.size("tokens").alias("dl"), F.explode(F.array(*counted)).alias("t"))
-    tf = rows.select(key, "dl", F.col("t.term").alias("term"), F.col("t.tf").cast("long").alias("tf")).where("tf > 0")
-    return _scored(tf, key, corpus_stats(docs, key, text))
-
-
-def _scored(tf: DataFrame, key: str, stats: DataFrame) -> DataFrame:
-    one = stats.first()  # two numbers
-    n, avgdl = F.lit(float(one.n)), F.lit(float(one.avgdl or 1.0))
-    counts = tf.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
-    rows = tf.join(F.broadcast(counts), "term")
-    score = contribution(idf(n, F.col("df")), F.col("tf"), F.col("dl"), avgdl)
-    return rows.groupBy(key).agg(F.sum(score).alias("score"))
-
-
 def top(rows: DataFrame, key: str, k: int, digits: int = 6) -> DataFrame:
     """The k best by rounded score, ties by key."""
     return rows.withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), key).limit(k)
 
 
-def search_kind(docs: DataFrame, key: str, text: str, terms: list[str], kind: Column, k: int) -> DataFrame:
-    """The k best rows of a kind; if there are none, of any kind (kind_filter_dropped)."""
-    every = bm25(docs, key, text, terms)
-    of_kind = every.join(docs.where(kind).select(key), key, "left_semi")
-    found = of_kind.limit(1).count() > 0
-    return top(of_kind if found else every, key, k).withColumn("kind_filter_dropped", F.lit(not found))
+def search_kind(searcher, phrases: list[list[str]], of_kind: DataFrame, k: int) -> DataFrame:
+    """The k best rows of a kind (``of_kind``: key); if there are none, of any kind (kind_filter_dropped)."""
+    every = searcher.keyed(searcher.scores(phrases))
+    kept = every.join(of_kind, "key", "left_semi")
+    found = not kept.isEmpty()
+    return top(kept if found else every, "key", k).withColumn("kind_filter_dropped", F.lit(not found))

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import fusion, graph, lexical, snapshots, spans, vectors, views
+from sparkloom.operators import fusion, graph, lexical, postings, snapshots, spans, vectors, views
+from sparkloom.plans.kept import text_postings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,6 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def searcher(spark: SparkSession, sf_dir: str) -> postings.Searcher:
+    """Kept postings of the documents' texts."""
+    return text_postings(spark, f"{sf_dir}/documents.parquet")
+
+
 TOKENS = """
 tok AS (SELECT doc_id, lang, source, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS l FROM documents),
 st AS (SELECT count(*)::DOUBLE AS n, avg(len(l)::DOUBLE) AS avgdl FROM tok)"""
@@ -58,7 +64,7 @@ def _bm25_sql(terms: str, name: str = "bm") -> str:
 @query(f"WITH {TOKENS}, {_bm25_sql(chr(39) + 'thing' + chr(39) + ',' + chr(39) + 'thon' + chr(39))} SELECT doc_id, round(score, 6) AS score, lang, source FROM bm JOIN documents USING (doc_id) ORDER BY 2 DESC, 1 LIMIT 10")
 def bm25_topk(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    best = lexical.top(lexical.bm25(docs, "doc_id", "text", ["thing", "thon"]), "doc_id", 10)
+    best = searcher(spark, sf_dir).top([["thing"], ["thon"]], 10).withColumnRenamed("key", "doc_id")
     return best.join(docs.select("doc_id", "lang", "source"), "doc_id").select("doc_id", "score", "lang", "source")
 
 
@@ -67,13 +73,13 @@ ph_tf AS (SELECT doc_id, len(l) AS dl, len(list_filter(generate_series(1, len(l)
 p AS (SELECT * FROM ph_tf WHERE tf > 0), d AS (SELECT count(*) AS df FROM p)
 SELECT doc_id, round(greatest(ln((n-df+0.5)/(df+0.5)),1e-6)*tf*2.2/(tf+1.2*(0.25+0.75*dl/avgdl)), 6) AS score FROM p, d, st ORDER BY 2 DESC, 1 LIMIT 10""")
 def bm25_phrase(spark, sf_dir):
-    return lexical.top(lexical.bm25_phrase(table(spark, sf_dir, "documents"), "doc_id", "text", [["of", "the"]]), "doc_id", 10)
+    return searcher(spark, sf_dir).top([["of", "the"]], 10).withColumnRenamed("key", "doc_id")
 
 
 @query(f"WITH {TOKENS}, {_bm25_sql(chr(39) + 'und' + chr(39))}, k AS (SELECT bm.doc_id, score FROM bm JOIN documents USING (doc_id) WHERE lang = 'de') SELECT doc_id, round(score, 6) AS score, false AS kind_filter_dropped FROM k UNION ALL SELECT doc_id, round(score, 6), true FROM bm WHERE NOT EXISTS (SELECT 1 FROM k) ORDER BY 2 DESC, 1 LIMIT 10")
 def bm25_kind_filter(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return lexical.search_kind(docs, "doc_id", "text", ["und"], F.col("lang") == "de", 10)
+    of_kind = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("key"))
+    return lexical.search_kind(searcher(spark, sf_dir), [["und"]], of_kind, 10).withColumnRenamed("key", "doc_id")
 
 
 @query("SELECT e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE e.label = (SELECT min(label) FROM embeddings) ORDER BY 2 DESC, 1 LIMIT 10")
@@ -93,7 +99,7 @@ g AS (SELECT id, s * CASE WHEN source = 'src0' THEN 0.6::DOUBLE ELSE 1 END * CAS
 SELECT id AS doc_id, round(s, 6) AS score FROM g ORDER BY 2 DESC, 1 LIMIT 10""")
 def rrf_hybrid(spark, sf_dir):
     docs, rows = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    lex = fusion.ranked(lexical.top(lexical.bm25(docs, "doc_id", "text", ["thing", "thon"]), "doc_id", 30), "doc_id", 30)
+    lex = fusion.ranked(searcher(spark, sf_dir).top([["thing"], ["thon"]], 30).withColumnRenamed("key", "doc_id"), "doc_id", 30)
     wanted = rows.where("vec_id = 7").first().embedding
     vec = vectors.vector_top(rows, "vec_id", "embedding", wanted, 30).withColumnRenamed("vec_id", "doc_id")
     fused = fusion.fuse([(lex, 1.0), (fusion.ranked(vec, "doc_id", 30), 1.5)], "doc_id")
@@ -104,8 +110,8 @@ def rrf_hybrid(spark, sf_dir):
 
 @query(f"WITH {TOKENS}, {_bm25_sql(chr(39) + 'thing' + chr(39), 'x')}, {_bm25_sql(chr(39) + 'thon' + chr(39), 'y')} SELECT doc_id, round(max(score), 6) AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY doc_id ORDER BY 2 DESC, 1 LIMIT 10")
 def multi_term_max(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    found = [lexical.bm25(docs, "doc_id", "text", [w]).withColumn("score", F.round("score", 6)) for w in ("thing", "thon")]
+    search = searcher(spark, sf_dir)
+    found = [search.top([[w]], 10).withColumnRenamed("key", "doc_id") for w in ("thing", "thon")]
     return fusion.merge_terms(found, "doc_id", 10)
 
 
@@ -359,7 +365,8 @@ def constants_in_body(spark, sf_dir):
 @query(f"WITH {TOKENS}, {_bm25_sql(chr(39) + 'thing' + chr(39))}, r AS (SELECT source, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY source ORDER BY round(score, 6) DESC, doc_id) AS root_rank FROM bm JOIN documents USING (doc_id)) SELECT source, doc_id, score, root_rank::INT AS root_rank FROM r WHERE root_rank <= 5 ORDER BY score DESC, source, doc_id LIMIT 20")
 def multi_root_merge(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    scored = lexical.bm25(docs, "doc_id", "text", ["thing"]).withColumn("score", F.round("score", 6)).join(docs.select("doc_id", "source"), "doc_id")
+    search = searcher(spark, sf_dir)
+    scored = search.keyed(search.scores([["thing"]])).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score")).join(docs.select("doc_id", "source"), "doc_id")
     return views.merge_roots(scored, "source", "doc_id", 5, 20).select("source", "doc_id", "score", "root_rank")
 
 

@@ -90,13 +90,6 @@ def test_fuse_and_merge(spark):
     assert [tuple(r) for r in fusion.merge_terms(two, "k", 2).collect()] == [("y", 0.9), ("x", 0.5)]
 
 
-def test_phrase_and_kind(spark):
-    docs = spark.createDataFrame([(1, "run the exscript"), (2, "run exscript now run exscript"), (3, "other")], "id int, text string")
-    assert [r.id for r in lexical.bm25_phrase(docs, "id", "text", [["run", "exscript"]]).collect()] == [2]
-    found = lexical.search_kind(docs, "id", "text", ["other"], F.col("id") < 3, 5).collect()
-    assert [(r.id, r.kind_filter_dropped) for r in found] == [(3, True)]
-
-
 def test_intervals(spark):
     hits = spark.createDataFrame([("f", 3), ("f", 9), ("g", 1)], "file string, line int")
     places = spark.createDataFrame([("f", 1, 4, "mod", True), ("f", 1, 5, "cls", False), ("f", 2, 4, "meth", False)], "file string, start int, stop int, name string, is_module boolean")
