@@ -29,15 +29,64 @@ def last_import(imports: DataFrame) -> DataFrame:
     return named.withColumn("place", F.row_number().over(last)).where("place = 1").drop("place")
 
 
+def simple_name(qname: Column) -> Column:
+    """What stands behind the last dot or colon; a module's name is its whole one."""
+    return F.when(qname.endswith(":"), qname).otherwise(F.regexp_extract(qname, r"[^.:]*$", 0))
+
+
+def _member(calls_name: str = "callee_name") -> Column:
+    return F.regexp_extract(calls_name, r"^(?:self|this)\.([^.]+)$", 1)
+
+
+def needs(calls: DataFrame, imports: DataFrame) -> DataFrame:
+    """(name, call_id, file): the simple names on which a call's resolution depends: its
+    guess, a member of its own class, a name of its file, and what an import calls so.
+
+    Symbols that have none of a call's names, and imports of other files, can't change
+    what the call is resolved to. ``calls``: call_id, callee_name, guess, file.
+    """
+    brought = last_import(imports.where("name is not null and name <> '*'")).select(F.col("file").alias("i_file"), "lookup", F.col("name").alias("real"))
+    rows = calls.join(brought, (F.col("file") == F.col("i_file")) & (F.col("callee_name") == F.col("lookup")), "left")
+    bare = F.when(~F.col("callee_name").contains("."), F.col("callee_name"))
+    every = F.array(simple_name(F.col("guess")), F.nullif(_member(), F.lit("")), bare, F.col("real"))
+    return rows.select("call_id", "file", F.explode(F.array_distinct(F.filter(every, lambda n: n.isNotNull()))).alias("name")).select("name", "call_id", "file")
+
+
+def changed_names(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(name) of the symbols (qname, kind, file, parent_qname) that only one side has."""
+    columns = ["qname", "kind", "file", "parent_qname"]
+    a, b = before.select(*columns).distinct().withColumn("side", F.lit(1)), after.select(*columns).distinct().withColumn("side", F.lit(2))
+    lone = a.unionByName(b).groupBy(*columns).agg(F.sum("side").alias("sides")).where("sides <> 3")
+    return lone.select(simple_name(F.col("qname")).alias("name")).distinct()
+
+
+def module_prefixes(module: Column) -> Column:
+    """The module and every dotted beginning of it."""
+    parts = F.split(module, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+
+
+def imported_targets(wanted: DataFrame, offered: DataFrame) -> DataFrame:
+    """(call_id, found_q) where one symbol fits an import: it has the name, and its module
+    is the imported one or below it.
+
+    Each symbol is offered under its name and every prefix of its module, so the match
+    is a join on equal keys. wanted: call_id, real, i_module; offered: o_name, o_module, found_q.
+    """
+    keys = offered.select("o_name", "found_q", F.explode(module_prefixes(F.col("o_module"))).alias("o_prefix"))
+    return unique_match(wanted, "call_id", keys, (F.col("real") == F.col("o_name")) & (F.col("i_module") == F.col("o_prefix")), "found_q")
+
+
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, local: bool = True) -> DataFrame:
     """``calls`` with callee_qname settled: demoted if unknown, then found through
     self or this, through names of the same file, or through the file's imports.
 
-    calls: call_id, caller_qname, callee_name, callee_qname, file, line.
+    calls: call_id, caller_qname, callee_name, callee_qname (the parser's guess), file,
+    line. ``symbols`` need only be those with a name that the calls need.
     """
     kinds = F.col("kind").isin("function", "method", "class", "component")
     known = demote(calls, symbols, "callee_qname", "qname")
-    member = F.regexp_extract("callee_name", r"^(?:self|this)\.([^.]+)$", 1)
+    member = _member()
     owner = F.when(F.col("caller_qname").rlike(r":.*\."), F.regexp_replace("caller_qname", r"\.[^.]*$", ""))
     own = F.when((member != "") & owner.isNotNull(), F.concat(owner, F.lit("."), member))
     names = symbols.select(F.col("qname").alias("self_q")).distinct()
@@ -57,11 +106,16 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, loca
     wanted = pending.join(brought, (F.col("file") == F.col("i_file")) & (F.col("callee_name") == F.col("lookup"))).select("call_id", "real", "i_module")
     plain = F.regexp_replace(module, r"^(src|tests)\.", "")
     offered = symbols.where(kinds).where(~name.contains(".")).select(name.alias("o_name"), plain.alias("o_module"), F.col("qname").alias("found_q"))
-    fits = (F.col("real") == F.col("o_name")) & ((F.col("o_module") == F.col("i_module")) | F.col("o_module").startswith(F.concat(F.col("i_module"), F.lit("."))))
-    imported = unique_match(wanted, "call_id", offered, fits, "found_q")
+    imported = imported_targets(wanted, offered)
     return step.join(imported, "call_id", "left").withColumn("callee_qname", F.coalesce("callee_qname", "found_q")).select(*calls.columns)
 
 
+def touched_calls(calls: DataFrame, dependencies: DataFrame, names: DataFrame, files: DataFrame) -> DataFrame:
+    """Calls to resolve again: those outside of ``files`` (file) that need one of ``names`` (name)."""
+    ids = dependencies.join(names, "name", "left_semi").select("call_id").distinct()
+    return calls.join(files, "file", "left_anti").join(ids, "call_id", "left_semi")
+
+
 def expand(edges: DataFrame, starts: DataFrame, depth: int, order: tuple[str, ...] = ()) -> DataFrame:
     """(node, hop, via): nodes within ``depth`` hops of ``starts`` (node) over edges
     (src, dst), each by its first edge in ``order``.

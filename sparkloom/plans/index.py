@@ -1,8 +1,9 @@
-"""The index of a source tree: parse what changed, resolve calls, publish a version.
+"""The index of a source tree: parse what changed, resolve the calls that it touches, publish a version.
 
-An index is a folder of Parquet tables for each version and a small manifest that
-names the current one. A writer makes a new version aside and then replaces the
-manifest, so readers see one version or the other, never a mixture.
+An index is a folder of segments: a refresh writes the rows of the files that changed,
+with their postings and vectors, and markers that void their earlier rows. Calls of
+other files are resolved again only if they need a name whose symbols changed. Readers
+see one version or the other, never a mixture.
 """
 
 from __future__ import annotations
@@ -24,20 +25,36 @@ from pyspark.sql.types import ArrayType, StringType
 
 from sparkloom.functions.stem import terms
 from sparkloom.functions.text import embedding_text_col, identifier_words
-from sparkloom.operators import graph, snapshots, vectors
+from sparkloom.operators import graph, postings, snapshots, vectors
+from sparkloom.operators.segments import Segments
 from sparkloom.sources.config import ScanConfig
 from sparkloom.sources.names import VERSION, sha1
 from sparkloom.sources.parsers import parse_file
 from sparkloom.sources.routes import routes_of
-from sparkloom.sources.scan import STATE_DIR, discover_packages, list_files, scan
+from sparkloom.sources.scan import STATE_DIR, contents, discover_packages, list_files, stamps
 
 TABLES = ("files", "symbols", "calls", "imports", "routes", "vectors")
+SYMBOL_FIELDS = "qname string, kind string, signature string, docstring string, line_start int, line_end int, parent_qname string, decorators array<string>, bases array<string>, source_sha string"
 SYMBOL = "struct<qname:string,kind:string,signature:string,docstring:string,line_start:int,line_end:int,parent_qname:string,decorators:array<string>,bases:array<string>,source_sha:string>"
 CALL = "struct<caller_qname:string,callee_name:string,guess:string,line:int>"
 IMPORT = "struct<module:string,name:string,alias:string,line:int>"
 ROUTE = "struct<method:string,path:string,handler_qname:string,line:int,framework:string>"
 PARSED = f"file string, rel string, sha string, language string, indexed_at double, content string, symbols array<{SYMBOL}>, calls array<{CALL}>, imports array<{IMPORT}>, routes array<{ROUTE}>"
 
+#: Tables of a segment. ``kept``: of symbols with one name the one of the first file is.
+SCHEMAS = postings.schemas() | {
+    "files": "file string, rel string, sha string, language string, indexed_at double, content string, size long, changed long",
+    "symbols": f"file string, language string, ord int, {SYMBOL_FIELDS}, kept boolean",
+    "calls": "call_id long, caller_qname string, callee_name string, guess string, callee_qname string, file string, line int",
+    "imports": "import_id long, file string, module string, name string, alias string, line int",
+    "routes": "defined_in string, method string, path string, handler_qname string, line int, framework string",
+    "vectors": "file string, qname string, vector array<float>",
+    "needs": "name string, call_id long, file string",
+}
+UNITS = postings.UNITS | {t: {"file": "file"} for t in ("files", "symbols", "imports", "vectors", "needs")} | {"routes": {"file": "defined_in"}, "calls": {"file": "file", "call": "call_id"}}
+#: Seconds before it was indexed in which a file may have changed once more without another time.
+RACY = 2.0
+
 
 @dataclass(frozen=True)
 class Location:
@@ -51,9 +68,12 @@ class Location:
         base = Path(self.root) / STATE_DIR
         return base / "vendor" / self.scope if self.scope else base
 
-    def manifest(self) -> dict | None:
-        path = self.folder / "CURRENT"
-        return json.loads(path.read_text()) if path.exists() else None
+    def exists(self) -> bool:
+        at = self.folder / "manifests"
+        return at.is_dir() and any(at.glob("*.json"))
+
+    def store(self, spark: SparkSession) -> Segments:
+        return Segments(spark, f"file://{self.folder}", SCHEMAS, UNITS)
 
     @contextmanager
     def writing(self):
@@ -63,35 +83,26 @@ class Location:
             fcntl.flock(lock, fcntl.LOCK_EX)
             yield
 
-    def publish(self, tables: dict[str, DataFrame], extra: dict) -> None:
-        now = self.manifest()
-        version = (now["version"] if now else 0) + 1
-        target = self.folder / f"v{version}"
-        shutil.rmtree(target, ignore_errors=True)
-        for name, rows in tables.items():
-            rows.write.parquet(f"file://{target}/{name}")
-        fresh = self.folder / "CURRENT.new"
-        fresh.write_text(json.dumps({"version": version, "parser": VERSION, "root": self.root, "at": time.time()} | extra))
-        os.replace(fresh, self.folder / "CURRENT")
-        for old in self.folder.glob("v*"):
-            if old.name[1:].isdigit() and int(old.name[1:]) < version - 1:  # a reader may still hold the one before
-                shutil.rmtree(old, ignore_errors=True)
-
 
 class Index:
     """Tables of the current version."""
 
     def __init__(self, spark: SparkSession, root: str | Path, scope: str | None = None):
         self.spark, self.location = spark, Location(str(Path(root).resolve()), scope)
-        now = self.location.manifest()
-        if now is None:
+        if not self.location.exists():
             raise FileNotFoundError(f"no index at {self.location.folder}: run index first")
-        self.path = self.location.folder / f"v{now['version']}"
+        self.store = self.location.store(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"file://{self.path}/{name}")
+        rows = self.store.live(name)
+        return (rows.where("kept").drop("seg", "kept") if name == "symbols" else rows.drop("seg")) if name != "vectors" else rows.drop("seg", "file")
+
+    @property
+    def searcher(self) -> postings.Searcher:
+        """Search over the names, signatures, docstrings and decorators of the symbols."""
+        return postings.Searcher(self.store)
 
 
 def parse_rows(files: DataFrame) -> DataFrame:
@@ -118,75 +129,186 @@ def index_terms(qname: pd.Series, signature: pd.Series, doc: pd.Series, decorato
     return pd.Series([[terms(" ".join(identifier_words(q))), terms(s), terms(d), terms(m)] for q, s, d, m in zip(qname, signature, doc, decorators, strict=True)])
 
 
-def _tables(parsed: DataFrame, local: bool) -> dict[str, DataFrame]:
-    """Symbols, calls, imports and routes of parsed files, calls resolved anew."""
+def _raw(parsed: DataFrame) -> dict[str, DataFrame]:
+    """Symbols, calls, imports and routes of parsed files; of a file's symbols with one name the first."""
     symbols = parsed.select("file", "language", F.posexplode("symbols").alias("ord", "s")).select("file", "language", "ord", "s.*")
-    symbols = snapshots.first_of_key(symbols, "qname", ["file", "ord"])
-    symbols = symbols.withColumn("terms", index_terms("qname", "signature", "docstring", F.array_join("decorators", "\n")))
+    first = Window.partitionBy("file", "qname").orderBy("ord")
+    symbols = symbols.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
     number = F.row_number().over(Window.partitionBy("file").orderBy("ord"))
     place = F.xxhash64("file").bitwiseAND(F.lit((1 << 40) - 1)) * F.lit(1 << 22)
     calls = parsed.select("file", F.posexplode("calls").alias("ord", "c")).select((place + number).alias("call_id"), "c.caller_qname", "c.callee_name", F.col("c.guess").alias("guess"), "file", "c.line")
     imports = parsed.select("file", F.posexplode("imports").alias("ord", "i")).select((place + number).alias("import_id"), "file", "i.*")
-    resolved = graph.resolve_calls(calls.select("call_id", "caller_qname", "callee_name", F.col("guess").alias("callee_qname"), "file", "line"), symbols, imports, local)
-    routes = parsed.select(F.col("file").alias("defined_in"), F.inline("routes"))
-    return {"symbols": symbols, "calls": resolved, "imports": imports, "routes": routes}
+    return {"symbols": symbols, "calls": calls, "imports": imports, "routes": parsed.select(F.col("file").alias("defined_in"), F.inline("routes"))}
 
 
-def refresh(spark: SparkSession, root: str | Path, force: bool = False, scope: str | None = None, source: str | Path | None = None, config: ScanConfig | None = None, embedder: vectors.Embedder | None = None, progress: Callable[[int, int, str], None] | None = None) -> dict:
+def _states(known: DataFrame, now: DataFrame) -> DataFrame:
+    """(file, rel, size, changed, sha, state): removed, unchanged, or maybe, if only its content can tell.
+
+    known: file, sha, size, changed, indexed_at; now: file, rel, size, changed.
+    """
+    old = known.select("file", "sha", F.col("size").alias("__size"), F.col("changed").alias("__changed"), "indexed_at")
+    same = (F.col("size") == F.col("__size")) & (F.col("changed") == F.col("__changed")) & (F.col("changed") < (F.col("indexed_at") - RACY) * 1e9)
+    state = F.when(F.col("size").isNull(), "removed").when(F.coalesce(same, F.lit(False)), "unchanged").otherwise("maybe")
+    return now.join(old, "file", "full_outer").select("file", "rel", "size", "changed", "sha", state.alias("state"))
+
+
+def refresh(spark: SparkSession, root: str | Path, force: bool = False, scope: str | None = None, source: str | Path | None = None, config: ScanConfig | None = None, embedder: vectors.Embedder | None = None, progress: Callable[[int, int, str], None] | None = None, only: list[str] | None = None) -> dict:
     """Bring the index of ``root`` up to date: only files whose hash changed are parsed.
 
-    ``scope`` and ``source``: a package beside the root, kept in an index of its own.
-    Returns counts of updated, skipped and removed files, and of symbols and calls.
+    Files are listed; those with another size or time than when they were indexed, or a
+    time too near to that, are read and hashed. ``scope`` and ``source``: a package beside
+    the root, kept in an index of its own. ``only``: files (below the root) that may have
+    changed; no others are looked at. Returns counts of updated, skipped and removed files,
+    and of symbols and calls.
     """
     base = str(Path(root).resolve())
     location, embedder = Location(base, scope), embedder or vectors.HashEmbedder()
     tree = str(Path(source).resolve()) if source else base
     with location.writing():
-        now = location.manifest()
-        stale = force or now is None or now["parser"] != VERSION or now["root"] != base
-        found = scan(spark, tree, config).select("file", "rel", "content", F.sha1("content").alias("sha"))
-        if stale:
-            old = spark.createDataFrame([], PARSED)
-            known = old.select("file", "sha")
-        else:
-            old = spark.read.schema(PARSED).parquet(f"file://{location.folder}/v{now['version']}/parsed")
-            known = old.select("file", "sha")
-        state = snapshots.changes(known, found.select("file", "sha"), "file", "sha").toPandas()  # paths and a word each
-        status = dict(zip(state["file"], state["status"], strict=True))
-        counts = {s: sum(x == s for x in status.values()) for s in ("added", "changed", "removed", "unchanged")}
-        for done, (file, what) in enumerate(sorted(status.items()), 1):
-            if progress:
-                try:
-                    progress(done, len(status), f"{what} {file}")
-                except Exception:  # noqa: S110  a report must not stop the work
-                    pass
-        out = {"updated": counts["added"] + counts["changed"], "skipped": counts["unchanged"], "removed": counts["removed"]}
-        if not stale and not out["updated"] and not out["removed"]:
-            return out | {"symbols": now["symbols"], "calls": now["calls"], "version": now["version"]}
-        dirty = [f for f, s in status.items() if s in ("added", "changed")]
-        gone = [f for f, s in status.items() if s in ("changed", "removed")]
-        touched = spark.createDataFrame([(f,) for f in dirty], "file string")
-        left = spark.createDataFrame([(f,) for f in gone], "file string")
-        aside = location.folder / "parsing"
-        shutil.rmtree(aside, ignore_errors=True)
-        kept = old.join(left, "file", "left_anti").unionByName(parse_rows(found.join(touched, "file", "left_semi")))
-        kept.write.parquet(f"file://{aside}")
-        parsed = spark.read.schema(PARSED).parquet(f"file://{aside}")
-        tables = _tables(parsed, local=scope is None)
-        symbols = tables["symbols"]
-        text = embedding_text_col(F.col("qname"), F.col("signature"), F.coalesce("docstring", F.lit("")))
+        store = location.store(spark)
+        facts = store.facts
+        stale = force or not store.manifest["segments"] or facts.get("parser") != VERSION or facts.get("root") != base
+        names = list_files(tree, config)
+        if only is not None and not stale:
+            asked = {os.path.relpath(os.path.join(tree, f), tree).replace(os.sep, "/") for f in only}
+            names = [n for n in names if n in asked]
+        listed = spark.createDataFrame(stamps(tree, names), "rel string, size long, changed long").withColumn("file", F.concat(F.lit(f"{tree}/"), "rel"))
+        known = store.live("files").select("file", "sha", "size", "changed", "indexed_at")
         if stale:
-            held = spark.createDataFrame([], "qname string, vector array<float>")
-        else:
-            same = parsed.join(touched, "file", "left_anti").select(F.explode("symbols.qname").alias("qname"))
-            held = spark.read.parquet(f"file://{location.folder}/v{now['version']}/vectors").join(same, "qname", "left_semi").join(symbols.select("qname"), "qname", "left_semi")
-        fresh = vectors.embed_column(vectors.missing(symbols.select("qname", "signature", "docstring"), held, "qname"), "qname", text, embedder)
-        tables |= {"files": parsed.select("file", "rel", "sha", "language", "indexed_at", "content"), "parsed": parsed, "vectors": held.unionByName(fresh)}
-        totals = parsed.agg(F.sum(F.size("symbols")).alias("s"), F.sum(F.size("calls")).alias("c")).first()
-        out |= {"symbols": int(totals.s or 0), "calls": int(totals.c or 0)}
-        location.publish(tables, {"symbols": out["symbols"], "calls": out["calls"]})
-        shutil.rmtree(aside, ignore_errors=True)
-        return out | {"version": location.manifest()["version"]}
+            known = known.where("false")
+        elif only is not None:
+            known = known.where(F.col("file").isin([f"{tree}/{n}" for n in sorted(asked)]))
+        states = _states(known, listed).persist()
+        try:
+            return _apply(spark, location, store, states, stale, tree, base, embedder, progress, len(names), only is None)
+        finally:
+            states.unpersist()
+
+
+def _apply(spark: SparkSession, location: Location, store: Segments, states: DataFrame, stale: bool, tree: str, base: str, embedder: vectors.Embedder, progress: Callable | None, listed: int, whole: bool) -> dict:
+    """Parse what changed, write it as one segment, publish."""
+    facts = store.facts
+    aside = f"file://{location.folder}/aside/parsed-{store.next()}"
+    maybe = states.where("state = 'maybe'").select("file", "rel", "size", "changed", F.col("sha").alias("__sha"))
+    tried = maybe.count()
+    found = contents(maybe, tree, number=tried).drop("rel", "length").join(maybe, "file") if tried else None
+    changed = found.where(F.col("__sha").isNull() | (F.col("__sha") != F.sha1("content"))) if tried else None
+    if tried:
+        parse_rows(changed).join(maybe.select("file", "size", "changed"), "file").write.mode("overwrite").parquet(aside)
+    parsed = spark.read.schema(PARSED + ", size long, changed long").parquet(aside) if tried else None
+    updated = parsed.count() if tried else 0
+    removed = states.where("state = 'removed'").count()
+    if progress:
+        fresh = {r.file for r in parsed.select("file").collect()} if tried else set()
+        rows = sorted((r.file, "removed" if r.state == "removed" else "updated" if r.file in fresh else "unchanged") for r in states.select("file", "state").collect())
+        for done, (file, what) in enumerate(rows, 1):
+            try:
+                progress(done, len(rows), f"{what} {file}")
+            except Exception:  # noqa: S110  a report must not stop the work
+                pass
+    known_files = facts.get("files", 0)
+    out = {"updated": updated, "skipped": (listed if whole or stale else known_files) - updated, "removed": removed}
+    try:
+        if not stale and not updated and not removed:
+            return out | {"symbols": facts["symbols"], "calls": facts["calls"], "version": store.manifest["version"]}
+        number, wrote, more = _segment(spark, location, store, parsed, states, stale, embedder)
+        store.publish({"seg": number, "rows": wrote}, more | {"parser": VERSION, "root": base, "at": time.time()}, [s["seg"] for s in store.manifest["segments"]] if stale else ())
+        compact(store)
+    finally:
+        shutil.rmtree(location.folder / "aside", ignore_errors=True)
+    return out | {"symbols": store.facts["symbols"], "calls": store.facts["calls"], "version": store.manifest["version"]}
+
+
+def _segment(spark: SparkSession, location: Location, store: Segments, parsed: DataFrame | None, states: DataFrame, stale: bool, embedder: vectors.Embedder) -> tuple[int, dict[str, int], dict]:
+    """Write the segment of parsed and removed files: (its number, rows by table, facts)."""
+    number, facts, wrote = store.next(), store.facts, {}
+    empty = spark.createDataFrame([], PARSED + ", size long, changed long")
+    parsed = empty if parsed is None else parsed
+    removed = states.where("state = 'removed'").select("file")
+    if stale:
+        gone = removed.where("false")
+        old = store.live("symbols").where("false")
+    else:
+        gone = removed.unionByName(parsed.select("file")).persist()
+        old = store.live("symbols").join(F.broadcast(gone) if gone.count() <= 1000 else gone, "file", "left_semi").persist()
+        # Files that share a symbol's name with what changes: which of them is kept may change with it.
+        names = old.select("qname").unionByName(parsed.select(F.explode("symbols.qname").alias("qname"))).distinct()
+        others = store.live("symbols").select("file", "qname").join(gone, "file", "left_anti").persist()
+        rivals = others.join(names, "qname", "left_semi").select("file").distinct().persist()
+        if not rivals.isEmpty():
+            again = store.live("files").join(rivals, "file", "left_semi")
+            at = f"file://{location.folder}/aside/rivals-{number}"
+            parse_rows(again.select("file", "rel", F.col("content").cast("binary").alias("content"))).join(again.select("file", "size", "changed"), "file").write.mode("overwrite").parquet(at)
+            parsed = parsed.unionByName(spark.read.schema(PARSED + ", size long, changed long").parquet(at))
+            gone = gone.unionByName(rivals).persist()
+            old = store.live("symbols").join(gone, "file", "left_semi").persist()
+    raw = _raw(parsed)
+    first = raw["symbols"].groupBy("qname").agg(F.min("file").alias("__first"))
+    if not stale:
+        kept_by = store.live("symbols").join(gone, "file", "left_anti").select("qname", F.col("file").alias("__first")).join(first.select("qname"), "qname", "left_semi")
+        first = first.unionByName(kept_by).groupBy("qname").agg(F.min("__first").alias("__first"))
+    symbols = raw["symbols"].join(first, "qname").withColumn("kept", F.col("file") == F.col("__first"))
+    wrote["files"] = store.write(number, "files", parsed)
+    wrote["symbols"] = store.write(number, "symbols", symbols)
+    wrote["imports"] = store.write(number, "imports", raw["imports"])
+    wrote["routes"] = store.write(number, "routes", raw["routes"])
+    wrote["needs"] = store.write(number, "needs", graph.needs(raw["calls"], raw["imports"]))
+    own = lambda table: spark.read.schema(store.schemas[table]).parquet(f"{store.folder}/{table}/seg={number}")
+    fresh = own("symbols").where("kept").drop("kept")
+
+    # Postings and vectors of the symbols that are kept.
+    fields = F.col("terms")
+    named = fresh.withColumn("terms", index_terms("qname", "signature", "docstring", F.array_join("decorators", "\n")))
+    base = Segments(spark, store.folder, store.schemas, store.units, {"version": 0, "segments": [], "facts": {}}) if stale else store
+    more, counted = postings.add(base, number, postings.documents(named, "qname", F.col("file"), fields), None if stale else gone.select(F.col("file").alias("unit")))
+    wrote |= more
+    text = embedding_text_col(F.col("qname"), F.col("signature"), F.coalesce("docstring", F.lit("")))
+    wrote["vectors"] = store.write(number, "vectors", vectors.embed_column(fresh, "qname", text, embedder).join(fresh.select("qname", "file"), "qname"))
+
+    # Calls of these files, and of others that need a name whose symbols changed.
+    calls = raw["calls"].select("call_id", "caller_qname", "callee_name", "guess", "file", "line")
+    imports, needs, everything = own("imports"), own("needs"), fresh
+    if not stale:
+        live = store.live("calls").drop("seg")
+        names = graph.changed_names(old.where("kept"), fresh)
+        touched = graph.touched_calls(live, store.live("needs").drop("seg"), names, gone).persist()
+        again = touched.select(*calls.columns)
+        calls = calls.unionByName(again)
+        imports = imports.select("import_id", "file", "module", "name", "alias", "line").unionByName(store.live("imports").drop("seg").join(touched.select("file").distinct(), "file", "left_semi"))
+        needed = needs.select("name").unionByName(store.live("needs").join(touched.select("call_id"), "call_id", "left_semi").select("name")).distinct()
+        kept = store.live("symbols").where("kept").drop("seg", "kept").join(gone, "file", "left_anti").unionByName(fresh)
+        everything = kept.withColumn("name", graph.simple_name(F.col("qname"))).join(needed, "name", "left_semi").drop("name")
+    asked = calls.withColumn("callee_qname", F.col("guess")).select("call_id", "caller_qname", "callee_name", "callee_qname", "file", "line")
+    resolved = graph.resolve_calls(asked, everything, imports, location.scope is None).join(calls.select("call_id", "guess"), "call_id")
+    if not stale:
+        before = touched.select("call_id", F.col("callee_qname").alias("__before"), F.lit(True).alias("__held"))
+        resolved = resolved.join(before, "call_id", "left").where(F.col("__held").isNull() | ~F.col("callee_qname").eqNullSafe(F.col("__before")))
+    wrote["calls"] = store.write(number, "calls", resolved)
+    n_files, n_symbols, n_calls = wrote["files"], own("symbols").where("kept").count(), raw["calls"].count()
+    if not stale:
+        marks = gone.select(F.lit("file").alias("kind"), F.col("file").alias("unit"))
+        moved = own("calls").join(gone, "file", "left_anti").select(F.lit("call").alias("kind"), F.col("call_id").cast("string").alias("unit"))
+        wrote["gone"] = store.write(number, "gone", marks.unionByName(moved))
+        n_files += facts["files"] - store.live("files").join(gone, "file", "left_semi").count()
+        n_symbols += facts["symbols"] - old.where("kept").count()
+        n_calls += facts["calls"] - store.live("calls").join(gone, "file", "left_semi").count()
+        for held in (gone, old, others, rivals, touched):
+            held.unpersist()
+    return number, wrote, counted | {"files": n_files, "symbols": n_symbols, "calls": n_calls}
+
+
+def compact(store: Segments) -> bool:
+    """Merge segments if it is time."""
+    due = store.due("symbols")
+    if due:
+        number = store.next()
+        wrote = postings.merged(store, number, due)
+        for table in ("files", "symbols", "calls", "imports", "routes", "vectors", "needs"):
+            wrote[table] = store.write(number, table, store.live(table).where(F.col("seg").isin(due)))
+        if len(due) < len(store.manifest["segments"]):
+            wrote["gone"] = store.write(number, "gone", store.rows("gone").where(F.col("seg").isin(due)).select("kind", "unit").distinct())
+        store.publish({"seg": number, "rows": wrote}, {}, due)
+    return bool(due)
 
 
 def refresh_package(spark: SparkSession, root: str | Path, name: str) -> dict:
@@ -200,7 +322,7 @@ def refresh_package(spark: SparkSession, root: str | Path, name: str) -> dict:
 
 def indexed_packages(root: str | Path) -> list[str]:
     folder = Path(root) / STATE_DIR / "vendor"
-    return sorted(p.name for p in folder.iterdir() if (p / "CURRENT").exists()) if folder.is_dir() else []
+    return sorted(p.name for p in folder.iterdir() if Location(str(Path(root).resolve()), p.name).exists()) if folder.is_dir() else []
 
 
 def forget_package(root: str | Path, name: str) -> bool:

@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.plans import read, write
-from sparkloom.plans.index import Index
+from sparkloom.plans.index import Index, Location
 
 MOST_THREADS = 8
 
@@ -76,7 +76,7 @@ def map_repo_multi(spark: SparkSession, roots: list, anchor=None, **options) ->
 
 def owner_of_name(spark: SparkSession, qname: str, roots: list) -> Path | None:
     """The first root whose index has exactly this name."""
-    tables = [Index(spark, r).symbols.where(F.col("qname") == qname).select(F.lit(i).alias("place")) for i, r in enumerate(roots) if (Path(r) / ".sparkloom" / "CURRENT").exists()]
+    tables = [Index(spark, r).symbols.where(F.col("qname") == qname).select(F.lit(i).alias("place")) for i, r in enumerate(roots) if Location(str(Path(r).resolve())).exists()]
     if not tables:
         return None
     every = tables[0]

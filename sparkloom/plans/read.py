@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.functions.stem import terms as stemmed
-from sparkloom.operators import fusion, graph, lexical, spans, vectors, views
+from sparkloom.operators import fusion, graph, spans, vectors, views
 from sparkloom.plans.index import Index, indexed_packages, refresh
 from sparkloom.sources.names import sha1
 from sparkloom.sources.scan import scan
@@ -66,22 +66,10 @@ def resolve_name(index: Index, qname: str) -> tuple[str | None, str | None]:
 
 
 def lexical_scores(index: Index, query: str) -> DataFrame:
-    """(qname, score): BM25 over the four searched columns, words with underscores as phrases."""
+    """(qname, score): BM25 over the four searched fields, words with underscores as phrases."""
     phrases = [p for p in (stemmed(" ".join(w)) for w in T.match_terms(query)) if p]
-    symbols = index.symbols.select("qname", "terms")
-    if not phrases:
-        return symbols.where("false").select("qname", F.lit(0.0).alias("score"))
-    length = F.aggregate("terms", F.lit(0), lambda n, c: n + F.size(c))
-    stats = symbols.agg(F.count("*").alias("n"), F.avg(length.cast("double")).alias("avgdl")).first()
-
-    def sql_array(words: list[str]) -> str:
-        return "array(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
-
-    counted = [f"named_struct('term', '{' '.join(p)}', 'tf', cast(aggregate(terms, 0, (n, c) -> n + if(size(c) < {len(p)}, 0, size(filter(sequence(1, greatest(1, size(c) - {len(p) - 1})), i -> slice(c, i, {len(p)}) = {sql_array(p)})))) as bigint))" for p in dict.fromkeys(map(tuple, phrases))]
-    tf = symbols.select("qname", length.alias("dl"), F.explode(F.expr(f"array({', '.join(counted)})")).alias("t")).select("qname", "dl", "t.*").where("tf > 0")
-    counts = tf.groupBy("term").agg(F.count("*").alias("df"))
-    score = lexical.contribution(lexical.idf(F.lit(float(stats.n)), F.col("df")), F.col("tf"), F.col("dl"), F.lit(float(stats.avgdl or 1)))
-    return tf.join(F.broadcast(counts), "term").groupBy("qname").agg(F.sum(score).alias("score"))  # a row for each query term
+    search = index.searcher
+    return search.keyed(search.scores(phrases)).withColumnRenamed("key", "qname")
 
 
 def vector_scores(index: Index, query: str, k: int, kinds: DataFrame | None, embedder: vectors.Embedder) -> DataFrame:
@@ -319,7 +307,7 @@ def get_source(spark: SparkSession, qname: str, with_neighbors: bool = False, ro
     row = index.symbols.where(F.col("qname") == name).join(index.files.select("file", "sha"), "file").first()
     path = Path(row.file)
     if scope is None and (not path.exists() or sha1(path.read_bytes()) != row.sha):
-        refresh(spark, root)
+        refresh(spark, root, only=[str(path)])
         index = Index(spark, root)
         name, hint = resolve_name(index, qname)
         if name is None:

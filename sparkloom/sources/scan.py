@@ -61,7 +61,12 @@ def scan(spark: SparkSession, root: str | Path, config: ScanConfig | None = None
     """
     base = str(Path(root).resolve())
     names = list_files(base, config, any_text)
-    listed = spark.createDataFrame([(n,) for n in names], "rel string").repartition(max(1, min(len(names) // FILES_PER_TASK + 1, 10_000)))
+    return contents(spark.createDataFrame([(n,) for n in names], "rel string"), base, any_text, len(names))
+
+
+def contents(listed: DataFrame, base: str, any_text: bool = False, number: int | None = None) -> DataFrame:
+    """(file, rel, length, content binary) of the files named by ``listed`` (rel) below ``base``."""
+    dealt = listed.select("rel").repartition(max(1, min((number if number is not None else listed.count()) // FILES_PER_TASK + 1, 10_000)))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -78,7 +83,19 @@ def scan(spark: SparkSession, root: str | Path, config: ScanConfig | None = None
                     rows = []
             yield pd.DataFrame(rows, columns=["file", "rel", "length", "content"])
 
-    return listed.mapInPandas(read, "file string, rel string, length long, content binary")
+    return dealt.mapInPandas(read, "file string, rel string, length long, content binary")
+
+
+def stamps(root: str | Path, names: list[str]) -> list[tuple[str, int, int]]:
+    """(rel, size, time of change in nanoseconds) of files that are still there."""
+    out = []
+    for rel in names:
+        try:
+            s = os.stat(os.path.join(root, rel))
+        except OSError:
+            continue
+        out.append((rel, s.st_size, s.st_mtime_ns))
+    return out
 
 
 def list_files(root: str | Path, config: ScanConfig | None = None, any_text: bool = False) -> list[str]:
