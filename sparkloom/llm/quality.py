@@ -113,8 +113,10 @@ BIAS_AT = 1 << TABLE_BITS
 
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_entries: int = SAMPLE_ENTRIES, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and bias from rows (doc_id, text, label): see the module's sample bounds."""
-    rows = labelled.where("label is not null").select("text", "label", F.xxhash64("doc_id", "text").alias("order"), "doc_id")
+    """Weights and bias from rows (doc_id, text, label), with their hash as ``order`` if it is
+    known: see the module's sample bounds."""
+    rows = labelled.where("label is not null")
+    rows = rows.select("text", "label", "order" if "order" in rows.columns else F.xxhash64("doc_id", "text").alias("order"), "doc_id")
     known = rows.agg(F.approx_count_distinct("order").alias("n"), F.min("order").alias("first")).first()
     share = min(1.0, sample_docs / max(known.n, 1))
     chosen = rows.where((F.col("order") / F.lit(2.0**64) + 0.5 <= share) | (F.col("order") == F.lit(known["first"]))).dropDuplicates(["order", "label"])
@@ -170,9 +172,12 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str]) ->
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of rows that may be learned from: crc32(doc_id) mod 3 is not 1."""
+    """(doc_id, text, order, label) of rows that may be learned from: crc32(doc_id) mod 3 is not 1.
+
+    The hash is made before the join, so that only the sample's texts go through it.
+    """
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").alias("label"))
-    return docs.where(id_bucket("doc_id", 3) != 1).select("doc_id", "text").join(known, "doc_id")
+    return docs.where(id_bucket("doc_id", 3) != 1).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("order")).join(known, "doc_id")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
