@@ -6,9 +6,15 @@ never by the order of partitions.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import shared_dir
+
 
 def demote(edges: DataFrame, symbols: DataFrame, target: str, key: str) -> DataFrame:
     """Edges with ``target`` nulled where it is not a symbol."""
@@ -116,42 +122,57 @@ def touched_calls(calls: DataFrame, dependencies: DataFrame, names: DataFrame, f
     return calls.join(files, "file", "left_anti").join(ids, "call_id", "left_semi")
 
 
-def expand(edges: DataFrame, starts: DataFrame, depth: int, order: tuple[str, ...] = ()) -> DataFrame:
-    """(node, hop, via): nodes within ``depth`` hops of ``starts`` (node) over edges
-    (src, dst), each by its first edge in ``order``.
+@contextmanager
+def laid_out(edges: DataFrame, by: str) -> Iterator[DataFrame]:
+    """``edges`` written once, in buckets of ``by``: joins on it read them without a shuffle of their own."""
+    spark, name = edges.sparkSession, f"edges_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
-    One join with the frontier a hop; what was seen before is taken out, so cycles
-    end. Each hop is cut by a reliable checkpoint, small as the frontier.
+
+def expand(edges: DataFrame, starts: DataFrame, depth: int, order: tuple[str, ...] = ()) -> DataFrame:
+    """(node, hop, via, ord): nodes within ``depth`` hops of ``starts`` (node) over edges
+    (src, dst), as a walk finds them that takes the nodes of a layer one after another,
+    and each one's edges in ``order``: ``via`` is the node that a node was first found
+    from, ``ord`` grows within a layer in the order of finding.
+
+    One join with the frontier a hop; what was seen before is taken out before the first
+    edge of a node is looked for, so cycles end. Each hop is cut by a reliable
+    checkpoint, small as the frontier.
     """
-    spark = edges.sparkSession
-    _ensure_checkpoints(spark)
-    seen = starts.select("node").distinct().withColumn("hop", F.lit(0)).withColumn("via", F.lit(None).cast(edges.schema["src"].dataType)).checkpoint()
+    shared_dir(edges.sparkSession)
+    ordinal = F.monotonically_increasing_id()  # after a sort it grows from partition to partition
+    seen = starts.select("node").distinct().orderBy("node").select("node", F.lit(0).alias("hop"), F.lit(None).cast(edges.schema["src"].dataType).alias("via"), ordinal.alias("ord")).checkpoint()
     frontier = seen
-    for hop in range(1, depth + 1):
-        first = Window.partitionBy("dst").orderBy("src", *order)
-        found = edges.join(frontier.select(F.col("node").alias("src")), "src").withColumn("place", F.row_number().over(first)).where("place = 1")
-        fresh = found.select(F.col("dst").alias("node"), F.lit(hop).alias("hop"), F.col("src").alias("via")).join(seen.select("node"), "node", "left_anti").checkpoint()
-        if fresh.isEmpty():
-            break
-        seen, frontier = seen.unionByName(fresh), fresh
+    with laid_out(edges.select("src", "dst", *order), "src") as laid:
+        for hop in range(1, depth + 1):
+            found = laid.join(frontier.select(F.col("node").alias("src"), F.col("ord").alias("from_ord")), "src")
+            new = found.join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
+            first = new.groupBy("dst").agg(F.min(F.struct("from_ord", *order, "src")).alias("first"))
+            fresh = first.orderBy("first", "dst").select(F.col("dst").alias("node"), F.lit(hop).alias("hop"), F.col("first.src").alias("via"), ordinal.alias("ord")).checkpoint()
+            if fresh.isEmpty():
+                break
+            seen, frontier = seen.unionByName(fresh), fresh
     return seen
 
 
-def _ensure_checkpoints(spark) -> None:
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/" + context.applicationId)
-
-
 def neighbor_tree(edges: DataFrame, roots: DataFrame, limit: int, inner: int, order: list[str]) -> DataFrame:
     """(root, child, child_pos, grandchild, grandchild_pos): up to ``limit`` edges of
-    each root in order, and up to ``inner`` of each of theirs. Edges: src, dst."""
+    each root in order, and up to ``inner`` of each of theirs. Edges: src, dst.
+
+    The edges are numbered by source once; the children's come from the same rows.
+    """
     place = F.row_number().over(Window.partitionBy("src").orderBy(*order))
-    # Only edges of the nodes in question are numbered, not all.
-    near = edges.join(roots.select(F.col("node").alias("src")).distinct(), "src", "left_semi").withColumn("pos", place)
-    first = near.where(F.col("pos") <= limit).select(F.col("src").alias("root"), F.col("dst").alias("child"), F.col("pos").alias("child_pos"))
-    far = edges.join(first.select(F.col("child").alias("src")).distinct(), "src", "left_semi").withColumn("pos", place)
-    second = far.where(F.col("pos") <= inner).select(F.col("src").alias("child"), F.col("dst").alias("grandchild"), F.col("pos").alias("grandchild_pos"))
+    numbered = edges.withColumn("pos", place).where(F.col("pos") <= max(limit, inner)).select("src", "dst", "pos")
+    path = f"{shared_dir(edges.sparkSession)}/neighbors-{uuid.uuid4().hex}"
+    numbered.write.parquet(path)
+    near = edges.sparkSession.read.schema(numbered.schema).parquet(path)
+    first = near.where(F.col("pos") <= limit).join(roots.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("root"), F.col("dst").alias("child"), F.col("pos").alias("child_pos"))
+    second = near.where(F.col("pos") <= inner).select(F.col("src").alias("child"), F.col("dst").alias("grandchild"), F.col("pos").alias("grandchild_pos"))
     return first.join(second, "child", "left").select("root", "child", "child_pos", "grandchild", "grandchild_pos")
 
 

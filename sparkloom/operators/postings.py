@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators import lexical
-from sparkloom.operators.segments import Segments
+from sparkloom.operators.segments import Segments, side_by_side
 
 SPAN_BITS = 10
 SPAN = 1 << SPAN_BITS
@@ -110,25 +110,40 @@ def blocks(docs: DataFrame) -> DataFrame:
 def add(store: Segments, number: int, docs: DataFrame, gone: DataFrame | None = None) -> tuple[dict[str, int], dict]:
     """Write the segment's documents and blocks, and what it voids of earlier ones:
     the documents of units in ``gone`` (unit). Rows by table, and the new facts."""
-    spark, facts = store.spark, store.facts
-    wrote = {"docs": store.write(number, "docs", docs)}
-    own = spark.read.schema(store.schemas["docs"]).parquet(f"{store.folder}/docs/seg={number}")
-    aside = f"{store.folder}/aside/{number}"
-    blocks(own).write.mode("overwrite").parquet(aside)
-    # Ranges are found from words and spans alone; a frequent word's blocks are split by span.
-    wrote["blocks"] = store.write(number, "blocks", spark.read.schema(BLOCKS).parquet(aside).repartitionByRange("term", "span").sortWithinPartitions("term", "span"))
-    store.remove(f"aside/{number}")
-    size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
-    n, length = facts.get("docs", 0) + size.n, facts.get("length", 0) + size.length
-    if gone is not None and store.manifest["segments"]:
-        void = store.live("docs").join(gone.select("unit").distinct(), "unit", "left_semi")
-        dead = void.select(F.col("seg").alias("of_seg"), "span", "offset")
-        wrote["dead"] = store.write(number, "dead", dead)
-        if wrote["dead"]:
-            wrote["minus"] = store.write(number, "minus", _words(void))
-            lost = void.agg(F.count("*").alias("n"), F.sum("dl").alias("length")).first()
-            n, length = n - lost.n, length - lost.length
-    return wrote, {"docs": n, "length": length}
+    facts = store.facts
+    store.write(number, "docs", docs)
+    own = store.written(number, "docs")
+
+    def indexed() -> tuple[int, int]:
+        size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
+        if size.n <= SPAN:
+            made = blocks(own.coalesce(1))
+        else:
+            # Ranges are found from words and spans alone; a frequent word's blocks are split by span.
+            aside = f"aside/blocks-{number}"
+            blocks(own).write.mode("overwrite").parquet(f"{store.folder}/{aside}")
+            made = store.spark.read.schema(BLOCKS).parquet(f"{store.folder}/{aside}").repartitionByRange("term", "span")
+        store.write(number, "blocks", made.sortWithinPartitions("term", "span"))
+        if size.n > SPAN:
+            store.remove(aside)
+        return size.n, size.length
+
+    def voided() -> tuple[int, int]:
+        if gone is None or not store.manifest["segments"]:
+            return 0, 0
+        void = store.live("docs").join(gone.select("unit").distinct(), "unit", "left_semi").persist()
+        try:
+            lost = void.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
+            if lost.n:
+                store.write(number, "dead", void.select(F.col("seg").alias("of_seg"), "span", "offset"))
+                store.write(number, "minus", _words(void))
+            return lost.n, lost.length
+        finally:
+            void.unpersist()
+
+    (n, length), (dead, less) = side_by_side(indexed, voided)
+    wrote = {"docs": n, "blocks": n} | ({"dead": dead, "minus": dead} if dead else {})
+    return wrote, {"docs": facts.get("docs", 0) + n - dead, "length": facts.get("length", 0) + length - less}
 
 
 def merged(store: Segments, number: int, segments: list[int]) -> dict[str, int]:
@@ -141,10 +156,11 @@ def merged(store: Segments, number: int, segments: list[int]) -> dict[str, int]:
     wrote, _ = add(store, number, documents(live, "key", F.col("unit"), F.col("fields")))
     others = [s["seg"] for s in store.manifest["segments"] if s["seg"] not in segments]
     if others:
-        dead = store.rows("dead").where(F.col("of_seg").isin(others))
-        wrote["dead"] = store.write(number, "dead", dead.where(F.col("seg").isin(segments)))
-        void = store.rows("docs").join(dead.where(F.col("seg").isin(segments)).select(F.col("of_seg").alias("seg"), "span", "offset"), ["seg", "span", "offset"], "left_semi")
-        wrote["minus"] = store.write(number, "minus", _words(void))
+        dead = store.rows("dead").where(F.col("of_seg").isin(others) & F.col("seg").isin(segments))
+        store.write(number, "dead", dead)
+        void = store.rows("docs").join(dead.select(F.col("of_seg").alias("seg"), "span", "offset"), ["seg", "span", "offset"], "left_semi")
+        store.write(number, "minus", _words(void))
+        wrote["dead"] = wrote["minus"] = store.written(number, "dead").count()
     return wrote
 
 

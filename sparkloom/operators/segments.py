@@ -16,14 +16,25 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Segments after which the younger ones are merged, and their share of the base's rows from which all are.
 MOST, SHARE = 8, 0.5
 
 
+def side_by_side(*tasks: Callable[[], T]) -> list[T]:
+    """Results of tasks that are short jobs each: Spark runs them at once."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [f.result() for f in [pool.submit(t) for t in tasks]]
+
+
 class Conflict(RuntimeError):
     """Another writer has published since."""
 
@@ -95,15 +106,18 @@ class Segments:
     def next(self) -> int:
         return 1 + max([s["seg"] for s in self.manifest["segments"]] + [self.facts.get("last_seg", 0)])
 
-    def write(self, number: int, table: str, rows: DataFrame) -> int:
-        """Write the rows of one table of a segment; their number. Nobody reads them before they are published."""
+    def write(self, number: int, table: str, rows: DataFrame) -> None:
+        """Write the rows of one table of a segment. Nobody reads them before they are published."""
         columns = [c.split()[0] for c in _fields(self.schemas[table])]
-        at = f"{self.folder}/{table}/seg={number}"
-        rows.select(*columns).write.mode("overwrite").option("parquet.writer.version", "PARQUET_2_0").parquet(at)
-        return self.spark.read.schema(self.schemas[table]).parquet(at).count()
+        rows.select(*columns).write.mode("overwrite").option("parquet.writer.version", "PARQUET_2_0").parquet(f"{self.folder}/{table}/seg={number}")
+
+    def written(self, number: int, table: str) -> DataFrame:
+        """What was written for a segment that is not published yet."""
+        return self.spark.read.schema(self.schemas[table]).parquet(f"{self.folder}/{table}/seg={number}")
 
     def publish(self, segment: dict, facts: dict, instead: list[int] = ()) -> None:
-        """Name a written segment (seg, rows by table) in a new manifest; ``instead`` of these."""
+        """Name a written segment in a new manifest, ``instead`` of these. Its rows by table:
+        a number for each table that was written, 0 if it is known to be empty."""
         kept = [s for s in self.manifest["segments"] if s["seg"] not in instead]
         fresh = {"version": self.manifest["version"] + 1, "segments": sorted([*kept, segment], key=lambda s: s["seg"]), "facts": self.facts | facts | {"last_seg": segment["seg"]}}
         name = f"manifests/{fresh['version']:012d}"

@@ -16,6 +16,7 @@ import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import partial
 from pathlib import Path
 
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql.types import ArrayType, StringType
 from sparkloom.functions.stem import terms
 from sparkloom.functions.text import embedding_text_col, identifier_words
 from sparkloom.operators import graph, postings, snapshots, vectors
-from sparkloom.operators.segments import Segments
+from sparkloom.operators.segments import Segments, side_by_side
 from sparkloom.sources.config import ScanConfig
 from sparkloom.sources.names import VERSION, sha1
 from sparkloom.sources.parsers import parse_file
@@ -221,7 +222,7 @@ def _apply(spark: SparkSession, location: Location, store: Segments, states: Dat
 
 def _segment(spark: SparkSession, location: Location, store: Segments, parsed: DataFrame | None, states: DataFrame, stale: bool, embedder: vectors.Embedder) -> tuple[int, dict[str, int], dict]:
     """Write the segment of parsed and removed files: (its number, rows by table, facts)."""
-    number, facts, wrote = store.next(), store.facts, {}
+    number, facts = store.next(), store.facts
     empty = spark.createDataFrame([], PARSED + ", size long, changed long")
     parsed = empty if parsed is None else parsed
     removed = states.where("state = 'removed'").select("file")
@@ -229,74 +230,84 @@ def _segment(spark: SparkSession, location: Location, store: Segments, parsed: D
         gone = removed.where("false")
         old = store.live("symbols").where("false")
     else:
-        gone = removed.unionByName(parsed.select("file")).persist()
-        old = store.live("symbols").join(F.broadcast(gone) if gone.count() <= 1000 else gone, "file", "left_semi").persist()
+        gone = _small(removed.unionByName(parsed.select("file")))
+        old = _small(store.live("symbols").join(gone, "file", "left_semi"))
         # Files that share a symbol's name with what changes: which of them is kept may change with it.
-        names = old.select("qname").unionByName(parsed.select(F.explode("symbols.qname").alias("qname"))).distinct()
-        others = store.live("symbols").select("file", "qname").join(gone, "file", "left_anti").persist()
-        rivals = others.join(names, "qname", "left_semi").select("file").distinct().persist()
+        names = _small(old.select("qname").unionByName(parsed.select(F.explode("symbols.qname").alias("qname"))).distinct())
+        rivals = _small(store.live("symbols").select("file", "qname").join(gone, "file", "left_anti").join(names, "qname", "left_semi").select("file").distinct())
         if not rivals.isEmpty():
             again = store.live("files").join(rivals, "file", "left_semi")
             at = f"file://{location.folder}/aside/rivals-{number}"
             parse_rows(again.select("file", "rel", F.col("content").cast("binary").alias("content"))).join(again.select("file", "size", "changed"), "file").write.mode("overwrite").parquet(at)
             parsed = parsed.unionByName(spark.read.schema(PARSED + ", size long, changed long").parquet(at))
-            gone = gone.unionByName(rivals).persist()
-            old = store.live("symbols").join(gone, "file", "left_semi").persist()
+            gone = _small(gone.unionByName(rivals))
+            old = _small(store.live("symbols").join(gone, "file", "left_semi"))
     raw = _raw(parsed)
     first = raw["symbols"].groupBy("qname").agg(F.min("file").alias("__first"))
     if not stale:
         kept_by = store.live("symbols").join(gone, "file", "left_anti").select("qname", F.col("file").alias("__first")).join(first.select("qname"), "qname", "left_semi")
         first = first.unionByName(kept_by).groupBy("qname").agg(F.min("__first").alias("__first"))
     symbols = raw["symbols"].join(first, "qname").withColumn("kept", F.col("file") == F.col("__first"))
-    wrote["files"] = store.write(number, "files", parsed)
-    wrote["symbols"] = store.write(number, "symbols", symbols)
-    wrote["imports"] = store.write(number, "imports", raw["imports"])
-    wrote["routes"] = store.write(number, "routes", raw["routes"])
-    wrote["needs"] = store.write(number, "needs", graph.needs(raw["calls"], raw["imports"]))
-    own = lambda table: spark.read.schema(store.schemas[table]).parquet(f"{store.folder}/{table}/seg={number}")
+    plain = {"files": parsed, "symbols": symbols, "imports": raw["imports"], "routes": raw["routes"], "needs": graph.needs(raw["calls"], raw["imports"])}
+    side_by_side(*[partial(store.write, number, table, rows) for table, rows in plain.items()])
+    own = partial(store.written, number)
     fresh = own("symbols").where("kept").drop("kept")
 
     # Postings and vectors of the symbols that are kept.
     fields = F.col("terms")
     named = fresh.withColumn("terms", index_terms("qname", "signature", "docstring", F.array_join("decorators", "\n")))
     base = Segments(spark, store.folder, store.schemas, store.units, {"version": 0, "segments": [], "facts": {}}) if stale else store
-    more, counted = postings.add(base, number, postings.documents(named, "qname", F.col("file"), fields), None if stale else gone.select(F.col("file").alias("unit")))
-    wrote |= more
+    indexed = partial(postings.add, base, number, postings.documents(named, "qname", F.col("file"), fields), None if stale else gone.select(F.col("file").alias("unit")))
     text = embedding_text_col(F.col("qname"), F.col("signature"), F.coalesce("docstring", F.lit("")))
-    wrote["vectors"] = store.write(number, "vectors", vectors.embed_column(fresh, "qname", text, embedder).join(fresh.select("qname", "file"), "qname"))
+    embedded = vectors.embed_column(fresh, "qname", text, embedder).join(fresh.select("qname", "file"), "qname")
 
     # Calls of these files, and of others that need a name whose symbols changed.
     calls = raw["calls"].select("call_id", "caller_qname", "callee_name", "guess", "file", "line")
     imports, needs, everything = own("imports"), own("needs"), fresh
     if not stale:
         live = store.live("calls").drop("seg")
-        names = graph.changed_names(old.where("kept"), fresh)
-        touched = graph.touched_calls(live, store.live("needs").drop("seg"), names, gone).persist()
+        names = _small(graph.changed_names(old.where("kept"), fresh))
+        touched = _small(graph.touched_calls(live, store.live("needs").drop("seg"), names, gone))
         again = touched.select(*calls.columns)
         calls = calls.unionByName(again)
         imports = imports.select("import_id", "file", "module", "name", "alias", "line").unionByName(store.live("imports").drop("seg").join(touched.select("file").distinct(), "file", "left_semi"))
-        needed = needs.select("name").unionByName(store.live("needs").join(touched.select("call_id"), "call_id", "left_semi").select("name")).distinct()
+        needed = _small(needs.select("name").unionByName(store.live("needs").join(touched.select("call_id"), "call_id", "left_semi").select("name")).distinct())
         kept = store.live("symbols").where("kept").drop("seg", "kept").join(gone, "file", "left_anti").unionByName(fresh)
-        everything = kept.withColumn("name", graph.simple_name(F.col("qname"))).join(needed, "name", "left_semi").drop("name")
+        everything = _small(kept.withColumn("name", graph.simple_name(F.col("qname"))).join(needed, "name", "left_semi").drop("name"))
     asked = calls.withColumn("callee_qname", F.col("guess")).select("call_id", "caller_qname", "callee_name", "callee_qname", "file", "line")
     resolved = graph.resolve_calls(asked, everything, imports, location.scope is None).join(calls.select("call_id", "guess"), "call_id")
     if not stale:
         before = touched.select("call_id", F.col("callee_qname").alias("__before"), F.lit(True).alias("__held"))
         resolved = resolved.join(before, "call_id", "left").where(F.col("__held").isNull() | ~F.col("callee_qname").eqNullSafe(F.col("__before")))
-    wrote["calls"] = store.write(number, "calls", resolved)
-    n_files, n_symbols, n_calls = wrote["files"], own("symbols").where("kept").count(), raw["calls"].count()
+    (more, counted), _, _ = side_by_side(indexed, partial(store.write, number, "vectors", embedded), partial(store.write, number, "calls", resolved))
+    counts = [own("files"), own("symbols").where("kept"), raw["calls"]]
     if not stale:
         marks = gone.select(F.lit("file").alias("kind"), F.col("file").alias("unit"))
         moved = own("calls").join(gone, "file", "left_anti").select(F.lit("call").alias("kind"), F.col("call_id").cast("string").alias("unit"))
-        wrote["gone"] = store.write(number, "gone", marks.unionByName(moved))
-        n_files += facts["files"] - store.live("files").join(gone, "file", "left_semi").count()
-        n_symbols += facts["symbols"] - old.where("kept").count()
-        n_calls += facts["calls"] - store.live("calls").join(gone, "file", "left_semi").count()
-        for held in (gone, old, others, rivals, touched):
+        store.write(number, "gone", marks.unionByName(moved))
+        counts += [own("gone"), store.live("files").join(gone, "file", "left_semi"), old.where("kept"), store.live("calls").join(gone, "file", "left_semi")]
+    n_files, n_symbols, n_calls, *less = side_by_side(*[rows.count for rows in counts])
+    wrote = more | {t: n_files for t in (*plain, "vectors", "calls")} | {"symbols": n_symbols}
+    if not stale:
+        wrote["gone"] = less[0]
+        n_files, n_symbols, n_calls = (facts[t] + n - x for t, n, x in zip(("files", "symbols", "calls"), (n_files, n_symbols, n_calls), less[1:], strict=True))
+        for held in (gone, old, names, rivals, touched, needed, everything):
             held.unpersist()
     return number, wrote, counted | {"files": n_files, "symbols": n_symbols, "calls": n_calls}
 
 
+#: Rows that a refresh brings to the driver to shorten what Spark plans next.
+SMALL = 2000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """The same rows: given as they are, to be broadcast, if there are few; kept by Spark otherwise."""
+    first = rows.limit(SMALL + 1).collect()
+    if len(first) > SMALL:
+        return rows.persist()
+    return F.broadcast(rows.sparkSession.createDataFrame(first, rows.schema))
+
+
 def compact(store: Segments) -> bool:
     """Merge segments if it is time."""
     due = store.due("symbols")
@@ -304,9 +315,12 @@ def compact(store: Segments) -> bool:
         number = store.next()
         wrote = postings.merged(store, number, due)
         for table in ("files", "symbols", "calls", "imports", "routes", "vectors", "needs"):
-            wrote[table] = store.write(number, table, store.live(table).where(F.col("seg").isin(due)))
+            store.write(number, table, store.live(table).where(F.col("seg").isin(due)))
+            wrote[table] = 1
+        wrote["symbols"] = store.written(number, "symbols").count()
         if len(due) < len(store.manifest["segments"]):
-            wrote["gone"] = store.write(number, "gone", store.rows("gone").where(F.col("seg").isin(due)).select("kind", "unit").distinct())
+            store.write(number, "gone", store.rows("gone").where(F.col("seg").isin(due)).select("kind", "unit").distinct())
+            wrote["gone"] = store.written(number, "gone").count()
         store.publish({"seg": number, "rows": wrote}, {}, due)
     return bool(due)
 

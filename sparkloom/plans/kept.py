@@ -51,9 +51,11 @@ def refresh(store: Segments, rows: DataFrame, key: str, fields: Column) -> dict[
             changed = rows
         number = store.next()
         wrote, facts = postings.add(store, number, postings.documents(changed, key, file, fields), gone if len(counts.keys() - {"added"}) else None)
-        wrote["sources"] = store.write(number, "sources", now.join(fresh, "unit", "left_semi"))
+        store.write(number, "sources", now.join(fresh, "unit", "left_semi"))
+        wrote["sources"] = counts.get("added", 0) + counts.get("changed", 0)
         if counts.keys() - {"added"}:
-            wrote["gone"] = store.write(number, "gone", gone.select(F.lit("file").alias("kind"), "unit"))
+            store.write(number, "gone", gone.select(F.lit("file").alias("kind"), "unit"))
+            wrote["gone"] = counts.get("changed", 0) + counts.get("removed", 0)
         store.publish({"seg": number, "rows": wrote}, facts)
     finally:
         status.unpersist()
@@ -67,8 +69,10 @@ def compact(store: Segments) -> bool:
     if due:
         number = store.next()
         wrote = postings.merged(store, number, due)
-        wrote["sources"] = store.write(number, "sources", store.live("sources").where(F.col("seg").isin(due)))
+        store.write(number, "sources", store.live("sources").where(F.col("seg").isin(due)))
+        wrote["sources"] = store.written(number, "sources").count()
         if len(due) < len(store.manifest["segments"]):
-            wrote["gone"] = store.write(number, "gone", store.rows("gone").where(F.col("seg").isin(due)).select("kind", "unit").distinct())
+            store.write(number, "gone", store.rows("gone").where(F.col("seg").isin(due)).select("kind", "unit").distinct())
+            wrote["gone"] = store.written(number, "gone").count()
         store.publish({"seg": number, "rows": wrote}, {}, due)
     return bool(due)

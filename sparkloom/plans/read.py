@@ -202,7 +202,7 @@ def expand(spark: SparkSession, qname: str, direction: str = "callees", depth: i
     start = spark.createDataFrame([(name,)], "node string")
     found = graph.expand(_steps(index, direction), start, depth, ("way", "line", "call_id")).where("hop > 0")
     known = index.symbols.select(F.col("qname").alias("node"), "kind", "signature", "docstring", "file")
-    rows = found.join(known, "node", "left").orderBy("hop", "via", "node").collect()
+    rows = found.join(known, "node", "left").orderBy("hop", "ord").collect()
     layers = [[{"qname": r.node, "via": r.via, "kind": r.kind, "signature": r.signature, "docstring": T.doc_summary(r.docstring), "file": r.file} for r in rows if r.hop == h] for h in range(1, depth + 1)]
     layers = [layer for layer in layers if layer]
     other = cross_package(index, [r.node[2:] for r in rows if r.node.startswith("?:")], name) if direction != "callers" else {}
