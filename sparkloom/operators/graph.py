@@ -195,6 +195,26 @@ def alias_chain(aliases: DataFrame, starts: DataFrame, hops: int = 3) -> DataFra
     return rows.withColumn("terminal", F.coalesce(*reversed(names)))
 
 
+def constant_chains(consts: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
+    """(start, chain, terminal, value): constants whose value is another's name, followed
+    up to ``hops`` times, never to one that the chain has visited, all starts at once.
+
+    consts: qname, name, value; starts: qname. Of several constants with a name the
+    first is taken.
+    """
+    table = consts.select(F.col("qname").alias("next_q"), F.col("name").alias("next_name"), F.col("value").alias("next_value"))
+    rows = starts.select("qname").distinct().join(consts, "qname").select(F.col("qname").alias("start"), F.array("qname").alias("visited"), "value")
+    for _ in range(hops):
+        wanted = F.when(F.col("value").rlike(r"^[A-Za-z_][\w.]*$"), F.regexp_extract("value", r"[^.]*$", 0))
+        fits = (F.col("wanted") == F.col("next_name")) & ~F.array_contains("visited", F.col("next_q"))
+        step = rows.withColumn("wanted", wanted).join(table, fits, "left").groupBy("start").agg(F.first("visited").alias("visited"), F.first("value").alias("value"), F.min(F.when(F.col("next_q").isNotNull(), F.struct("next_q", "next_value"))).alias("step"))
+        went = F.col("step").isNotNull()
+        # A chain that has ended stays as it is: its value names no constant that it has not visited.
+        rows = step.select("start", F.when(went, F.concat("visited", F.array("step.next_q"))).otherwise(F.col("visited")).alias("visited"), F.when(went, F.col("step.next_value")).otherwise(F.col("value")).alias("value"))
+    chain = F.slice("visited", F.lit(2), F.size("visited"))
+    return rows.select("start", chain.alias("chain"), F.element_at("visited", -1).alias("terminal"), "value")
+
+
 # Names that every program calls, in the two families of languages.
 PYTHON_BUILTINS = frozenset(
     "print len range enumerate zip map filter sorted reversed any all min max sum abs str int float bool list dict tuple set bytes bytearray frozenset open type id repr hash ord chr next iter callable isinstance issubclass hasattr getattr setattr delattr format vars dir super object property staticmethod classmethod".split()

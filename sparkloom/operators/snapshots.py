@@ -24,10 +24,31 @@ def source_version(files: DataFrame, key: str, digest: str, groups: tuple[str, .
     return files.groupBy(*groups).agg(F.sha1(folded).alias("version"), F.count("*").alias("files"))
 
 
-def replace_rows(old: DataFrame, fresh: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """``old`` without the rows of keys in ``gone`` or ``fresh``, and with ``fresh``."""
-    keys = gone.select(key).unionByName(fresh.select(key)).distinct()
-    return old.join(keys, key, "left_anti").unionByName(fresh)
+def folder_digests(files: DataFrame, rel: str, digest: str) -> DataFrame:
+    """(folder, digest) of every folder above the files, the root's under the empty name.
+
+    A folder's digest is the SHA-1 of its children's names and digests in order of
+    names, files before folders; so a changed file changes the digests on its path and
+    no others. Folders are made level by level, the deepest first, each from its own
+    children alone.
+    """
+    depth = F.size(F.split("path", "/"))
+    parent, name = F.regexp_replace("path", "/?[^/]*$", ""), F.regexp_extract("path", "[^/]*$", 0)
+    level = files.select(F.col(rel).alias("path"), F.lit(False).alias("folder"), F.col(digest).alias("digest")).withColumn("depth", depth)
+    deepest = level.agg(F.max("depth")).first()[0] or 0
+    out = None
+    above = None  # folders of the level below
+    for at in range(deepest, 0, -1):
+        children = level.where(F.col("depth") == at).drop("depth")
+        if above is not None:
+            children = children.unionByName(above)
+        line = F.sort_array(F.collect_list(F.struct("folder", "name", "digest")))
+        folded = F.array_join(F.transform(line, lambda c: F.concat(F.when(c["folder"], "d").otherwise("f"), F.lit("\0"), c["name"], F.lit("\0"), c["digest"])), "\n")
+        made = children.select(parent.alias("parent"), "folder", name.alias("name"), "digest").groupBy("parent").agg(F.sha1(folded).alias("digest"))
+        above = made.select(F.col("parent").alias("path"), F.lit(True).alias("folder"), "digest")
+        own = made.select(F.col("parent").alias("folder"), "digest")
+        out = own if out is None else out.unionByName(own)
+    return out if out is not None else files.sparkSession.createDataFrame([], "folder string, digest string")
 
 
 def first_of_key(rows: DataFrame, key: str, order: list) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from sparkloom.session import shared_dir
 
 
 def outline(children: DataFrame, parent: str, order: list[str], fields: list[str]) -> DataFrame:
@@ -36,11 +41,33 @@ def repository_map(symbols: DataFrame, prefix: str | None = None, depth: int = 1
     return files.select(folder.alias("dir"), "file", F.col("doc.docstring").alias("module_doc"), "symbols", F.size("symbols").alias("symbol_count"))
 
 
+def running_sums(rows: DataFrame, group: list[str], order: list[str], size: str) -> DataFrame:
+    """``rows`` with ``used``: the sum of ``size`` up to each row of its group in order.
+
+    Rows are dealt to ranges of (group, order), so a group may span tasks. Each range's
+    sum for a group is one row; sums of the ranges before are added to sums within the
+    range. ``order`` must tell rows of a group apart.
+    """
+    keys = [*group, *order]
+    path = f"{shared_dir(rows.sparkSession)}/sums-{uuid.uuid4().hex}"
+    # Written, so that a row stays in the range that its sum is made for.
+    rows.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    dealt = rows.sparkSession.read.schema(StructType([*rows.schema.fields, StructField("__range", IntegerType())])).parquet(path)
+    parts = dealt.groupBy(*group, "__range").agg(F.sum(size).alias("__sum"))
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = parts.select(*[F.col(c).alias(f"__{c}") for c in group], F.col("__range").alias("__at"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*group, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    on = F.col("__range") == F.col("__at")
+    for c in group:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    summed = dealt.withColumn("__own", F.sum(size).over(inside)).join(offsets, on)
+    return summed.select(*rows.columns, (F.col("__own") + F.col("__before")).alias("used"))
+
+
 def within_budget(blocks: DataFrame, group: list[str], order: list[str], size: str, budget: int) -> DataFrame:
     """Blocks in order up to the first that overflows the budget; a later one that
     would fit stays out as well."""
-    upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("used", F.sum(size).over(upto)).where(F.col("used") <= budget)
+    return running_sums(blocks, group, order, size).where(F.col("used") <= budget)
 
 
 def merge_roots(scored: DataFrame, root: str, key: str, per_root: int, k: int) -> DataFrame:

@@ -346,16 +346,33 @@ def forget_package(root: str | Path, name: str) -> bool:
     return found
 
 
-def source_version(root: str | Path) -> str:
-    """SHA-1 over the sorted paths and hashes of the files as they are now."""
-    base = Path(root).resolve()
-    return sha1("".join(f"{rel}\0{sha1((base / rel).read_bytes())}\n" for rel in list_files(base)))
+def folder_versions(spark: SparkSession, root: str | Path) -> DataFrame:
+    """(folder, digest) of the source files as they are now. Files that are as the index
+    saw them count with the hash that it has; tasks hash the others."""
+    base, location = str(Path(root).resolve()), Location(str(Path(root).resolve()))
+    names = list_files(base)
+    now = spark.createDataFrame(stamps(base, names), "rel string, size long, changed long").withColumn("file", F.concat(F.lit(f"{base}/"), "rel"))
+    if location.exists():
+        known = location.store(spark).live("files").select("file", "sha", "size", "changed", "indexed_at")
+    else:
+        known = spark.createDataFrame([], "file string, sha string, size long, changed long, indexed_at double")
+    states = _states(known, now)
+    held = states.where("state = 'unchanged'").select("rel", "sha")
+    fresh = contents(states.where("state = 'maybe'"), base).select("rel", F.sha1("content").alias("sha"))
+    return snapshots.folder_digests(held.unionByName(fresh), "rel", "sha")
+
+
+def source_version(spark: SparkSession, root: str | Path) -> str:
+    """The digest of the root: it changes exactly when a source file does."""
+    found = folder_versions(spark, root).where("folder = ''").first()
+    return found.digest if found else sha1("")
 
 
 class Preloads:
     """Texts kept for a mode as long as no source changes."""
 
-    def __init__(self, root: str | Path):
+    def __init__(self, spark: SparkSession, root: str | Path):
+        self.spark = spark
         self.root, self.folder = Path(root).resolve(), Path(root).resolve() / STATE_DIR / "preloads"
 
     def get(self, mode: str) -> str | None:
@@ -363,12 +380,12 @@ class Preloads:
         if not path.exists():
             return None
         held = json.loads(path.read_text())
-        return held["content"] if held["source_version"] == source_version(self.root) else None
+        return held["content"] if held["source_version"] == source_version(self.spark, self.root) else None
 
     def put(self, mode: str, content: str) -> None:
         self.folder.mkdir(parents=True, exist_ok=True)
         fresh = self.folder / f".{mode}.{os.getpid()}"
-        fresh.write_text(json.dumps({"content": content, "source_version": source_version(self.root), "generated_at": int(time.time())}))
+        fresh.write_text(json.dumps({"content": content, "source_version": source_version(self.spark, self.root), "generated_at": int(time.time())}))
         os.replace(fresh, self.folder / f"{mode}.json")
 
     def clear(self) -> int:

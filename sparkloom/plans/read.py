@@ -18,7 +18,7 @@ from sparkloom.functions.stem import terms as stemmed
 from sparkloom.operators import fusion, graph, spans, vectors, views
 from sparkloom.plans.index import Index, indexed_packages, refresh
 from sparkloom.sources.names import sha1
-from sparkloom.sources.scan import scan
+from sparkloom.sources.scan import contents, list_files
 
 SOFT_TOKENS, HARD_TOKENS, LEAST_BODY = 8000, 16000, 400
 ACTION = {"outline": "Its members: outline of its file.", "expand": "What it calls: expand.", "read_body": "Its source: get_source, or search with bodies."}
@@ -146,39 +146,26 @@ def search_hint(results: list[dict], query: str = "", with_bodies: bool = False,
 # ---- constants ---------------------------------------------------------------
 
 
+def _constants(index: Index) -> DataFrame:
+    rows = index.symbols.where("kind = 'constant'").select("qname", "signature")
+    return rows.select("qname", F.element_at(F.split("qname", r"[:.]"), -1).alias("name"), F.trim(F.regexp_extract("signature", r"=\s*(.*)$", 1)).alias("value"))
+
+
 def constant_chain(index: Index, qname: str, hops: int = 3) -> dict | None:
     """Follow NAME = OTHER from a constant: the chain, and the value at its end."""
-    consts = index.symbols.where("kind = 'constant'").select("qname", "signature")
-    value = F.trim(F.regexp_extract("signature", r"=\s*(.*)$", 1))
-    table = consts.select("qname", value.alias("value"), F.element_at(F.split("qname", r"[:.]"), -1).alias("name"))
-    here, chain = table.where(F.col("qname") == qname).first(), []
-    if here is None:
-        return None
-    seen = {qname}
-    for _ in range(hops):
-        if not re.fullmatch(r"[A-Za-z_][\w.]*", here.value):
-            break
-        step = table.where((F.col("name") == here.value.rpartition(".")[2]) & ~F.col("qname").isin(*seen)).orderBy("qname").first()
-        if step is None:
-            break
-        chain.append(step.qname)
-        seen.add(step.qname)
-        here = step
-    return {"chain": chain, "terminal_qname": here.qname, "value": here.value} if chain else None
+    found = graph.constant_chains(_constants(index), index.spark.createDataFrame([(qname,)], "qname string"), hops).first()
+    return {"chain": found.chain, "terminal_qname": found.terminal, "value": found.value} if found is not None and found.chain else None
 
 
 def referenced_constants(index: Index, bodies: list[str], exclude: list[str]) -> dict:
-    """Constants that the bodies name, with the values at the ends of their chains."""
+    """Constants that the bodies name, with the values at the ends of their chains, in one job."""
     names = list(dict.fromkeys(n for b in bodies for n in re.findall(r"\b[A-Z][A-Z0-9_]{2,}\b", b)))
     if not names:
         return {}
-    rows = index.symbols.where((F.col("kind") == "constant") & ~F.col("qname").isin(*exclude)).select("qname", "signature", F.element_at(F.split("qname", r"[:.]"), -1).alias("name"))
-    first = rows.where(F.col("name").isin(names)).groupBy("name").agg(F.min_by(F.struct("qname", "signature"), "qname").alias("c")).collect()
-    out = {}
-    for row in first:
-        chain = constant_chain(index, row.c.qname)
-        out[row["name"]] = {"qname": row.c.qname, "value": row.c.signature.partition("=")[2].strip()} | ({"chain": chain["chain"], "value": chain["value"]} if chain else {})
-    return out
+    consts = _constants(index)
+    first = consts.where(F.col("name").isin(names) & ~F.col("qname").isin(*exclude)).groupBy("name").agg(F.min("qname").alias("qname"))
+    rows = first.join(graph.constant_chains(consts, first).withColumnRenamed("start", "qname"), "qname").collect()
+    return {r["name"]: {"qname": r.qname, "value": r.value} | ({"chain": r.chain} if r.chain else {}) for r in rows}
 
 
 # ---- graph -------------------------------------------------------------------
@@ -363,9 +350,15 @@ def grep_files(spark: SparkSession, pattern: str, root: str | Path = ".", scope:
             spark._jvm.java.util.regex.Pattern.compile(pattern)
         except Exception as e:  # either dialect refuses it
             return {"pattern": pattern, "error": "invalid_regex", "hint": str(e).split("\n")[0]}
-    files = scan(spark, root, any_text=True).where(_within(F.col("file"), root, in_path)).select("file", F.decode("content", "UTF-8").alias("content"))
-    if max_files is not None:
-        files = files.orderBy("file").limit(max_files)
+    base = str(Path(root).resolve())
+    below = None if in_path is None else str((Path(base) / in_path).resolve())
+    names = [n for n in list_files(base, any_text=True) if below is None or f"{base}/{n}" == below or f"{base}/{n}".startswith(below.rstrip("/") + "/")]
+    listed = spark.createDataFrame([(n,) for n in names], "rel string")
+    files = contents(listed, base, True, len(names))
+    if max_files is not None and len(names) > max_files:  # names are limited, and only then contents read
+        text = files.select("rel").orderBy("rel").limit(max_files)
+        files = contents(text, base, True, max_files)
+    files = files.select("file", F.decode("content", "UTF-8").alias("content"))
     hits = spans.grep(files, "file", "content", pattern, regex, case_insensitive, context_lines)
     rows = hits.orderBy("file", "line").limit(max_results)  # the cap comes before the sort by definition
     try:

@@ -125,7 +125,7 @@ def test_imports_rename_files(spark, indexed):
 
 
 def test_preloads(spark, indexed):
-    held = ix.Preloads(indexed)
+    held = ix.Preloads(spark, indexed)
     held.put("map", "text")
     assert held.get("map") == "text"
     (indexed / "pkg/utils.py").write_text("Z = 1\n")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import graph, segments, spans
+from sparkloom.operators import graph, segments, snapshots, spans, views
 from sparkloom.plans import index as ix
 from sparkloom.plans import read
 
@@ -143,3 +143,32 @@ def test_refreshes_by_file_equal_an_index_made_anew(spark, tree, monkeypatch):
     ix.refresh(spark, tree, force=True)
     assert got == _state(spark, tree)
     assert ("pkg.auth:login", "/pkg/auth/__init__.py", "function", 1) in got["symbols"]
+
+
+def test_running_sums_of_one_group_come_from_many_tasks(spark):
+    rows = spark.range(5000).select(F.lit("g").alias("g"), (F.col("id") * 7919 % 5000).alias("n"), (F.col("id") % 5 + 1).alias("size")).unionByName(spark.createDataFrame([(None, 1, 3), (None, 0, 4), ("h", 9, None), ("h", 10, 2)], "g string, n long, size long"))
+    got = {(r.g, r.n): r.used for r in views.running_sums(rows.repartition(4), ["g"], ["n"], "size").collect()}
+    total = 0
+    for n, size in sorted((i * 7919 % 5000, i % 5 + 1) for i in range(5000)):
+        total += size
+        assert got["g", n] == total
+    assert got[None, 0] == 4 and got[None, 1] == 7 and got["h", 10] == 2 and len(got) == 5004
+
+
+def test_constant_chains_follow_names_and_never_return(spark):
+    consts = [("m:A", "A", "B"), ("m:B", "B", "pkg.C"), ("m:C", "C", "D"), ("m:D", "D", "E"), ("m:E", "E", "5"), ("m:X", "X", "Y"), ("m:Y", "Y", "X"), ("n:B", "B", "9"), ("m:S", "S", "'text'"), ("m:L", "L", "L")]
+    got = {r.start: (r.chain, r.terminal, r.value) for r in graph.constant_chains(spark.createDataFrame(consts, "qname string, name string, value string"), spark.createDataFrame([(c[0],) for c in consts] + [("gone",)], "qname string")).collect()}
+    assert got["m:A"] == (["m:B", "m:C", "m:D"], "m:D", "E") and got["m:C"] == (["m:D", "m:E"], "m:E", "5")
+    assert got["m:X"] == (["m:Y"], "m:Y", "X") and got["m:S"] == ([], "m:S", "'text'") and got["m:L"] == ([], "m:L", "L") and "gone" not in got
+
+
+def test_folder_digests_change_on_the_path_of_a_changed_file_alone(spark):
+    files = {"a.py": "1", "p/b.py": "2", "p/q/c.py": "3", "p/q/r/d.py": "4", "s/e.py": "5"}
+    digests = lambda f: {r.folder: r.digest for r in snapshots.folder_digests(spark.createDataFrame(list(f.items()), "rel string, sha string"), "rel", "sha").collect()}
+    before = digests(files)
+    assert set(before) == {"", "p", "p/q", "p/q/r", "s"} and before == digests(dict(reversed(files.items())))
+    after = digests(files | {"p/q/c.py": "x"})
+    assert {f for f in before if before[f] != after[f]} == {"", "p", "p/q"}
+    assert digests({k: v for k, v in files.items() if k != "s/e.py"}).keys() == before.keys() - {"s"}
+    assert digests({"p": "2"})[""] != digests({"p/b.py": "2"})[""]
+    assert snapshots.folder_digests(spark.createDataFrame([], "rel string, sha string"), "rel", "sha").count() == 0
