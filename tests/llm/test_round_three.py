@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import conversations, divergence, language, packing, quality, queries, urls
+from sparkloom.llm import conversations, divergence, language, media, packing, quality, queries, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -147,6 +147,52 @@ def test_ftrl_updates_are_those_of_the_plain_rule():
     assert np.allclose(model.z, z) and np.allclose(model.n, n)
 
 
+# ---- 9 media: every payload is resampled, PCM is packed without loss --------------------------
+
+
+def _plain_resampled(pcm, up, down):
+    """Each output as one sum over the inputs in reach, without phases."""
+    cutoff = min(1.0, up / down)
+    reach = math.ceil(media.REACH / cutoff)
+    out = []
+    for k in range(-(-len(pcm) * up // down)):
+        at = k * down / up
+        first = k * down // up
+        taps = [n - at for n in range(first - reach, first + reach + 1)]
+        kernel = [cutoff * float(np.sinc(cutoff * t)) * math.cos(math.pi * t / (2 * reach + 2)) ** 2 for t in taps]
+        total = sum(kernel)
+        out.append(sum(w / total * (pcm[n] if 0 <= n < len(pcm) else 0) for w, n in zip(kernel, range(first - reach, first + reach + 1), strict=True)))
+    return np.clip(np.rint(out), -32768, 32767)
+
+
+@pytest.mark.parametrize(("rate", "target"), [(8000, 16000), (8000, 11025), (16000, 8000), (11025, 8000)])
+def test_resampling_is_that_of_a_plain_sum(rate, target):
+    pcm = np.random.default_rng(3).integers(-20000, 20000, 150).astype(np.int16)
+    up, down = target // math.gcd(rate, target), rate // math.gcd(rate, target)
+    got, want = media.resample(pcm, rate, target), _plain_resampled(pcm.tolist(), up, down)
+    assert len(got) == len(want) and np.abs(got - want).max() <= 1  # sums of 32 bits round apart now and then
+
+
+def test_pcm_is_packed_without_loss():
+    rng = np.random.default_rng(4)
+    cases = [np.zeros(0), np.zeros(1), np.array([5, -7]), rng.integers(-32768, 32768, 3001), rng.integers(-3, 4, 999), np.array([-32768, 32767] * 700), np.full(600_001, 12)]
+    cases += [media.resample(media.MULAW[rng.integers(0, 256, n)], 8000, 16000) for n in (1, 2, 511, 4000)]
+    for pcm in cases:
+        packed = media.pack_pcm(pcm.astype(np.int16))
+        assert media.unpack_pcm(packed).tolist() == pcm.astype(np.int16).tolist()
+    speech = media.resample(media.ALAW[rng.integers(0, 256, 4000)], 8000, 16000)
+    assert len(media.pack_pcm(speech)) < 4000 + 600 + 40  # what was interpolated takes no bits
+    for n in (0, 1, 255, 256, 257, 70_000):
+        values = rng.integers(0, 1 << int(rng.integers(1, 32)), n).astype(np.uint32)
+        data = media.pack_numbers(values)
+        got, took = media.unpack_numbers(memoryview(data), n)
+        assert got.tolist() == values.tolist() and took == len(data)
+
+
+def test_every_payload_is_resampled():
+    assert {rate for _, _, rate, _ in media.CODINGS} == {media.RATE} and media.RATE != media.TARGET_RATE
+
+
 # ---- 11 conversations ------------------------------------------------------------------
 
 
