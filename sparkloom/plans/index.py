@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from sparkloom.functions.stem import terms
 from sparkloom.functions.text import embedding_text_col, identifier_words
-from sparkloom.operators import graph, postings, snapshots, vectors
+from sparkloom.operators import cooccurrence, graph, postings, snapshots, vectors
 from sparkloom.operators.segments import Segments, side_by_side
 from sparkloom.sources.config import ScanConfig
 from sparkloom.sources.names import VERSION, sha1
@@ -51,6 +51,7 @@ SCHEMAS = postings.schemas() | {
     "routes": "defined_in string, method string, path string, handler_qname string, line int, framework string",
     "vectors": "file string, qname string, vector array<float>",
     "needs": "name string, call_id long, file string",
+    "words": "word string, weight double, vector array<float>",
 }
 UNITS = postings.UNITS | {t: {"file": "file"} for t in ("files", "symbols", "imports", "vectors", "needs")} | {"routes": {"file": "defined_in"}, "calls": {"file": "file", "call": "call_id"}}
 #: Seconds before it was indexed in which a file may have changed once more without another time.
@@ -100,6 +101,11 @@ class Index:
         rows = self.store.live(name)
         return (rows.where("kept").drop("seg", "kept") if name == "symbols" else rows.drop("seg")) if name != "vectors" else rows.drop("seg", "file")
 
+    @property
+    def embedder(self) -> vectors.Embedder:
+        """What the symbols' vectors were made by."""
+        return cooccurrence.WordEmbedder.of(self.store.live("words")) if self.store.facts.get("embedder") == "words" else vectors.HashEmbedder()
+
     @property
     def searcher(self) -> postings.Searcher:
         """Search over the names, signatures, docstrings and decorators of the symbols."""
@@ -153,22 +159,24 @@ def _states(known: DataFrame, now: DataFrame) -> DataFrame:
     return now.join(old, "file", "full_outer").select("file", "rel", "size", "changed", "sha", state.alias("state"))
 
 
-def refresh(spark: SparkSession, root: str | Path, force: bool = False, scope: str | None = None, source: str | Path | None = None, config: ScanConfig | None = None, embedder: vectors.Embedder | None = None, progress: Callable[[int, int, str], None] | None = None, only: list[str] | None = None) -> dict:
+def refresh(spark: SparkSession, root: str | Path, force: bool = False, scope: str | None = None, source: str | Path | None = None, config: ScanConfig | None = None, embedder: vectors.Embedder | str | None = None, progress: Callable[[int, int, str], None] | None = None, only: list[str] | None = None) -> dict:
     """Bring the index of ``root`` up to date: only files whose hash changed are parsed.
 
     Files are listed; those with another size or time than when they were indexed, or a
     time too near to that, are read and hashed. ``scope`` and ``source``: a package beside
     the root, kept in an index of its own. ``only``: files (below the root) that may have
-    changed; no others are looked at. Returns counts of updated, skipped and removed files,
+    changed; no others are looked at. ``embedder``: ``"words"`` learns word vectors from the
+    symbols when all of them are indexed anew, and later refreshes use these. Returns counts of updated, skipped and removed files,
     and of symbols and calls.
     """
     base = str(Path(root).resolve())
-    location, embedder = Location(base, scope), embedder or vectors.HashEmbedder()
+    location = Location(base, scope)
     tree = str(Path(source).resolve()) if source else base
     with location.writing():
         store = location.store(spark)
         facts = store.facts
         stale = force or not store.manifest["segments"] or facts.get("parser") != VERSION or facts.get("root") != base
+        embedder = embedder or ("words" if facts.get("embedder") == "words" and facts.get("root") == base else vectors.HashEmbedder())
         names = list_files(tree, config)
         if only is not None and not stale:
             asked = {os.path.relpath(os.path.join(tree, f), tree).replace(os.sep, "/") for f in only}
@@ -186,7 +194,7 @@ def refresh(spark: SparkSession, root: str | Path, force: bool = False, scope: s
             states.unpersist()
 
 
-def _apply(spark: SparkSession, location: Location, store: Segments, states: DataFrame, stale: bool, tree: str, base: str, embedder: vectors.Embedder, progress: Callable | None, listed: int, whole: bool) -> dict:
+def _apply(spark: SparkSession, location: Location, store: Segments, states: DataFrame, stale: bool, tree: str, base: str, embedder: vectors.Embedder | str, progress: Callable | None, listed: int, whole: bool) -> dict:
     """Parse what changed, write it as one segment, publish."""
     facts = store.facts
     aside = f"file://{location.folder}/aside/parsed-{store.next()}"
@@ -220,7 +228,7 @@ def _apply(spark: SparkSession, location: Location, store: Segments, states: Dat
     return out | {"symbols": store.facts["symbols"], "calls": store.facts["calls"], "version": store.manifest["version"]}
 
 
-def _segment(spark: SparkSession, location: Location, store: Segments, parsed: DataFrame | None, states: DataFrame, stale: bool, embedder: vectors.Embedder) -> tuple[int, dict[str, int], dict]:
+def _segment(spark: SparkSession, location: Location, store: Segments, parsed: DataFrame | None, states: DataFrame, stale: bool, embedder: vectors.Embedder | str) -> tuple[int, dict[str, int], dict]:
     """Write the segment of parsed and removed files: (its number, rows by table, facts)."""
     number, facts = store.next(), store.facts
     empty = spark.createDataFrame([], PARSED + ", size long, changed long")
@@ -259,6 +267,13 @@ def _segment(spark: SparkSession, location: Location, store: Segments, parsed: D
     base = Segments(spark, store.folder, store.schemas, store.units, {"version": 0, "segments": [], "facts": {}}) if stale else store
     indexed = partial(postings.add, base, number, postings.documents(named, "qname", F.col("file"), fields), None if stale else gone.select(F.col("file").alias("unit")))
     text = embedding_text_col(F.col("qname"), F.col("signature"), F.coalesce("docstring", F.lit("")))
+    if embedder == "words":
+        if stale:
+            learned = cooccurrence.word_vectors(fresh.select(cooccurrence.name_words(text).alias("words")), "words")
+            store.write(number, "words", learned)
+        embedder, by_words = cooccurrence.WordEmbedder.of(own("words") if stale else store.live("words")), True
+    else:
+        by_words = False
     embedded = vectors.embed_column(fresh, "qname", text, embedder).join(fresh.select("qname", "file"), "qname")
 
     # Calls of these files, and of others that need a name whose symbols changed.
@@ -287,13 +302,13 @@ def _segment(spark: SparkSession, location: Location, store: Segments, parsed: D
         store.write(number, "gone", marks.unionByName(moved))
         counts += [own("gone"), store.live("files").join(gone, "file", "left_semi"), old.where("kept"), store.live("calls").join(gone, "file", "left_semi")]
     n_files, n_symbols, n_calls, *less = side_by_side(*[rows.count for rows in counts])
-    wrote = more | {t: n_files for t in (*plain, "vectors", "calls")} | {"symbols": n_symbols}
+    wrote = more | {t: n_files for t in (*plain, "vectors", "calls", *(["words"] if by_words and stale else []))} | {"symbols": n_symbols}
     if not stale:
         wrote["gone"] = less[0]
         n_files, n_symbols, n_calls = (facts[t] + n - x for t, n, x in zip(("files", "symbols", "calls"), (n_files, n_symbols, n_calls), less[1:], strict=True))
         for held in (gone, old, names, rivals, touched, needed, everything):
             held.unpersist()
-    return number, wrote, counted | {"files": n_files, "symbols": n_symbols, "calls": n_calls}
+    return number, wrote, counted | {"files": n_files, "symbols": n_symbols, "calls": n_calls, "embedder": "words" if by_words else "given"}
 
 
 #: Rows that a refresh brings to the driver to shorten what Spark plans next.
@@ -314,7 +329,7 @@ def compact(store: Segments) -> bool:
     if due:
         number = store.next()
         wrote = postings.merged(store, number, due)
-        for table in ("files", "symbols", "calls", "imports", "routes", "vectors", "needs"):
+        for table in ("files", "symbols", "calls", "imports", "routes", "vectors", "needs", "words"):
             store.write(number, table, store.live(table).where(F.col("seg").isin(due)))
             wrote[table] = 1
         wrote["symbols"] = store.written(number, "symbols").count()

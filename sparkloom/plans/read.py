@@ -102,7 +102,8 @@ def search_code(spark: SparkSession, query: str, k: int = 5, kind: str | None =
 
     A kind that no hit has is dropped, and the answer says so.
     """
-    index, embedder = Index(spark, root, scope), embedder or vectors.HashEmbedder()
+    index = Index(spark, root, scope)
+    embedder = embedder or index.embedder
     queries = list(dict.fromkeys([query, *(also or [])]))
 
     def run(wanted: str | None) -> list:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import graph, segments, snapshots, spans, views
+from sparkloom.operators import cooccurrence, graph, segments, snapshots, spans, vectors, views
 from sparkloom.plans import index as ix
 from sparkloom.plans import read
 
@@ -172,3 +172,50 @@ def test_folder_digests_change_on_the_path_of_a_changed_file_alone(spark):
     assert digests({k: v for k, v in files.items() if k != "s/e.py"}).keys() == before.keys() - {"s"}
     assert digests({"p": "2"})[""] != digests({"p/b.py": "2"})[""]
     assert snapshots.folder_digests(spark.createDataFrame([], "rel string, sha string"), "rel", "sha").count() == 0
+
+
+def _company(rng):
+    """Texts in which words of a group stand among the same others, but never beside each other."""
+    groups = {("login", "entry"): ["user", "session", "token", "account"], ("parse", "scanning"): ["grammar", "lexer", "syntax", "tree"], ("invoice", "receipt"): ["price", "tax", "total", "payment"]}
+    out = []
+    for alike, company in groups.items():
+        for word in alike:
+            for _ in range(60):
+                out.append(" ".join([word, *rng.choice(company, 3), *rng.choice(["get", "set", "make"], 1)]))
+    return out, list(groups)
+
+
+def test_words_of_the_same_company_are_near_where_names_share_nothing(spark):
+    texts, groups = _company(np.random.default_rng(6))
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    table = cooccurrence.word_vectors(rows.select(cooccurrence.name_words(F.col("text")).alias("words")), "words", dims=16)
+    model, plain = cooccurrence.WordEmbedder.of(table), vectors.HashEmbedder()
+    names = [w for g in groups for w in g]
+    near, far = model.embed(names) @ model.embed(names).T, plain.embed(names) @ plain.embed(names).T
+    for k in range(0, len(names), 2):
+        others = [n for n in range(len(names)) if n not in (k, k + 1)]
+        assert near[k, k + 1] > 0.7 > max(near[k, n] for n in others) + 0.2 and abs(far[k, k + 1]) < 0.3
+    assert not model.embed(["unseen", ""]).any()
+    again = {r.word: r.vector for r in cooccurrence.word_vectors(rows.repartition(3).select(cooccurrence.name_words(F.col("text")).alias("words")), "words", dims=16).collect()}
+    assert np.allclose(np.abs(again["login"]), np.abs(model.words["login"][1]), atol=1e-4)
+    assert cooccurrence.word_vectors(rows.limit(0).select(cooccurrence.name_words(F.col("text")).alias("words")), "words").count() == 0
+
+
+def test_pairs_and_information_are_those_of_a_plain_count(spark):
+    rows = spark.createDataFrame([(["a", "b", "a", "c"],), (["b", "a"],), (["c"],), ([],), (None,)], "words array<string>")
+    got = {(r.word, r.other): r.n for r in cooccurrence.pairs(rows, "words", 2).collect()}
+    assert got == {("a", "b"): 3, ("b", "a"): 3, ("a", "c"): 1, ("c", "a"): 1, ("b", "c"): 1, ("c", "b"): 1}
+    w = {(r.word, r.other): r.w for r in cooccurrence.information(cooccurrence.pairs(rows, "words", 2)).collect()}
+    assert w["a", "b"] == pytest.approx(np.log(3 * 10 / (4 * 4))) and ("b", "c") in w and w["b", "c"] == pytest.approx(np.log(10 / (4 * 2)))
+
+
+def test_an_index_with_learned_words_keeps_them(spark, tree):
+    ix.refresh(spark, tree, embedder="words")
+    index = ix.Index(spark, tree)
+    assert isinstance(index.embedder, cooccurrence.WordEmbedder) and index.embedder.words
+    (tree / "pkg/utils.py").write_text("def hash_token(token):\n    return len(token)\n\n\ndef token_session(token):\n    return hash_token(token)\n")
+    ix.refresh(spark, tree)
+    again = ix.Index(spark, tree)
+    assert again.embedder.words.keys() == index.embedder.words.keys()
+    assert len(again.vectors.where("qname = 'pkg.utils:token_session'").first().vector) == cooccurrence.DIMENSIONS
+    assert read.search_code(spark, "session token", root=tree)["results"]
