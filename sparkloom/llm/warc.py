@@ -7,8 +7,8 @@ response. Members are streamed to one archive per task, under a name of the
 attempt that is renamed when it is complete, in the shared folder.
 
 The reader deals byte ranges of the archives to tasks. A task looks for gzip
-magic in its range, accepts a place only if the member there inflates to a WARC
-header, and owns the records that start inside its range, however far they
+magic in its range, accepts a place only if the member there inflates to a whole WARC
+header with the fields of a record, and owns the records that start inside its range, however far they
 reach. Behind a whole member the next one starts at once, so the search is only
 needed at the start of a range.
 
@@ -37,19 +37,27 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 #: Bytes that a task reads at once.
 READ_BYTES = 1 << 20
-#: What is inflated of a candidate member to see its header.
+#: What is inflated at once of a candidate member to see its header.
 PROBE_BYTES = 4096
+#: The end of a header, and fields that a record's has.
+END, NEEDED = b"\r\n\r\n", ("warc-type", "warc-record-id", "content-length")
 
 
 def marked(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, url, payload, digest, record_type, refers_to) of each page."""
+    """(page_id, url, payload, digest, record_type, refers_to) of each page.
+
+    Which pages are revisits is found from ids and digests alone; payloads meet these
+    flags by page and digest, so no common page gathers its copies in one place.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    slim = pages.select("page_id", payload.alias("payload")).select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n"))
+    slim = pages.select("page_id", payload.alias("payload")).select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n")).where(F.col("n") >= least)
     # Only digests that more than one page has; hot ones are counted before the shuffle.
-    firsts = slim.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
-    revisit = F.col("first").isNotNull() & ((F.col("page_id") != F.col("first")) | F.col("page_id").isNull())
-    return rows.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
+    firsts = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1 and refers_to is not null").select("digest", "refers_to")
+    later = slim.join(firsts, "digest").where((F.col("page_id") != F.col("refers_to")) | F.col("page_id").isNull())
+    flags = later.select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "refers_to").distinct()
+    out = rows.join(flags, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left")
+    return out.select("page_id", "url", "payload", "digest", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response").alias("record_type"), "refers_to")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
@@ -99,13 +107,16 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
     in_workers(marked(pages, least), run, "records long", "warc").agg(F.sum("records")).collect()
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case names."""
+    lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    return {name.strip().lower(): value.strip() for name, _, value in lines}
+
+
 def parse(data: bytes) -> dict[str, str | bytes]:
     """Header fields (lower-case names) and "block" of an inflated record."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields: dict = {}
-    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
-        name, _, value = line.partition(":")
-        fields[name.strip().lower()] = value.strip()
+    head, _, rest = data.partition(END)
+    fields: dict = _fields(head)
     fields["block"] = rest[: int(fields["content-length"])]
     return fields
 
@@ -130,12 +141,22 @@ class _Reader:
 
 
 def _is_member(reader: _Reader, place: int) -> bool:
-    reader.upto(place + PROBE_BYTES)
-    at = place - reader.start
-    try:
-        return zlib.decompressobj(31).decompress(reader.data[at : at + PROBE_BYTES], len(VERSION)) == VERSION
-    except zlib.error:
-        return False
+    """Whether the member at ``place`` inflates to a whole WARC header with the fields that a record needs."""
+    unpack, head, at = zlib.decompressobj(31), b"", place
+    while END not in head and not unpack.eof:
+        reader.upto(at + PROBE_BYTES)
+        data = reader.data[at - reader.start : at - reader.start + PROBE_BYTES]
+        if not data:
+            return False
+        try:
+            head += unpack.decompress(data)
+        except zlib.error:
+            return False
+        if head[: len(VERSION)] != VERSION[: len(head)]:
+            return False
+        at += len(data)
+    fields = _fields(head.partition(END)[0])
+    return END in head and head.startswith(VERSION) and all(fields.get(f) for f in NEEDED) and fields["content-length"].isdecimal()
 
 
 def records(file, start: int, end: int, size: int) -> Iterator[tuple[int, dict]]:
@@ -160,11 +181,13 @@ def records(file, start: int, end: int, size: int) -> Iterator[tuple[int, dict]]
             sure, place = False, place + 1
             continue
         unpack, made, at = zlib.decompressobj(31), [], place
-        while not unpack.eof:
+        while not unpack.eof:  # a chunk goes when it is inflated, so a record's bytes are copied once
             if not reader.upto(at + 1):
                 raise EOFError(f"archive ends inside the record at {place}")
             made.append(unpack.decompress(reader.data[at - reader.start :]))
             at = reader.start + len(reader.data)
+            if not unpack.eof:
+                reader.forget(at)
         yield place, parse(b"".join(made))
         place = at - len(unpack.unused_data)
         reader.forget(place)
@@ -178,9 +201,10 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) ->
     """One row per record of the archives in the folder ``path``."""
     store, at = _store(path)
     files = [f for f in store.get_file_info(fs.FileSelector(at)) if f.base_name.endswith(".warc.gz")]
-    splits = [(f.path, lo, min(lo + split_bytes, f.size), f.size) for f in files for lo in range(0, f.size, split_bytes)]
-    table = spark.createDataFrame(splits, "archive string, lo long, hi long, size long")
-    table = table.repartition(max(1, len(splits)), "archive", "lo") if splits else table
+    whole = spark.createDataFrame([(f.path, f.size) for f in files if f.size], "archive string, size long")  # a row for each archive
+    lo = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long")))
+    ranges = sum(-(-f.size // split_bytes) for f in files)
+    table = whole.select("archive", lo.alias("lo"), "size").withColumn("hi", F.least(F.col("lo") + split_bytes, "size")).repartition(max(1, ranges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _store(path)

@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import conversations, divergence, language, media, packing, quality, queries, urls
+from sparkloom.llm import conversations, divergence, language, media, packing, quality, queries, urls, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -147,6 +147,34 @@ def test_ftrl_updates_are_those_of_the_plain_rule():
     assert np.allclose(model.z, z) and np.allclose(model.n, n)
 
 
+# ---- 8 WARC: large records, false members, equal pages ----------------------------------------
+
+
+def test_a_record_of_64_mb_and_false_members_inside_of_records(tmp_path):
+    rng = np.random.default_rng(8)
+    false = [warc.member(warc.VERSION + b"no more\r\n\r\n", level=0), warc.member(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: x\r\n\r\n", level=0), warc.member(b"plain"), warc.MAGIC, warc.member(warc.VERSION, level=0)]
+    payloads = [rng.integers(0, 256, 64 << 20, dtype=np.uint8).tobytes(), b"".join(false) * 3, b"x" * 5000 + false[0], b""]
+    data, starts = b"", []
+    for k, payload in enumerate(payloads):
+        starts.append(len(data))
+        data += warc.member(warc.record(k, "u" * (20_000 if k == 2 else 1), payload, "d", "response", None), level=0)
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    for step in (len(data), 7 << 20, (64 << 20) + 1000):
+        found = []
+        with open(tmp_path / "a.warc.gz", "rb") as f:
+            for lo in range(0, len(data), step):
+                found += [(p, hashlib.sha256(r["block"].partition(b"\r\n\r\n")[2]).hexdigest()) for p, r in warc.records(f, lo, min(lo + step, len(data)), len(data))]
+        assert found == list(zip(starts, [hashlib.sha256(p).hexdigest() for p in payloads], strict=True))
+
+
+def test_equal_pages_are_marked_whatever_their_ids(spark):
+    page, other = "p" * 200, "q" * 200
+    rows = [(5, page), (3, page), (None, page), (3, page), (9, page), (1, "p" * 99), (2, "p" * 99), (None, other), (None, other), (7, None), (8, None)]
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.marked(spark.createDataFrame([(i, "u", h, "x") for i, h in rows], "page_id long, url string, html string, digest string")).collect()), key=repr)
+    want = [(i, "revisit", 3) if h == page and i != 3 else (i, "response", None) for i, h in rows]
+    assert got == sorted(want, key=repr)
+
+
 # ---- 9 media: every payload is resampled, PCM is packed without loss --------------------------
 
 
