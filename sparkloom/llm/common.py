@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path in the shared folder, for what is not a table, and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 def cut(df: DataFrame, name: str, stored: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)

@@ -14,10 +14,10 @@ sums may have, so no row is lost by rounding; exact scores are 64-bit integers
 where they must fit and Python integers elsewhere, so vectors of any finite size
 take the same path.
 
-The index and the queries are written to the shared folder once. Queries are
-dealt to blocks of about ``QUERY_BYTES``; one block at a time comes to the driver
-and is broadcast, its hits are written, and its broadcast is destroyed before the
-next. The best k of every shard meet at the end.
+The index and the queries are written to the shared folder once, the queries in
+blocks of about ``QUERY_BYTES``. A task unpacks a shard once and reads one block after
+another for it; no vector passes through the driver, which knows the blocks' names
+alone. The best k of every shard meet at the end.
 
 Cases: vectors that are null, or hold null or non-finite components, take no
 part; vectors of other lengths count as padded with zeros; rows that repeat a
@@ -34,10 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fresh_path, in_workers
+from sparkloom.llm.common import cut, fresh_path, in_workers, opened
 
 #: Integers are floor(SCALE * x); a scale is a power of two, so that products with it are exact.
 SCALE, K, EVERY = 1024, 10, 100
@@ -230,33 +232,34 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE,
     """The k best rows of every query: query_id, rank, vec_id, score.
 
     ``queries``: (vec_id, v). They are dealt to blocks by a hash of vec_id and written;
-    every block scans all shards.
+    every shard meets all blocks.
     """
     spark = index.sparkSession
     one = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     about = one.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     blocks = max(1, -(-about.n * (about.d or 0) * 8 // query_bytes))
-    asked, found = fresh_path(spark, "queries"), fresh_path(spark, "hits")
-    one.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(asked)
-    every = spark.read.schema("vec_id long, v array<double>, block long").parquet(asked)
-    for block in range(blocks):
-        table = every.where(F.col("block") == block).orderBy("vec_id").toArrow()
-        names = table.column("vec_id").to_numpy().astype(np.int64)
-        sent = spark.sparkContext.broadcast((names, _matrix(table.column("v").combine_chunks(), scale) if len(names) else np.zeros((0, 0))))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, vectors = sent.value
-            for batch in batches:
-                for file in batch.column("file"):
-                    shard = ImpactIndex.from_bytes(file.as_py())
-                    out = [shard.search(v, int(n), k) for n, v in zip(names, vectors, strict=True)]
-                    if out:
-                        counts = [len(ids) for ids, _ in out]
-                        yield pa.RecordBatch.from_pydict({"query_id": np.repeat(names, counts), "vec_id": np.concatenate([ids for ids, _ in out]), "score": np.concatenate([s for _, s in out])})
-
-        in_workers(index.select("file"), run, "query_id long, vec_id long, score long", "topk").write.parquet(f"{found}/block={block}")
-        sent.destroy()
-    hits = spark.read.schema("query_id long, vec_id long, score long").parquet(*[f"{found}/block={b}" for b in range(blocks)])
+    asked = fresh_path(spark, "queries")
+    dealt = one.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    dealt.repartition("block").sortWithinPartitions("block", "vec_id").write.partitionBy("block").parquet(asked)
+    store, at = opened(asked)
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(at, recursive=True)) if f.base_name.endswith(".parquet"))  # one for each block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = opened(asked)
+        for batch in batches:
+            for file in batch.column("file"):
+                shard = ImpactIndex.from_bytes(file.as_py())
+                for name in files:
+                    with store.open_input_file(name) as source:
+                        table = pq.ParquetFile(source).read(columns=["vec_id", "v"])
+                    if not len(table):
+                        continue
+                    names = table.column("vec_id").to_numpy().astype(np.int64)
+                    out = [shard.search(v, int(n), k) for n, v in zip(names, _matrix(table.column("v").combine_chunks(), scale), strict=True)]
+                    counts = [len(ids) for ids, _ in out]
+                    yield pa.RecordBatch.from_pydict({"query_id": np.repeat(names, counts), "vec_id": np.concatenate([ids for ids, _ in out]), "score": np.concatenate([s for _, s in out])})
+
+    hits = cut(in_workers(index.select("file"), run, "query_id long, vec_id long, score long", "topk"), "hits")
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fresh_path, in_workers
+from sparkloom.llm.common import fresh_path, in_workers, opened
 
 LEAST_REVISIT = 100
 SPLIT_BYTES = 8 << 20
@@ -78,19 +78,14 @@ def member(data: bytes, level: int = 6) -> bytes:
     return pack.compress(data) + pack.flush()
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    store, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return store, at
-
-
 def write_warc(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
     """Write ``pages`` (page_id, url, html) as .warc.gz archives in the folder ``path``."""
-    store, at = _store(path)
+    store, at = opened(path)
     store.create_dir(at, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, out, count = TaskContext.get(), None, 0
-        store, at = _store(path)
+        store, at = opened(path)
         final = f"{at}/part-{context.partitionId():05d}.warc.gz"
         name = f"{at}/.attempt-{context.partitionId():05d}-{context.taskAttemptId()}"
         for batch in batches:
@@ -199,7 +194,7 @@ RECORDS = "archive string, place long, record_type string, record_id string, tar
 
 def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """One row per record of the archives in the folder ``path``."""
-    store, at = _store(path)
+    store, at = opened(path)
     files = [f for f in store.get_file_info(fs.FileSelector(at)) if f.base_name.endswith(".warc.gz")]
     whole = spark.createDataFrame([(f.path, f.size) for f in files if f.size], "archive string, size long")  # a row for each archive
     lo = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long")))
@@ -207,7 +202,7 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) ->
     table = whole.select("archive", lo.alias("lo"), "size").withColumn("hi", F.least(F.col("lo") + split_bytes, "size")).repartition(max(1, ranges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = _store(path)
+        store, _ = opened(path)
         schema = pa.schema([("archive", pa.string()), ("place", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("target", pa.string()), ("digest", pa.string()), ("refers_to_id", pa.string()), ("http_length", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
             for split in batch.to_pylist():
