@@ -40,7 +40,8 @@ def information(counts: DataFrame) -> DataFrame:
     every = totals.agg(F.sum("total").alias("all"))  # one row
     left = counts.join(totals, "word")
     whole = left.join(totals.select(F.col("word").alias("other"), F.col("total").alias("other_total")), "other").join(F.broadcast(every))
-    w = F.log(F.col("n") * F.col("all") / (F.col("total") * F.col("other_total")))
+    n, every_n, total, other = (F.col(c).cast("double") for c in ("n", "all", "total", "other_total"))
+    w = F.log(n * every_n / (total * other))
     return whole.select("word", "other", w.alias("w")).where("w > 0")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import fusion, graph, lexical, postings, snapshots, spans, vectors, views
+from sparkloom.operators import cooccurrence, fusion, graph, lexical, postings, snapshots, spans, vectors, views
 from sparkloom.plans.kept import text_postings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -434,3 +434,36 @@ def files_under_prefix(spark, sf_dir):
 def symbols_in_file(spark, sf_dir):
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.row_number().over(order).alias("place"))
+
+
+@query("""WITH o AS (SELECT p_partkey AS q, 'n' || (p_partkey % 50) AS name, 'm' || (p_size % 5) || '.m' || (p_size % 7) || '.m' || (p_partkey % 11) AS module FROM part),
+w AS (SELECT o_orderkey AS call_id, 'n' || (o_orderkey % 50) AS name, 'm' || (o_orderkey % 5) || CASE WHEN o_orderkey % 3 > 0 THEN '.m' || (o_orderkey % 7) ELSE '' END || CASE WHEN o_orderkey % 3 > 1 THEN '.m' || (o_orderkey % 11) ELSE '' END AS module FROM orders)
+SELECT call_id, min(q)::BIGINT AS found_q FROM w JOIN o ON w.name = o.name AND (o.module = w.module OR starts_with(o.module, w.module || '.')) GROUP BY call_id HAVING count(*) = 1""")
+def import_targets(spark, sf_dir):
+    m = lambda column, n: F.concat(F.lit("m"), (F.col(column) % n).cast("string"))
+    offered = table(spark, sf_dir, "part").select(F.concat(F.lit("n"), (F.col("p_partkey") % 50).cast("string")).alias("o_name"), F.concat_ws(".", m("p_size", 5), m("p_size", 7), m("p_partkey", 11)).alias("o_module"), F.col("p_partkey").cast("long").alias("found_q"))
+    deeper = [F.when(F.col("o_orderkey") % 3 > k, m("o_orderkey", n)) for k, n in ((0, 7), (1, 11))]
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), F.concat(F.lit("n"), (F.col("o_orderkey") % 50).cast("string")).alias("real"), F.concat_ws(".", m("o_orderkey", 5), *deeper).alias("i_module"))
+    return graph.imported_targets(wanted, offered)
+
+
+@query("""WITH f AS (SELECT source, lang, doc_id::VARCHAR AS name, sha1(text) AS h FROM documents),
+a AS (SELECT source, lang, sha1(string_agg('f' || chr(0) || name || chr(0) || h, chr(10) ORDER BY name)) AS digest FROM f GROUP BY 1, 2),
+b AS (SELECT source, sha1(string_agg('d' || chr(0) || lang || chr(0) || digest, chr(10) ORDER BY lang)) AS digest FROM a GROUP BY 1)
+SELECT source || '/' || lang AS folder, digest FROM a UNION ALL SELECT source, digest FROM b
+UNION ALL SELECT '', sha1(string_agg('d' || chr(0) || source || chr(0) || digest, chr(10) ORDER BY source)) FROM b""")
+def folder_digests(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("rel"), F.sha1("text").alias("h"))
+    return snapshots.folder_digests(files, "rel", "h")
+
+
+@query(r"""WITH t AS (SELECT list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS l FROM conversations),
+p AS (SELECT l, unnest(l) AS a, generate_subscripts(l, 1) AS i FROM t),
+q AS (SELECT a, unnest(l[i + 1:i + 5]) AS b FROM p),
+n AS (SELECT word, other, count(*) AS n FROM (SELECT a AS word, b AS other FROM q WHERE a <> b UNION ALL SELECT b, a FROM q WHERE a <> b) GROUP BY 1, 2),
+s AS (SELECT word, sum(n) AS s FROM n GROUP BY 1)
+SELECT n.word, n.other, round(ln(n.n::DOUBLE * (SELECT sum(n) FROM n)::DOUBLE / (x.s::DOUBLE * y.s::DOUBLE)), 6) AS w FROM n JOIN s x ON x.word = n.word JOIN s y ON y.word = n.other
+WHERE ln(n.n::DOUBLE * (SELECT sum(n) FROM n)::DOUBLE / (x.s::DOUBLE * y.s::DOUBLE)) > 0""")
+def word_information(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(T.words(F.col("text")).alias("words"))
+    return cooccurrence.information(cooccurrence.pairs(rows, "words")).select("word", "other", F.round("w", 6).alias("w"))
