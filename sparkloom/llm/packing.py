@@ -92,22 +92,35 @@ def bodies(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[stays], at - np.arange(len(at))
 
 
-def _copies(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each document the number of the first one with the same ids."""
-    raw, first = memoryview(np.ascontiguousarray(ids)).cast("B"), {}
-    size = ids.itemsize
-    return np.array([first.setdefault(raw[size * a : size * b].tobytes(), n) for n, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))], np.int64)
-
-
-def pack_windows(ids: np.ndarray, at: np.ndarray, window: int = WINDOW, stats: Stats | None = None, ended: bool = False, repeats: bool = True) -> list[tuple[int, int, int, int, int]]:
+def _copies(ids: np.ndarray, at: np.ndarray, names: list | None) -> np.ndarray:
+    """For each document the number of its group: those with the same ids, or the same name, are one."""
+    raw, size = memoryview(np.ascontiguousarray(ids)).cast("B"), ids.itemsize
+    head = list(range(len(at) - 1))
+
+    def of(n: int) -> int:
+        while head[n] != n:
+            head[n] = n = head[head[n]]
+        return n
+
+    first: dict = {}
+    for n, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        keys = [raw[size * a : size * b].tobytes()] + ([] if names is None or names[n] is None else [names[n]])
+        for key in keys:
+            one, other = sorted((of(n), of(first.setdefault(key, n))))
+            head[other] = one
+    return np.array([of(n) for n in head], np.int64)
+
+
+def pack_windows(ids: np.ndarray, at: np.ndarray, window: int = WINDOW, stats: Stats | None = None, ended: bool = False, repeats: bool = True, names: list | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, window, offset) that hold each id of a shard once.
 
-    ``ended``: every document's last id is an end id, which is no term.
+    ``ended``: every document's last id is an end id, which is no term. ``names``: of
+    documents; those of one name count as copies, as one may be a part of the other.
     """
     index, lengths = Bm25(*(bodies(ids, at) if ended else (ids, at)), stats), np.diff(at).tolist()
     n, pieces, number, fill = len(lengths), [], 0, 0
     unused = np.ones(n, bool)
-    alike = _copies(ids, at)
+    alike = _copies(ids, at, names)
     barred = np.zeros(n, bool)  # by number of a first copy: one is in the open window
     inside: list[int] = []
     scores = np.zeros(n)  # of the seed of the open window
@@ -313,7 +326,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
 
         def closed(sequence: int) -> tuple[int, pa.RecordBatch]:
             ids, at = np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-            rows = np.array(pack_windows(ids, at, window, sent.value, True, repeats), np.int64).reshape(-1, 5)
+            rows = np.array(pack_windows(ids, at, window, sent.value, True, repeats, names), np.int64).reshape(-1, 5)
             raw = memoryview(ids.astype("<u4").view(np.uint8))
             lo = at[rows[:, 0]] + rows[:, 1]
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(lo.tolist(), (lo + rows[:, 2]).tolist(), strict=True)]

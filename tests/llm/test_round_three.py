@@ -434,3 +434,24 @@ def test_divergence_of_the_supplied_table_is_that_of_sql(spark):
     got = queries.op13_source_divergence(spark, sf).select("lang", "source", "part", "item", "value", "rank").collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 1000
     assert divergence.audit(spark.createDataFrame([], "text string, lang string, source string")).count() == 0
+
+
+# ---- pipeline ----------------------------------------------------------------------------------
+
+
+def test_pipeline_windows_hold_no_document_twice(spark):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, SF).select("sequence_id", "doc_id", "start", "length", "doc_tokens").collect()
+    begun = collections.Counter((r.sequence_id, r.doc_id) for r in rows if r.start == 0)
+    taken = collections.Counter(r.doc_id for r in rows if r.start == 0)
+    assert rows and max(begun.values()) == 1 and max(taken.values()) == 2
+    assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
+
+
+def test_pipeline_of_an_empty_table_gives_no_row(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
