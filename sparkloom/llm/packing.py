@@ -9,9 +9,9 @@ seed document opens is filled with the best unused documents of the shard, by th
 score of all the seed's terms, as long as any has a score above 0; then
 the next document seeds the rest of the window. End ids are no terms: they are in no
 postings, frequencies or lengths. The last document is cut where the
-window ends, and its rest seeds the next window. A window takes no second copy of a
-document that it holds, unless its shard has nothing else left (without ``repeats``
-it is closed then). A task holds one shard at a time; documents that are related by other ids than those they are sorted by may
+window ends, and its rest seeds the next window. Without ``repeats`` a window takes no
+second copy of a document that it holds, and is closed if its shard has nothing else
+left. A task holds one shard at a time; documents that are related by other ids than those they are sorted by may
 be in different shards. What remains at a shard's end is cut into windows whose
 lengths are powers of two, which take no padding. Without ``gather`` the documents stay
 in the order of their partitions, so that shards of a mix keep its proportions.
@@ -120,7 +120,7 @@ def pack_windows(ids: np.ndarray, at: np.ndarray, window: int = WINDOW, stats: S
     index, lengths = Bm25(*(bodies(ids, at) if ended else (ids, at)), stats), np.diff(at).tolist()
     n, pieces, number, fill = len(lengths), [], 0, 0
     unused = np.ones(n, bool)
-    alike = _copies(ids, at, names)
+    alike = np.arange(n) if repeats else _copies(ids, at, names)
     barred = np.zeros(n, bool)  # by number of a first copy: one is in the open window
     inside: list[int] = []
     scores = np.zeros(n)  # of the seed of the open window
@@ -143,7 +143,7 @@ def pack_windows(ids: np.ndarray, at: np.ndarray, window: int = WINDOW, stats: S
                 free = np.flatnonzero(unused[following:] & ~barred[alike[following:]])
                 if len(free):
                     doc = following + int(free[0])
-                elif not repeats:
+                else:
                     pieces = _ended(pieces, number, fill)
                     number, fill = pieces[-1][3] + 1, 0
                     barred[inside] = False
@@ -158,7 +158,7 @@ def pack_windows(ids: np.ndarray, at: np.ndarray, window: int = WINDOW, stats: S
                 number, fill, seeds = number + 1, 0, True
                 barred[inside] = False
                 inside = []
-        if fill:
+        if fill and not repeats:
             barred[alike[doc]] = True
             inside.append(int(alike[doc]))
         if fill and seeds:  # it opened the window, or nothing in it has neighbours left

@@ -164,7 +164,7 @@ def test_packing_brings_copies_of_the_whole_table_together(spark):
     together = sum(bool(windows[i] & windows[i + 300]) for i in range(300))
     assert together > 250
     tokenizer = Tokenizer.from_file(path)
-    ids = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts * 2]
+    ids = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts * 2]  # end ids are no terms
     stats = packing.statistics(packing.encoded(docs, path, 1))
     want = collections.Counter(i for own in ids for i in set(own))
     assert stats.docs == 600 and np.isclose(stats.mean, np.mean(list(map(len, ids)))) and {int(i): int(stats.df[i]) for i in np.flatnonzero(stats.df)} == want

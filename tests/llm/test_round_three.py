@@ -36,10 +36,9 @@ def _plain_windows(docs: list[list[int]], window: int) -> list[set[int]]:
     unused, windows, fill = set(range(len(docs))), [set()], 0
     seed = None
     while unused:
-        free = [d for d in unused if not any(docs[d] == docs[w] for w in windows[-1])]
-        ranked = sorted(((-round(score(seed, d), 9), d) for d in free if score(seed, d) > 0), key=lambda x: x) if seed is not None else []
+        ranked = sorted((-round(score(seed, d), 9), d) for d in unused if score(seed, d) > 0) if seed is not None else []
         opens = not ranked
-        doc = ranked[0][1] if ranked else min(free or unused)
+        doc = ranked[0][1] if ranked else min(unused)
         unused.discard(doc)
         left = len(docs[doc])
         while left:
