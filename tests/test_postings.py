@@ -76,7 +76,7 @@ def test_search_follows_files_that_come_change_and_go(spark, tmp_path, monkeypat
         return out
 
     search = kept.text_postings(spark, path)
-    _same(search, texts())
+    _same(search, texts(), QUERIES[:4])
     before = [s["seg"] for s in search.store.manifest["segments"]]
     for step in range(4):
         name = f"f{step % 3}"
@@ -87,7 +87,7 @@ def test_search_follows_files_that_come_change_and_go(spark, tmp_path, monkeypat
             files[name] = [(1000 * (step + 1) + i, t) for i, t in enumerate(_texts(rng, 5 + step))]
             _write(spark, path, name, files[name])
         search = kept.text_postings(spark, path)
-        _same(search, texts(), QUERIES[:2] if step < 3 else QUERIES)
+        _same(search, texts(), QUERIES[:1] if step < 3 else QUERIES)
         if step == 0:  # one segment more, with the changed file's documents alone
             last = search.store.manifest["segments"][-1]
             assert len(search.store.manifest["segments"]) == len(before) + 1 and last["rows"]["docs"] == 5 and last["rows"]["dead"] == 43
@@ -102,13 +102,13 @@ def test_merged_segments_give_the_same(spark, tmp_path, monkeypatch, whole):
     monkeypatch.setattr(segments, "SHARE", -1e9 if whole else 1e9)
     rng, path = np.random.default_rng(4), str(tmp_path / "documents")
     files, counts = {}, []
-    for step in range(5):
-        name = f"f{step % 3}"
+    for step in range(4):
+        name = f"f{step % 2}"
         files[name] = [(100 * step + i, t) for i, t in enumerate(_texts(rng, 20))]
         _write(spark, path, name, files[name])
         search = kept.text_postings(spark, path)
         counts.append(len(search.store.manifest["segments"]))
-        if step > 1:
+        if step == 3:
             _same(search, {k: [t] for rows in files.values() for k, t in rows}, QUERIES[:2])
     assert max(counts) <= 2 + (not whole)
 
