@@ -22,9 +22,16 @@ def demote(edges: DataFrame, symbols: DataFrame, target: str, key: str) -> DataF
     return edges.join(known, edges[target] == F.col("__known"), "left").withColumn(target, F.col("__known")).drop("__known")
 
 
-def unique_match(pending: DataFrame, call: str, candidates: DataFrame, on: Column, target: str) -> DataFrame:
-    """(call, target) where exactly one candidate fits."""
-    found = pending.join(candidates, on).groupBy(call).agg(F.count("*").alias("n"), F.min(target).alias(target))
+def unique_match(pending: DataFrame, call: str, candidates: DataFrame, on: list[tuple[Column, Column]], target: str) -> DataFrame:
+    """(call, target) where exactly one candidate fits; ``on``: expressions of a call and of a candidate that must be equal.
+
+    Candidates are counted by their keys before they meet calls, so a call that many fit
+    meets one row, and pairs of calls and candidates are never made.
+    """
+    keys = [f"__key{k}" for k in range(len(on))]
+    fits = candidates.select(*[own.alias(k) for k, (_, own) in zip(keys, on, strict=True)], target).groupBy(*keys).agg(F.count("*").alias("n"), F.min(target).alias(target))
+    asked = pending.select(call, *[own.alias(k) for k, (own, _) in zip(keys, on, strict=True)])
+    found = asked.join(fits, keys).groupBy(call).agg(F.sum("n").alias("n"), F.min(target).alias(target))
     return found.where("n = 1").select(call, target)
 
 
@@ -77,10 +84,10 @@ def imported_targets(wanted: DataFrame, offered: DataFrame) -> DataFrame:
     is the imported one or below it.
 
     Each symbol is offered under its name and every prefix of its module, so the match
-    is a join on equal keys. wanted: call_id, real, i_module; offered: o_name, o_module, found_q.
+    is by equal keys. wanted: call_id, real, i_module; offered: o_name, o_module, found_q.
     """
     keys = offered.select("o_name", "found_q", F.explode(module_prefixes(F.col("o_module"))).alias("o_prefix"))
-    return unique_match(wanted, "call_id", keys, (F.col("real") == F.col("o_name")) & (F.col("i_module") == F.col("o_prefix")), "found_q")
+    return unique_match(wanted, "call_id", keys, [(F.col("real"), F.col("o_name")), (F.col("i_module"), F.col("o_prefix"))], "found_q")
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, local: bool = True) -> DataFrame:

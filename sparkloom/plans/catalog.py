@@ -191,7 +191,7 @@ def promote_chain(spark, sf_dir):
     own = calls.join(supplier.where("s_acctbal > 0"), F.col("supp") == F.col("s_suppkey")).select("call_id", F.col("s_suppkey").alias("t1"))
     local = calls.join(part.where("p_size < 20"), F.col("part") == F.col("p_partkey")).select("call_id", F.col("p_partkey").alias("t2"))
     wanted = calls.join(part, F.col("part") == F.col("p_partkey")).join(imports.select("file", "lookup", "real"), (F.col("file") == F.col("p_brand")) & (F.col("lookup") == F.col("p_type"))).select("call_id", "real")
-    brought = graph.unique_match(wanted, "call_id", nation.where("n_nationkey < 15"), F.col("n_nationkey") % 10 == F.col("real") % 10, "n_nationkey").withColumnRenamed("n_nationkey", "t3")
+    brought = graph.unique_match(wanted, "call_id", nation.where("n_nationkey < 15"), [(F.col("real") % 10, F.col("n_nationkey") % 10)], "n_nationkey").withColumnRenamed("n_nationkey", "t3")
     rows = calls.join(own, "call_id", "left").join(local, "call_id", "left").join(brought, "call_id", "left")
     return rows.select("call_id", F.coalesce("t1", "t2", F.col("t3").cast("long")).alias("target"))
 

@@ -62,6 +62,34 @@ def test_imports_match_modules_by_their_prefixes(spark):
     assert got == {2: "a.b.c:run", 3: "ab:run", 4: "x.y.z:go", 6: ":go"}  # two fit calls 1 and 7
 
 
+def test_imports_that_many_fit_make_no_pairs(spark):
+    offered = spark.range(20_000).select(F.lit("run").alias("o_name"), F.lit("a.b").alias("o_module"), F.col("id").alias("found_q")).union(spark.createDataFrame([("go", "a", 7)]))
+    wanted = spark.range(40_000).select(F.col("id").alias("call_id"), F.when(F.col("id") == 5, "go").otherwise("run").alias("real"), F.lit("a").alias("i_module"))
+    found = graph.imported_targets(wanted, offered)
+    rows = lambda: _made(found)
+    assert [tuple(r) for r in found.collect()] == [(5, 7)]
+    assert 0 < max(rows()) <= 60_000  # 800 million pairs fit
+
+
+def _made(frame):
+    """Rows that each join of a plan that has run has made."""
+    plan, found = frame._jdf.queryExecution().executedPlan(), []
+    waiting = [plan]
+    while waiting:
+        node = waiting.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            waiting.append(node.executedPlan())
+        elif hasattr(node, "plan") and name.endswith("QueryStage"):
+            waiting.append(node.plan())
+        else:
+            if "Join" in name:
+                found.append(node.longMetric("numOutputRows").value())
+            children = node.children()
+            waiting += [children.apply(k) for k in range(children.size())]
+    return found
+
+
 def _world(rng, files):
     """Symbols, calls and imports of made-up files; every name is shared by some."""
     names = [f"n{k}" for k in range(12)]
