@@ -10,7 +10,9 @@
    only pairs of a bucket that still lie in different components are compared in
    a second round. So every candidate pair is confirmed, refused, or already
    connected, while a bucket of copies costs one pair for each copy, and no pair
-   is written that is not a link.
+   is written that is not a link. Large buckets are compared by blocks; where many
+   rows of one stay apart though their signatures agree, the blocks' meetings, not
+   pairs, grow with the square of these rows.
 4. A candidate's signature must agree well enough for the threshold, then the
    full sets decide. Sets are made and sent only for texts that have a candidate
    whose signature agrees.
@@ -192,8 +194,8 @@ def _alike(percent: int):
     return sizes & (agree <= SIGNATURE_BITS - least_agreement(percent))
 
 
-#: Rows of one side of a unit of comparison; larger buckets are cut into blocks.
-BLOCK_ROWS = 256
+#: Rows of one side of a unit of comparison, and shingles of their sets; larger buckets are cut into blocks.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Pairs that a task looks at together.
 PAIRS = 1 << 17
 #: Ids that are broadcast at most (8 bytes each) to find their texts; more are joined by a shuffle.
@@ -201,24 +203,28 @@ SMALL_IDS = 500_000
 
 
 def in_units(rows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
-    """Deal the rows (bucket, id, c, hc) of open buckets to units of comparison.
+    """Deal the rows (bucket, id, n, c, hc) of open buckets to units of comparison.
 
     Only pairs of different components (c) count. Most rows of a large bucket have the
     component of its smallest row (hc); they form one side, the others the second. Each
     block of the first meets each of the second, and those meet each other. So a unit has
     ``kind`` 0 (i of the first, j of the second) or 1 (i and j of the second), and two
-    blocks of rows at most; a row's ``side`` is the unit's 0 or 1, or 2 if it is both.
+    blocks of rows at most; a row's ``side`` is the unit's 0 or 1, or 2 if it is both. A
+    block of the second meets itself where it meets the first block of the first, so a
+    bucket of one block on each side is one unit, and holds each row once.
     """
     rows = rows.withColumn("second", F.col("c") != F.col("hc"))
-    sizes = rows.groupBy("bucket").agg(F.count_if(~F.col("second")).alias("m0"), F.count_if("second").alias("m1"))
-    blocks = lambda m: F.greatest(F.lit(1), F.ceil(F.col(m) / block)).cast("int")
-    rows = rows.join(sizes.where("m1 > 0").select("bucket", blocks("m0").alias("b0"), blocks("m1").alias("b1")), "bucket")
+    of = lambda second: (F.count_if(second), F.coalesce(F.sum(F.when(second, F.col("n"))), F.lit(0)))
+    (m0, n0), (m1, n1) = of(~F.col("second")), of(F.col("second"))
+    blocks = lambda m, n: F.greatest(F.lit(1), F.ceil(F.col(m) / block), F.ceil(F.col(n) / BLOCK_SHINGLES)).cast("int")
+    sizes = rows.groupBy("bucket").agg(m0.alias("m0"), n0.alias("n0"), m1.alias("m1"), n1.alias("n1")).where("m1 > 0")
+    rows = rows.join(sizes.select("bucket", blocks("m0", "n0").alias("b0"), blocks("m1", "n1").alias("b1")), "bucket")
     own = F.pmod(F.xxhash64("id"), F.when(F.col("second"), F.col("b1")).otherwise(F.col("b0"))).cast("int")
     unit = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
     first = F.transform(F.sequence(F.lit(0), F.col("b1") - 1), lambda j: unit(0, F.col("own"), j, F.lit(0)))
-    across = F.transform(F.sequence(F.lit(0), F.col("b0") - 1), lambda i: unit(0, i, F.col("own"), F.lit(1)))
-    side = lambda j: F.when(F.col("own") == j, 2).when(F.col("own") < j, 0).otherwise(1)
-    inside = F.transform(F.sequence(F.lit(0), F.col("b1") - 1), lambda j: unit(1, F.least("own", j), F.greatest("own", j), side(j)))
+    across = F.transform(F.sequence(F.lit(0), F.col("b0") - 1), lambda i: unit(0, i, F.col("own"), F.when(i == 0, 2).otherwise(1)))
+    others = F.filter(F.sequence(F.lit(0), F.col("b1") - 1), lambda j: j != F.col("own"))
+    inside = F.transform(others, lambda j: unit(1, F.least("own", j), F.greatest("own", j), F.when(F.col("own") < j, 0).otherwise(1)))
     return rows.withColumn("own", own).select("bucket", "id", "c", F.inline(F.when(F.col("second"), F.concat(across, inside)).otherwise(first)))
 
 
@@ -286,7 +292,7 @@ def _units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def flagged(rows: DataFrame, percent: int) -> DataFrame:
-    """The rows of units (``SLIM``) that have a candidate there: unit, side, id, c."""
+    """The rows of units (``SLIM``) that have a candidate there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _units_of(batches):
@@ -294,9 +300,9 @@ def flagged(rows: DataFrame, percent: int) -> DataFrame:
             for a, b in _candidates(table, percent):
                 mark[a] = mark[b] = True
             if mark.any():
-                yield from table.select([*UNIT, "side", "id", "c"]).filter(pa.array(mark)).combine_chunks().to_batches()
+                yield from table.filter(pa.array(mark)).combine_chunks().to_batches()
 
-    return in_workers(by_unit(rows, SLIM), run, "bucket long, kind int, i int, j int, side int, id long, c long", "neardup")
+    return in_workers(by_unit(rows, SLIM), run, rows.select(SLIM).schema, "neardup")
 
 
 def linked(rows: DataFrame, percent: int) -> DataFrame:
@@ -364,9 +370,9 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     standing = cut(first_rows.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "s0", "s1", "s2", "s3"), "standing")
 
     # Buckets with more than one class; each row knows the bucket's smallest.
-    rows = standing.select("id", F.explode("bands").alias("bucket"))
+    rows = standing.select("id", "n", F.explode("bands").alias("bucket"))
     hubs = rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("bucket", "hub")
-    shared = cut(rows.join(hubs, "bucket").select("bucket", "id", "hub"), "buckets")
+    shared = cut(rows.join(hubs, "bucket").select("bucket", "id", "n", "hub"), "buckets")
 
     slim = standing.drop("bands")
     stars = shared.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
@@ -375,13 +381,14 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     first = cut(confirm(pairs, sets_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")), words, "star-sets"), percent), "links")
     found = components(first)
 
-    # What the stars left apart: pairs of a bucket in different components.
-    placed = shared.join(found, "id", "left").select("bucket", "id", "hub", F.coalesce("component", "id").alias("c"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.when(F.col("id") == F.col("hub"), F.col("c"))).alias("hc")).where("lo < hi").select("bucket", "hc")
-    units = in_units(placed.join(open_buckets, "bucket").select("bucket", "id", "c", "hc"))
+    # What the stars left apart: pairs of a bucket in different components. Those with
+    # the bucket's smallest are decided, so it takes no part.
+    placed = shared.join(found, "id", "left").select("bucket", "id", "n", (F.col("id") != F.col("hub")).alias("rest"), F.coalesce("component", "id").alias("c"))
+    rest = F.when(F.col("rest"), F.col("c"))
+    open_buckets = placed.groupBy("bucket").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"), F.min(F.when(~F.col("rest"), F.col("c"))).alias("hc")).where("lo < hi").select("bucket", "hc")
+    units = in_units(placed.where("rest").join(open_buckets, "bucket").select("bucket", "id", "n", "c", "hc"))
     marked = cut(flagged(units.join(standing, "id"), percent), "flagged")
-    sets = sets_of(docs, marked, words, "sets")
-    second = linked(marked.join(standing, "id").join(sets, "id"), percent)
+    second = linked(marked.join(sets_of(docs, marked, words, "sets"), "id"), percent)
 
     # Versions of a document: classes that share a doc_id.
     several = full.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo < hi").select("doc_id")

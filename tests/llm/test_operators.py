@@ -388,6 +388,22 @@ def test_bucket_blocks_lose_no_link(spark, monkeypatch):
     assert _got(neardup.near_duplicates(docs, 3, 85)) == _brute_groups(rows, 3, 85)
 
 
+def test_units_let_each_pair_meet_once_and_hold_rows_once_where_a_block_is_enough(spark, monkeypatch):
+    """40 rows of the smallest one's component, 9 apart and 4 that are one component."""
+    c = {k: 0 if k < 40 else k if k < 49 else 49 for k in range(1, 53)}
+    rows = spark.createDataFrame([(5, k, 10, of, 0) for k, of in c.items()], "bucket long, id long, n int, c long, hc long").persist()
+    assert neardup.in_units(rows).count() == len(c)
+    apart = sorted((a, b) for a, b in itertools.combinations(c, 2) if c[a] != c[b])
+    for block, shingles in ((1000, 1 << 20), (3, 1 << 20), (1000, 50)):
+        monkeypatch.setattr(neardup.in_units, "__defaults__", (block,))
+        monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
+        units = {}
+        for r in neardup.in_units(rows).collect():
+            units.setdefault((r.kind, r.i, r.j), []).append((r.id, r.side))
+        met = [tuple(sorted((a, b))) for own in units.values() for (a, x), (b, y) in itertools.combinations(own, 2) if (x != y or x == 2) and c[a] != c[b]]
+        assert sorted(met) == apart
+
+
 def test_versions_of_a_document_join_the_classes_they_are_in(spark):
     a, b, c = ("lorem ipsum dolor sit amet " * 4 + x for x in ("one", "two " * 30, "three " * 30))
     rows = [(9, a), (9, b), (3, a), (5, b), (7, c), (7, c), (8, None), (12, a), (12, c), (20, c)] + [(30 + k, a) for k in range(40)]
