@@ -12,6 +12,7 @@ reaches the driver is ``dims`` times ``dims`` numbers, and the vectors of at mos
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,29 +21,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import identifier_words, identifier_words_col, singular, singular_col
+from sparkloom.session import shared_dir
 
 #: Places between words of a pair at most; rows with a word at least; words of the model at most, the most frequent.
 WINDOW, LEAST_ROWS, MOST_WORDS, DIMENSIONS = 5, 2, 50_000, 64
 _FACTOR = "word string, y array<double>"
 
 
-def pairs(rows: DataFrame, words: str, window: int = WINDOW) -> DataFrame:
-    """(word, other, n): how often two different words stand within ``window`` places, both ways."""
+def unordered(rows: DataFrame, words: str, window: int = WINDOW) -> DataFrame:
+    """(a, b, n): how often two different words stand within ``window`` places, a before b in the alphabet."""
     at = F.posexplode(words).alias("pos", "word")
     near = rows.select(F.col(words).alias("__words"), at).select("word", F.explode(F.slice("__words", F.col("pos") + 2, F.lit(window))).alias("other")).where("word <> other")
-    both = near.select(F.inline(F.array(F.struct("word", "other"), F.struct(F.col("other").alias("word"), F.col("word").alias("other")))))
-    return both.groupBy("word", "other").agg(F.count("*").alias("n"))
+    return near.groupBy(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).agg(F.count("*").alias("n"))
+
+
+def both_ways(rows: DataFrame, *values: str) -> DataFrame:
+    """(word, other, ``values``) from rows of (a, b, ``values``)."""
+    return rows.select(F.inline(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other")), F.struct(F.col("b").alias("word"), F.col("a").alias("other")))), *values)
+
+
+def pairs(rows: DataFrame, words: str, window: int = WINDOW) -> DataFrame:
+    """(word, other, n): how often two different words stand within ``window`` places, both ways."""
+    return both_ways(unordered(rows, words, window), "n")
 
 
 def information(counts: DataFrame) -> DataFrame:
-    """(word, other, w): positive pointwise mutual information of each pair; others are 0."""
-    totals = counts.groupBy("word").agg(F.sum("n").alias("total"))
+    """(word, other, w): positive pointwise mutual information of each pair, from ``pairs``; others are 0."""
+    return both_ways(_weighed(counts.where("word < other").select(F.col("word").alias("a"), F.col("other").alias("b"), "n")), "w")
+
+
+def word_information(rows: DataFrame, words: str, window: int = WINDOW) -> DataFrame:
+    """``information`` of the ``pairs`` of rows; a pair is shuffled in one way alone."""
+    return both_ways(_weighed(unordered(rows, words, window)), "w")
+
+
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written once to the shared folder."""
+    path = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _weighed(counts: DataFrame) -> DataFrame:
+    """(a, b, w) of ``unordered`` pairs. Counts and totals are written, so pairs need no
+    shuffle to meet the totals of a vocabulary that Spark finds small enough to broadcast."""
+    counts = _kept(counts.sortWithinPartitions("a", "b"), "pairs")
+    totals = _kept(counts.select(F.explode(F.array("a", "b")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("total")), "totals")
     every = totals.agg(F.sum("total").alias("all"))  # one row
-    left = counts.join(totals, "word")
-    whole = left.join(totals.select(F.col("word").alias("other"), F.col("total").alias("other_total")), "other").join(F.broadcast(every))
-    n, every_n, total, other = (F.col(c).cast("double") for c in ("n", "all", "total", "other_total"))
+    of = lambda word: totals.select(F.col("word").alias(word), F.col("total").alias(f"{word}_total"))
+    whole = counts.join(of("a"), "a").join(of("b"), "b").join(F.broadcast(every))
+    n, every_n, total, other = (F.col(c).cast("double") for c in ("n", "all", "a_total", "b_total"))
     w = F.log(n * every_n / (total * other))
-    return whole.select("word", "other", w.alias("w")).where("w > 0")
+    return whole.select("a", "b", w.alias("w")).where("w > 0")
 
 
 def _signs(word: str, dims: int) -> np.ndarray:
@@ -82,7 +112,7 @@ def word_vectors(rows: DataFrame, words: str, dims: int = DIMENSIONS, least_rows
     spark, n = rows.sparkSession, rows.count()
     df = rows.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") >= least_rows)
     known = df.orderBy(F.desc("df"), "word").limit(MOST_WORDS).persist()
-    matrix = information(pairs(rows, words)).join(F.broadcast(known.select("word")), "word", "left_semi").join(F.broadcast(known.select(F.col("word").alias("other"))), "other", "left_semi").persist()
+    matrix = word_information(rows, words).join(F.broadcast(known.select("word")), "word", "left_semi").join(F.broadcast(known.select(F.col("word").alias("other"))), "other", "left_semi").persist()
     try:
         vectors = {r.word: np.array(r.y) for r in _product(matrix, lambda w: _signs(w, dims)).toLocalIterator()}  # at most MOST_WORDS
         for last in (False, True):

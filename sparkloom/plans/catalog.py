@@ -466,4 +466,4 @@ SELECT n.word, n.other, round(ln(n.n::DOUBLE * (SELECT sum(n) FROM n)::DOUBLE /
 WHERE ln(n.n::DOUBLE * (SELECT sum(n) FROM n)::DOUBLE / (x.s::DOUBLE * y.s::DOUBLE)) > 0""")
 def word_information(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(T.words(F.col("text")).alias("words"))
-    return cooccurrence.information(cooccurrence.pairs(rows, "words")).select("word", "other", F.round("w", 6).alias("w"))
+    return cooccurrence.word_information(rows, "words").select("word", "other", F.round("w", 6).alias("w"))

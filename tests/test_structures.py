@@ -237,6 +237,14 @@ def test_pairs_and_information_are_those_of_a_plain_count(spark):
     assert w["a", "b"] == pytest.approx(np.log(3 * 10 / (4 * 4))) and ("b", "c") in w and w["b", "c"] == pytest.approx(np.log(10 / (4 * 2)))
 
 
+def test_information_shuffles_a_pair_in_one_way_alone(spark):
+    rows = spark.createDataFrame([(["a", "b", "a", "c"],), (["b", "a"],), (["c"],), ([],), (None,)], "words array<string>")
+    assert {(r.a, r.b): r.n for r in cooccurrence.unordered(rows, "words", 2).collect()} == {("a", "b"): 3, ("a", "c"): 1, ("b", "c"): 1}
+    w = cooccurrence.word_information(rows, "words", 2)
+    assert sorted(w.collect()) == sorted(cooccurrence.information(cooccurrence.pairs(rows, "words", 2)).collect()) and w.count() == 6
+    assert "SortMergeJoin" not in w._jdf.queryExecution().executedPlan().toString()  # pairs meet a small vocabulary where they are
+
+
 def test_an_index_with_learned_words_keeps_them(spark, tree):
     ix.refresh(spark, tree, embedder="words")
     index = ix.Index(spark, tree)
