@@ -30,9 +30,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import lexical
 from sparkloom.operators.segments import Segments, side_by_side
+from sparkloom.workers import in_workers
 
 SPAN_BITS = 10
 SPAN = 1 << SPAN_BITS
+#: Words whose blocks a task makes together; what it holds follows them, not the batch.
+PART_WORDS = 1 << 18
 #: Spans that are scored first, to know a k-th score.
 FIRST_SPANS = 4
 
@@ -96,15 +99,24 @@ def _blocks_of(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def _parts(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents with at most ``PART_WORDS`` words, or one document."""
+    ends, a = np.cumsum(lengths), 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PART_WORDS, "right")))
+        yield a, b
+        a = b
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """The blocks of documents; what a batch has of a span is a block of its own."""
+    """The blocks of documents; what a part of a batch has of a span is a block of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield _blocks_of(batch)
+            for a, b in _parts(batch.column("dl").to_numpy()):
+                yield _blocks_of(batch.slice(a, b - a))
 
-    return docs.select("span", "offset", "dl", "fields").mapInArrow(run, BLOCKS)
+    return in_workers(docs.select("span", "offset", "dl", "fields"), run, BLOCKS, "postings")
 
 
 def add(store: Segments, number: int, docs: DataFrame, gone: DataFrame | None = None) -> tuple[dict[str, int], dict]:
@@ -210,7 +222,7 @@ class Searcher:
     def bounds(self, weights: dict[str, float]) -> DataFrame:
         """(seg, span, bound): what no document of a span can exceed."""
         most = lexical.contribution(self._weight(weights), F.col("max_tf"), F.col("min_dl"), F.lit(self.mean))
-        heads = self._blocks(list(weights)).select("seg", "span", "term", most.alias("most"))
+        heads = self._blocks(list(weights)).groupBy("seg", "span", "term").agg(F.max(most).alias("most"))  # a word may have several blocks in a span
         return heads.groupBy("seg", "span").agg(F.sum("most").alias("bound"))
 
     def word_scores(self, weights: dict[str, float], spans: DataFrame | None = None) -> DataFrame:

@@ -127,6 +127,15 @@ def test_blocks_that_cannot_reach_the_kth_score_are_not_read(spark, tmp_path, mo
     assert [(r.key, r.score) for r in search.top([["rare"]], 10).collect()] == want
 
 
+def test_blocks_are_made_of_parts_of_bounded_size(spark):
+    """3000 documents of 400 words: a task never makes the blocks of a whole batch of them at once."""
+    rows = spark.range(3000).select("id", F.array(F.transform(F.sequence(F.lit(1), F.lit(400)), lambda k: F.when(k % 2 == 0, "a").otherwise(F.concat(F.lit("b"), (F.col("id") % 7).cast("string"))))).alias("fields")).coalesce(1)
+    made = postings.blocks(postings.documents(rows, "id", F.lit("f"), F.col("fields"))).where("term = 'a'").collect()
+    assert sum(r.n for r in made) == 3000 and all(list(r.tfs) == [200] * r.n and list(r.dls) == [400] * r.n for r in made)
+    assert len({(r.span, o) for r in made for o in r.offsets}) == 3000 and all(r.n * 400 <= postings.PART_WORDS for r in made)
+    assert list(postings._parts(np.array([0, 5, postings.PART_WORDS + 1, 0, 7]))) == [(0, 2), (2, 3), (3, 5)] and not list(postings._parts(np.zeros(0, int)))
+
+
 def test_fields_are_not_joined_by_phrases_and_keys_tie(spark, tmp_path):
     store = Segments(spark, f"file://{tmp_path}/s", postings.schemas(), postings.UNITS)
     rows = spark.createDataFrame([("b", "u", [["x", "y"], ["z"]]), ("a", "u", [["x"], ["y", "z"]]), ("c", "u", [[], ["y", "z"], None]), ("d", "v", None)], "k string, u string, f array<array<string>>")
