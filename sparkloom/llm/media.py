@@ -4,22 +4,22 @@ A media value is a WAVE file in one binary column. mu-law and A-law samples are
 expanded with tables of 256 entries; blocks of IMA ADPCM are decoded with numpy
 across blocks, one nibble place of all blocks of a batch at a time. Decoded
 speech, all of it at 8 kHz, is resampled by a polyphase filter to 16 kHz, and this
-16-bit PCM is stored in a column, packed without loss, and read back for features.
+16-bit PCM is stored in a column, every sample of it, and read back for features.
 
-Packing takes every second sample as it is and the others as their difference from
-what the resampling filter makes of these. Samples that are levels of a G.711 table,
-or of few values, are kept as one byte each; differences are packed to the bits that
-their block needs. The filter adds in a fixed order, so what one machine packs another one
-unpacks to the same samples.
+``decode_media`` can pack its column as well (``pack_pcm``): every second sample as it
+is and the others as their difference from what the resampling filter makes of these.
+Such a column holds little more than the media, and its reader runs the filter again, so
+it doesn't stand for stored PCM and the round trip has none.
 
 A payload's coding is chosen by its checksum (``CODINGS``), so equal texts give
 equal values. The share of ADPCM is small, for its PCM, two samples to a byte and
-four bits of noise in each, is most of what is stored.
+four bits of noise in each, takes most room for its text.
 
 Cases: null text is an empty payload, padded to one block of 576 bytes; rows that
 repeat a doc_id are stored each on its own; a damaged file gives null PCM; an
 empty table gives no row; other columns are ignored; where a column is added, one
-of the same name is replaced.
+of the same name is replaced. A document's PCM is one value of up to 2 GB: 4 bytes for
+each of its text's in G.711, 8 in ADPCM.
 """
 
 from __future__ import annotations
@@ -380,7 +380,7 @@ DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """``DIGESTS`` of payload and file of each media value as read, its coding, and its pcm."""
+    """``DIGESTS`` of payload and file of each media value as read, its coding, and the value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = {number: name for name, number in FORMATS.items()}
@@ -391,18 +391,18 @@ def digests(media: DataFrame) -> DataFrame:
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(file), hashlib.sha256(file).hexdigest(), names[kind]))
             if rows:
                 columns = [pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, batch.column("pcm")], names=[*(c.split()[0] for c in DIGESTS.split(", ")), "coding", "pcm"])
+                yield pa.RecordBatch.from_arrays([*columns, batch.column("media")], names=[*(c.split()[0] for c in DIGESTS.split(", ")), "coding", "media"])
 
-    return in_workers(media, run, DIGESTS + ", coding string, pcm binary", "media")
+    return in_workers(media, run, DIGESTS + ", coding string, media binary", "media")
 
 
 def described(speech: DataFrame, rate: int = TARGET_RATE) -> DataFrame:
-    """``DIGESTS`` and the features of the stored PCM (``pcm``, packed)."""
+    """``DIGESTS`` and the features of the stored PCM (``pcm``)."""
     schema = DIGESTS + ", feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [f"coding={coding};" + features(unpack_pcm(pcm), rate) for coding, pcm in zip(batch.column("coding").to_pylist(), _views(batch.column("pcm")), strict=True)]
+            found = [f"coding={coding};" + features(np.frombuffer(pcm, "<i2"), rate) for coding, pcm in zip(batch.column("coding").to_pylist(), _views(batch.column("pcm")), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c.split()[0]) for c in DIGESTS.split(", ")), pa.array(found, pa.string())], names=[c.split()[0] for c in schema.split(", ")])
 
     return in_workers(speech, run, schema, "media")
@@ -415,4 +415,5 @@ def media_round_trip(docs: DataFrame) -> DataFrame:
     path = fresh_path(spark, "media")
     store_media(docs, path)
     media = spark.read.schema("doc_id long, n_bytes long, media binary").parquet(path)
-    return described(cut(digests(decode_media(media, packed=True)), "media-pcm", STORED))
+    speech = decode_media(digests(media), into="media").withColumnRenamed("media", "pcm")  # in the file's place, which need not leave the worker
+    return described(cut(speech, "media-pcm", STORED))

@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import conversations, divergence, language, media, packing, quality, queries, urls, warc
+from sparkloom.llm import common, conversations, divergence, language, media, packing, quality, queries, urls, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -220,6 +220,18 @@ def test_every_payload_is_resampled():
     assert {rate for _, _, rate, _ in media.CODINGS} == {media.RATE} and media.RATE != media.TARGET_RATE
 
 
+def test_stored_pcm_holds_every_resampled_sample(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "fresh_path", lambda _, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(media, "fresh_path", common.fresh_path)
+    texts = {i: f"{i} sampled words " * (i * 7) for i in range(40)}
+    got = media.media_round_trip(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    stored = {r.doc_id: bytes(r.pcm) for r in spark.read.parquet(f"{tmp_path}/media-pcm").collect()}
+    assert len(got) == len(stored) == 40 and {r.feature[7:10] for r in got} == {"mul", "ala", "ima"}
+    for doc, text in texts.items():
+        pcm, rate = media.expand(media.coded(media.payload_of(text.encode())))
+        assert stored[doc] == media.resample(pcm, rate, media.TARGET_RATE).astype("<i2").tobytes() and len(stored[doc]) == 4 * len(pcm)
+
+
 # ---- 11 conversations ------------------------------------------------------------------
 
 
