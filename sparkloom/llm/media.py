@@ -47,6 +47,8 @@ CODINGS = (("mulaw", 8, RATE, 1), ("alaw", 7, RATE, 1), ("ima", 1, RATE, BLOCK))
 BATCH_BYTES = 1 << 20
 #: How media and PCM columns are stored: long pages, since they outweigh all else.
 STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "7", "parquet.page.size": str(8 << 20)}
+#: Rows of a row group of PCM. Spark reads up to 4,096 rows of one at once, and where texts compress well its bytes don't bound them.
+PCM_ROWS = 64
 #: Taps of the resampling filter on each side, in input samples.
 REACH = 8
 
@@ -416,4 +418,4 @@ def media_round_trip(docs: DataFrame) -> DataFrame:
     store_media(docs, path)
     media = spark.read.schema("doc_id long, n_bytes long, media binary").parquet(path)
     speech = decode_media(digests(media), into="media").withColumnRenamed("media", "pcm")  # in the file's place, which need not leave the worker
-    return described(cut(speech, "media-pcm", STORED))
+    return described(cut(speech, "media-pcm", STORED | {"parquet.block.row.count.limit": str(PCM_ROWS)}))

@@ -12,6 +12,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,10 +224,11 @@ def test_every_payload_is_resampled():
 def test_stored_pcm_holds_every_resampled_sample(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "fresh_path", lambda _, name: f"{tmp_path}/{name}")
     monkeypatch.setattr(media, "fresh_path", common.fresh_path)
-    texts = {i: f"{i} sampled words " * (i * 7) for i in range(40)}
+    texts = {i: f"{i} sampled words " * (i % 40 * 7) for i in range(400)}
     got = media.media_round_trip(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     stored = {r.doc_id: bytes(r.pcm) for r in spark.read.parquet(f"{tmp_path}/media-pcm").collect()}
-    assert len(got) == len(stored) == 40 and {r.feature[7:10] for r in got} == {"mul", "ala", "ima"}
+    assert max(pq.ParquetFile(f).metadata.row_group(0).num_rows for f in tmp_path.glob("media-pcm/*.parquet")) == media.PCM_ROWS
+    assert len(got) == len(stored) == 400 and {r.feature[7:10] for r in got} == {"mul", "ala", "ima"}
     for doc, text in texts.items():
         pcm, rate = media.expand(media.coded(media.payload_of(text.encode())))
         assert stored[doc] == media.resample(pcm, rate, media.TARGET_RATE).astype("<i2").tobytes() and len(stored[doc]) == 4 * len(pcm)
