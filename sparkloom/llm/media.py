@@ -12,8 +12,8 @@ Such a column holds little more than the media, and its reader runs the filter a
 it doesn't stand for stored PCM and the round trip has none.
 
 A payload's coding is chosen by its checksum (``CODINGS``), so equal texts give
-equal values. The share of ADPCM is small, for its PCM, two samples to a byte and
-four bits of noise in each, takes most room for its text.
+equal values. The share of ADPCM is small: it was set when PCM was packed, which its
+two samples to a byte with four bits of noise in each withstand.
 
 Cases: null text is an empty payload, padded to one block of 576 bytes; rows that
 repeat a doc_id are stored each on its own; a damaged file gives null PCM; an
