@@ -11,6 +11,11 @@ is and the others as their difference from what the resampling filter makes of t
 Such a column holds little more than the media, and its reader runs the filter again, so
 it doesn't stand for stored PCM and the round trip has none.
 
+PCM takes many times the room of the media and hardly compresses. The round trip keeps
+the whole column, or stores it in waves: every row belongs to one, by hash; a wave's PCM is
+stored as a whole, read back and described, and removed when its rows are written, so
+one wave's is on disk at a time and no PCM is kept.
+
 A payload's coding is chosen by its checksum (``CODINGS``), so equal texts give
 equal values. The share of ADPCM is small: it was set when PCM was packed, which its
 two samples to a byte with four bits of noise in each withstand.
@@ -33,9 +38,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import cut, fresh_path, in_workers
+from sparkloom.llm.common import fresh_path, in_workers, opened
 
 PAD, BLOCK, TAIL = 255, 576, 32
 RATE, TARGET_RATE = 8000, 16000
@@ -49,6 +55,8 @@ BATCH_BYTES = 1 << 20
 STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "7", "parquet.page.size": str(8 << 20)}
 #: Rows of a row group of PCM. Spark reads up to 4,096 rows of one at once, and where texts compress well its bytes don't bound them.
 PCM_ROWS = 64
+#: Waves of a round trip that doesn't keep its PCM; each wave reads the media anew.
+WAVES = 8
 #: Taps of the resampling filter on each side, in input samples.
 REACH = 8
 
@@ -410,12 +418,29 @@ def described(speech: DataFrame, rate: int = TARGET_RATE) -> DataFrame:
     return in_workers(speech, run, schema, "media")
 
 
-def media_round_trip(docs: DataFrame) -> DataFrame:
+def store_pcm(media: DataFrame, path: str) -> DataFrame:
+    """Write ``digests`` of media values with their resampled PCM (``pcm``) in the value's place, and read them back."""
+    speech = decode_media(digests(media), into="media").withColumnRenamed("media", "pcm")  # in the file's place, which need not leave the worker
+    speech.write.options(**STORED, **{"parquet.block.row.count.limit": str(PCM_ROWS)}).parquet(path)
+    return media.sparkSession.read.schema(speech.schema).parquet(path)
+
+
+def media_round_trip(docs: DataFrame, waves: int | None = None) -> DataFrame:
     """Store the media column below the shared folder, decode what is read back, store
-    its resampled PCM, and describe both as read."""
+    its resampled PCM, and describe both as read. With ``waves`` the PCM is stored in so
+    many parts, one after another, and isn't kept (see the module's text)."""
     spark = docs.sparkSession
     path = fresh_path(spark, "media")
     store_media(docs, path)
     media = spark.read.schema("doc_id long, n_bytes long, media binary").parquet(path)
-    speech = decode_media(digests(media), into="media").withColumnRenamed("media", "pcm")  # in the file's place, which need not leave the worker
-    return described(cut(speech, "media-pcm", STORED | {"parquet.block.row.count.limit": str(PCM_ROWS)}))
+    if waves is None:
+        return described(store_pcm(media, fresh_path(spark, "media-pcm")))
+    rows = fresh_path(spark, "media-rows")
+    for wave in range(waves):
+        own = media.where(F.pmod(F.xxhash64("doc_id", "media"), F.lit(waves)) == wave)
+        at = fresh_path(spark, "media-pcm")
+        found = described(store_pcm(own, at))
+        found.write.mode("append").options(compression="zstd").parquet(rows)
+        store, folder = opened(at)
+        store.delete_dir(folder)
+    return spark.read.schema(found.schema).parquet(rows)

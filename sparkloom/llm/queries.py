@@ -49,7 +49,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_round_trip(_read(spark, sf_dir, "documents"))
+    return media.media_round_trip(_read(spark, sf_dir, "documents"), media.WAVES)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import heapq
+import itertools
 import math
 import re
 import zlib
@@ -234,6 +235,26 @@ def test_stored_pcm_holds_every_resampled_sample(spark, tmp_path, monkeypatch):
         assert stored[doc] == media.resample(pcm, rate, media.TARGET_RATE).astype("<i2").tobytes() and len(stored[doc]) == 4 * len(pcm)
 
 
+def test_pcm_in_waves_gives_the_same_rows_and_one_wave_is_on_disk_at_a_time(spark, tmp_path, monkeypatch):
+    numbers, waves, plain = itertools.count(), [], media.described
+    monkeypatch.setattr(media, "fresh_path", lambda _, name: f"{tmp_path}/{name}-{next(numbers)}")
+
+    def seen(speech, *rest):
+        assert len(list(tmp_path.glob("media-pcm-*"))) == 1
+        waves.append(sorted((r.doc_id or 0, bytes(r.pcm)) for r in speech.collect()))
+        return plain(speech, *rest)
+
+    docs = [(None if i % 97 == 0 else i // 2, None if i % 89 == 0 else f"{i // 4} sampled words " * (i % 40 * 7)) for i in range(800)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(media, "described", seen)
+    got = queries.op9_media(spark, str(tmp_path)).collect()
+    held = [sum(len(pcm) for _, pcm in wave) for wave in waves]
+    assert len(waves) == media.WAVES and max(held) < sum(held) / 5 and not list(tmp_path.glob("media-pcm-*"))
+    kept = media.media_round_trip(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    assert sorted(itertools.chain(*waves[:-1])) == waves[-1] and len(got) == len(waves[-1]) == 800  # every sample was stored and read back
+    assert sorted(map(str, got)) == sorted(map(str, kept))
+
+
 # ---- 11 conversations ------------------------------------------------------------------
 
 
